@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscat.functions.text import clean_text, words
-from corpuscat.operators.scale import bounded_rows, lookup
+from corpuscat.operators.scale import bounded_rows, lookup, spread
 from corpuscat.session import cut_lineage
 
 CLASS_LIMIT = 100_000
@@ -35,7 +35,7 @@ class BayesModel:
 def fit_bayes(df: DataFrame, text: str, label: str) -> BayesModel:
     """Count words per class. Labels are non-negative integers."""
     y = F.col(label).cast("bigint").alias("label")
-    each = df.select(y, F.explode(words(clean_text(F.col(text)))).alias("token"))
+    each = spread(df.select(label, text)).select(y, F.explode(words(clean_text(F.col(text)))).alias("token"))
     pairs = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     terms = cut_lineage(
         pairs.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("label", "n")).alias("by_label"))
@@ -62,13 +62,14 @@ def bayes_scores(
         raise ValueError("naive Bayes scores every class of a text; there are too many classes")
     total = F.lit(sum(r["docs"] for r in rows)).cast("double")
 
-    each = df.select(row_id, F.col(label).cast("bigint").alias("label"), F.explode_outer(words(clean_text(F.col(text)))).alias("token"))
+    y = F.col(label).cast("bigint").alias("label")
+    each = spread(df.select(row_id, label, text)).select(row_id, y, F.explode_outer(words(clean_text(F.col(text)))).alias("token"))
     hits = lookup(each, model.terms, "token", "n", "left")
     seen = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("n"))
     none = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"))
     by = F.transform("by_label", lambda p: F.struct(p["label"].alias("c"), p["n"].alias("n")))
-    spread = F.when(F.col("by_label").isNull(), F.array(none)).otherwise(F.concat(F.array(seen), by))
-    parts = hits.select(row_id, "label", F.inline(spread).alias("c", "n"))
+    entries = F.when(F.col("by_label").isNull(), F.array(none)).otherwise(F.concat(F.array(seen), by))
+    parts = hits.select(row_id, "label", F.inline(entries).alias("c", "n"))
     sums = [
         F.sum(F.when(F.col("c") == _SEEN, F.col("n").cast("double")).otherwise(F.log((F.col("n") + F.lit(a)) / F.lit(a)))).alias(f"s{i}")
         for i, a in enumerate(alphas)

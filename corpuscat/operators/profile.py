@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscat.operators.scale import range_placed
+from corpuscat.operators.scale import range_placed, spread
+from corpuscat.session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Exact percentile() keeps one entry per distinct value; beyond this many, rank by sorting.
+# Exact percentile() takes one entry per distinct value to one task; beyond this many, sort.
 DISTINCT_LIMIT = 100_000
 
 
@@ -42,52 +43,55 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_summary(
     df: DataFrame, columns: Sequence[str] | None = None, distinct_limit: int = DISTINCT_LIMIT
 ) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column.
+
+    Quartiles come from the counts of distinct values, which combine before the shuffle.
+    """
     columns = list(columns or numeric_columns(df))
-    nums = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    distinct = nums.agg(*[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
-    sorted_cols = [c for c in nums.columns if distinct[c] > distinct_limit]
-    ranked = sorted_quantiles(nums.select(*sorted_cols), QUARTILES) if sorted_cols else {}
-
-    aggs = []
-    for c in nums.columns:
-        if c in ranked:
-            quartiles = F.array(*[F.lit(q) for q in ranked[c]])
-        else:
-            quartiles = F.percentile(c, F.array(*[F.lit(p) for p in QUARTILES]))
-        aggs += [
-            F.count(c).alias(f"{c}_n"),
-            F.avg(c).alias(f"{c}_mean"),
-            F.stddev_samp(c).alias(f"{c}_std"),
-            F.min(c).alias(f"{c}_min"),
-            F.max(c).alias(f"{c}_max"),
-            F.any_value(quartiles).alias(f"{c}_q") if c in ranked else quartiles.alias(f"{c}_q"),
+    nums = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    moments = nums.agg(
+        *[
+            F.struct(
+                F.lit(name).alias("column"),
+                F.count(c).alias("n"),
+                F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("std"),
+                F.min(c).alias("min"),
+                F.max(c).alias("max"),
+            ).alias(c)
+            for c, name in zip(nums.columns, columns)
         ]
-    one = nums.agg(*aggs)
-    rows = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.col(f"{c}_n").alias("n"),
-            F.col(f"{c}_mean").alias("mean"),
-            F.col(f"{c}_std").alias("std"),
-            F.col(f"{c}_min").alias("min"),
-            *[F.get(F.col(f"{c}_q"), F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)],
-            F.col(f"{c}_max").alias("max"),
+    )
+    pairs = F.array(*[F.struct(F.lit(name).alias("column"), F.col(c).alias("v")) for c, name in zip(nums.columns, columns)])
+    counted = nums.select(F.inline(pairs)).filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    counted = cut_lineage(counted)
+    distinct = {r["column"]: r["count"] for r in counted.groupBy("column").count().collect()}
+    long = [c for c, n in distinct.items() if n > distinct_limit]
+
+    q = F.percentile("v", F.array(*[F.lit(p) for p in QUARTILES]), F.col("n"))
+    quartiles = counted.filter(~F.col("column").isin(*long)).groupBy("column").agg(q.alias("q"))
+    if long:
+        ranked = sorted_quantiles(counted.filter(F.col("column").isin(*long)), QUARTILES)
+        rows = df.sparkSession.createDataFrame(list(ranked.items()), "column string, q array<double>")
+        quartiles = quartiles.unionByName(rows)
+    return (
+        moments.select(F.inline(F.array(*nums.columns)))
+        .join(F.broadcast(quartiles), "column", "left")  # one row per column
+        .select(
+            *("column", "n", "mean", "std", "min"),
+            *[F.get("q", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)],
+            "max",
         )
-        for c, name in zip(nums.columns, columns)
-    ]
-    return one.select(F.inline(F.array(*rows)))
+    )
 
 
-def sorted_quantiles(nums: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
-    """Exact linear-interpolation quantiles of double columns with many distinct values.
+def sorted_quantiles(counted: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
+    """Exact linear-interpolation quantiles from ``(column, v, n)`` with many distinct values.
 
-    Values are counted, range-sorted and stored; each wanted rank then lies in one known
-    block, and only these blocks are scanned. The driver sees counts per block and two
-    values per quantile.
+    The values are range-sorted and stored; each wanted rank then lies in one known block,
+    and only these blocks are scanned. The driver sees one count per block and two values
+    per quantile.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in nums.columns])
-    counted = nums.select(F.inline(pairs)).filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     placed = range_placed(counted, [F.col("column"), F.col("v")])
     blocks = placed.groupBy("column", "_block").agg(F.sum("n").alias("n")).orderBy("column", "_block").collect()
 
@@ -100,10 +104,8 @@ def sorted_quantiles(nums: DataFrame, probs: Sequence[float]) -> dict[str, list[
     wanted = {c: [(n - 1) * p for p in probs] for c, n in totals.items()}
     ranks = {c: sorted({int(x) for x in xs} | {min(int(x) + 1, totals[c] - 1) for x in xs}) for c, xs in wanted.items()}
     hits = [(c, b, lo, k) for c, b, lo, hi in spans for k in ranks[c] if lo <= k < hi]
-    if not hits:
-        return {c: [None] * len(probs) for c in nums.columns}
 
-    target = nums.sparkSession.createDataFrame(hits, "column string, _block int, before bigint, k bigint")
+    target = counted.sparkSession.createDataFrame(hits, "column string, _block int, before bigint, k bigint")
     running = F.sum("n").over(Window.partitionBy("column", "_block").orderBy("v"))
     found = (
         placed.join(F.broadcast(target.select("column", "_block").distinct()), ["column", "_block"], "left_semi")
@@ -114,12 +116,12 @@ def sorted_quantiles(nums: DataFrame, probs: Sequence[float]) -> dict[str, list[
         .collect()
     )
     value = {(r["column"], r["k"]): r["v"] for r in found}
-    out = {c: [None] * len(probs) for c in nums.columns}
-    for c, xs in wanted.items():
-        out[c] = [
-            value[c, int(x)] + (value[c, min(int(x) + 1, totals[c] - 1)] - value[c, int(x)]) * (x - int(x)) for x in xs
-        ]
-    return out
+
+    def at(c: str, x: float) -> float:
+        low, high = value[c, int(x)], value[c, min(int(x) + 1, totals[c] - 1)]
+        return low + (high - low) * (x - int(x))
+
+    return {c: [at(c, x) for x in xs] for c, xs in wanted.items()}
 
 
 def stage_counts(stages: Mapping[str, DataFrame]) -> DataFrame:

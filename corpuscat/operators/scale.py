@@ -18,6 +18,8 @@ HOT_KEYS = 100_000
 KEY_BYTES = 256
 # Dimension tables up to this size may become literals in a plan.
 LITERAL_ROWS = 2_000
+# Inputs up to this size are dealt over the cores when they come in too few files.
+SPREAD_BYTES = 1 << 30
 
 _POSITION_BITS = 33  # layout of monotonically_increasing_id
 
@@ -37,6 +39,18 @@ def bounded_rows(df: DataFrame, max_rows: int = LITERAL_ROWS) -> list[Row] | Non
     return [Row(**{c: r[c] for c in df.columns}) for r in rows]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows of few, small files over all cores before costly work per row.
+
+    Only an input below ``SPREAD_BYTES`` is moved; a large one already comes in many parts.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SPREAD_BYTES or len(df._jdf.inputFiles()) >= want:
+        return df
+    return df.repartition(want)
+
+
 def fits_broadcast(table: DataFrame, key: str, max_keys: int) -> bool:
     n, widest = (
         table.select(F.octet_length(F.col(key).cast("string")).alias("w"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscat.operators.scale import lookup
+from corpuscat.operators.scale import lookup, spread
 from corpuscat.operators.tokens import padded
 from corpuscat.session import cut_lineage
 
@@ -71,8 +71,10 @@ def subword_encode(
     # A word gives one piece at least, unless it is all accents, so the words after the
     # first length - 2 others cannot reach the fixed length.
     kept = F.filter(basic_words(F.col(text)), lambda w: w.rlike(r"[^\p{Mn}]"))
-    each = df.select(row_id, F.posexplode_outer(F.slice(kept, 1, length - 2)).alias("pos", "token"))
+    each = spread(df.select(row_id, text)).select(row_id, F.posexplode_outer(F.slice(kept, 1, length - 2)).alias("pos", "token"))
     counts = each.filter("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # Python work per word is costly for its bytes: keep all shuffle partitions.
+    counts = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     split_words = cut_lineage(counts.mapInPandas(split, "token string, n bigint, ids array<int>"))
     joined = lookup(each, split_words, "token", "n", "left")
     one = F.when(F.size(F.coalesce("ids", F.array().cast("array<int>"))) > 0, F.struct("pos", "ids"))

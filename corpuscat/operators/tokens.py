@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuscat.functions.text import clean_text, words
 from corpuscat.operators.frequency import frequencies
-from corpuscat.operators.scale import lookup, rank_all
+from corpuscat.operators.scale import lookup, rank_all, spread
 
 # Ids of the special tokens; vocabulary ids follow them.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -16,7 +16,7 @@ FIRST_ID = 4
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
     """``(token, n)`` over the normalised words of a text column."""
-    each = df.select(F.explode(words(clean_text(F.col(text)))).alias("token"))
+    each = spread(df.select(text)).select(F.explode(words(clean_text(F.col(text)))).alias("token"))
     return frequencies(each, "token").withColumnRenamed("value", "token")
 
 
@@ -42,7 +42,7 @@ def encode(df: DataFrame, row_id: str, text: str, vocab: DataFrame, length: int
     are dropped before they are looked up. A text without words still yields its row.
     """
     first = F.slice(words(clean_text(F.col(text))), 1, length - 2)
-    each = df.select(row_id, F.posexplode_outer(first).alias("pos", "token"))
+    each = spread(df.select(row_id, text)).select(row_id, F.posexplode_outer(first).alias("pos", "token"))
     ids = lookup(each, vocab.select("token", "id", "n"), "token", "n", "left")
     one = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce(F.col("id").cast("int"), F.lit(UNK)).alias("id")))
     lists = ids.groupBy(row_id).agg(F.array_sort(F.collect_list(one)).alias("l"))
@@ -52,17 +52,17 @@ def encode(df: DataFrame, row_id: str, text: str, vocab: DataFrame, length: int
 
 def length_profile(df: DataFrame, text: str, limit: int = 512) -> DataFrame:
     """Words per text: count, mean, quartiles, maximum, share that encoding would cut."""
-    # One entry per distinct length is all that the exact percentile keeps.
-    n = F.size(words(clean_text(F.col(text))))
-    q = F.percentile("t", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    # Counted per distinct length first, so that the exact percentile gets a short table.
+    n = F.size(words(clean_text(F.col(text)))).alias("t")
+    lengths = spread(df.select(text)).select(n).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    total = F.sum("c")
     return (
-        df.select(n.alias("t"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.avg("t").alias("mean_tokens"),
-            q.alias("q"),
+        lengths.agg(
+            total.alias("n"),
+            (F.sum(F.col("t") * F.col("c")) / total).alias("mean_tokens"),
+            F.percentile("t", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("c")).alias("q"),
             F.max("t").cast("bigint").alias("max_tokens"),
-            F.avg((F.col("t") > limit - 2).cast("double")).alias("cut_share"),
+            (F.sum(F.when(F.col("t") > limit - 2, F.col("c")).otherwise(0)) / total).alias("cut_share"),
         )
         .select(
             "n",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscat.operators import bayes, evaluate, labels, linear, split
+from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog import registry
 from corpuscat.plans.catalog.registry import query, words
 from corpuscat.session import cut_lineage
@@ -15,7 +16,7 @@ ALPHAS = (0.1, 1.0, 10.0)
 
 def documents_by(spark, folder, category: str):
     """``(row_id, text, category, label, split)``: documents with an indexed label and 64/16/20 parts."""
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("row_id"), "text", F.col(category).alias("category"))
+    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("row_id"), "text", F.col(category).alias("category"))
     labelled = labels.attach_label(docs, "category", labels.label_index(docs, "category"))
     return cut_lineage(split.split_64_16_20(labelled, "label", "row_id"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuscat.functions.text import clean_text
 from corpuscat.operators import subword, summary, tokens
+from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog.registry import clean, query, words
 from corpuscat.session import cut_lineage
 from corpuscat.sources.tables import table
@@ -87,7 +88,7 @@ full_ids AS (SELECT d.doc_id, coalesce(l, []::INTEGER[]) AS l FROM documents d L
 SELECT doc_id, {_padded('l', LENGTH)} FROM full_ids""",
 )
 def subword_encode(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("text"))
+    docs = spread(table(spark, folder, "documents")).select("doc_id", clean_text(F.col("text")).alias("text"))
     docs = cut_lineage(docs)
     return _as_text(subword.subword_encode(docs, "doc_id", "text", corpus_pieces(docs, "text"), LENGTH))
 
