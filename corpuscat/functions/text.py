@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The character classes of the normal form and of file-name slugs.
-NON_WORD = r"[^\p{L}\p{N}_]+"
+# The character classes of words and of file-name slugs. The ASCII ranges
+# are part of the Unicode classes; naming them first makes the match faster.
+WORD_CHARS = r"a-z0-9_\p{L}\p{N}"
 SLUG_OUTSIDE = r"[^0-9a-zA-Z_-]+"
 EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
@@ -17,12 +18,17 @@ def clean_text(text: Column) -> Column:
     A run of characters outside letters, numbers and ``_`` is one separator, whether it
     is punctuation or white space, so a single pass suffices.
     """
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), NON_WORD, " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{WORD_CHARS}]+", " "))
 
 
-def words(cleaned: Column) -> Column:
-    """Words of a normalised text; an empty text has none."""
-    return F.array_remove(F.split(cleaned, " "), "")
+def words(text: Column) -> Column:
+    """The words of ``clean_text`` as an array, taken from the raw text in one pass."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"[{WORD_CHARS}]+"), F.lit(0))
+
+
+def word_array(df: DataFrame, col: str) -> Column:
+    """The words of a column: an array is taken as it is, a text is split."""
+    return F.col(col) if df.schema[col].dataType.typeName() == "array" else words(F.col(col))
 
 
 def sentences(text: Column) -> Column:

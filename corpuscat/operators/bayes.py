@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import clean_text, words
+from corpuscat.functions.text import word_array
 from corpuscat.operators.scale import bounded_rows, lookup, spread
 from corpuscat.session import cut_lineage
 
@@ -35,7 +35,7 @@ class BayesModel:
 def fit_bayes(df: DataFrame, text: str, label: str) -> BayesModel:
     """Count words per class. Labels are non-negative integers."""
     y = F.col(label).cast("bigint").alias("label")
-    each = spread(df.select(label, text)).select(y, F.explode(words(clean_text(F.col(text)))).alias("token"))
+    each = spread(df.select(label, text)).select(y, F.explode(word_array(df, text)).alias("token"))
     pairs = each.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     terms = cut_lineage(
         pairs.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("label", "n")).alias("by_label"))
@@ -63,7 +63,7 @@ def bayes_scores(
     total = F.lit(sum(r["docs"] for r in rows)).cast("double")
 
     y = F.col(label).cast("bigint").alias("label")
-    each = spread(df.select(row_id, label, text)).select(row_id, y, F.explode_outer(words(clean_text(F.col(text)))).alias("token"))
+    each = spread(df.select(row_id, label, text)).select(row_id, y, F.explode_outer(word_array(df, text)).alias("token"))
     hits = lookup(each, model.terms, "token", "n", "left")
     seen = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("n"))
     none = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"))

@@ -86,7 +86,12 @@ def top_series(df: DataFrame, col: str, chart: str, n: int) -> DataFrame:
 
 def key_series(df: DataFrame, col: str, chart: str) -> DataFrame:
     """Points of a line chart over all keys."""
-    ranked = rank_all(frequencies(df, col), [F.col("value")], "rank", start=1)
+    counts = cut_lineage(frequencies(df, col))
+    few = bounded_rows(counts)
+    if few is None:
+        ranked = rank_all(counts, [F.col("value")], "rank", start=1)
+    else:
+        ranked = counts.withColumn("rank", F.row_number().over(Window.orderBy("value")))
     return ranked.select(
         F.lit(chart).alias("chart"),
         F.col("rank").cast("int").alias("rank"),

@@ -12,7 +12,13 @@ from corpuscat.session import cut_lineage
 
 def label_index(df: DataFrame, col: str) -> DataFrame:
     """``(label, category, n)``: dense labels over the sorted distinct categories."""
-    return rank_all(frequencies(df, col), [F.col("value")], "label").select("label", F.col("value").alias("category"), "n")
+    counts = frequencies(df, col)
+    few = bounded_rows(counts)
+    if few is None:
+        return rank_all(counts, [F.col("value")], "label").select("label", F.col("value").alias("category"), "n")
+    kind = counts.schema["value"].dataType.simpleString()
+    rows = [(i, r["value"], r["n"]) for i, r in enumerate(sorted(few, key=lambda r: r["value"]))]
+    return df.sparkSession.createDataFrame(rows, f"label bigint, category {kind}, n bigint")
 
 
 def element_index(df: DataFrame, col: str) -> DataFrame:

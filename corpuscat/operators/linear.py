@@ -11,12 +11,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import clean_text, words
+from corpuscat.functions.text import word_array
 from corpuscat.operators.evaluate import history, select_best
 
 
 def with_words(df: DataFrame, text: str, out: str = "words") -> DataFrame:
-    return df.withColumn(out, words(clean_text(F.col(text))))
+    return df.withColumn(out, word_array(df, text))
 
 
 def with_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:

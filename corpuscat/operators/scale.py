@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from corpuscat.session import cut_lineage
 
-# At most this many keys, each at most this wide, are broadcast (about 40 MB).
-HOT_KEYS = 100_000
-KEY_BYTES = 256
+# What may be broadcast, by measured size; rows wider than ROW_BYTES never are.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES = 64 << 10
+# A stored table below this size needs no measuring.
+SURE_BYTES = 1 << 20
 # Dimension tables up to this size may become literals in a plan.
 LITERAL_ROWS = 2_000
+KEY_BYTES = 256
+
 # Inputs up to this size are dealt over the cores when they come in too few files.
 SPREAD_BYTES = 1 << 30
 
@@ -45,20 +49,28 @@ def spread(df: DataFrame) -> DataFrame:
     Only an input below ``SPREAD_BYTES`` is moved; a large one already comes in many parts.
     """
     want = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SPREAD_BYTES or len(df._jdf.inputFiles()) >= want:
+    if planned_bytes(df) > SPREAD_BYTES or len(df._jdf.inputFiles()) >= want:
         return df
     return df.repartition(want)
 
 
-def fits_broadcast(table: DataFrame, key: str, max_keys: int) -> bool:
-    n, widest = (
-        table.select(F.octet_length(F.col(key).cast("string")).alias("w"))
-        .limit(max_keys + 1)
-        .agg(F.count(F.lit(1)), F.max("w"))
-        .first()
-    )
-    return n <= max_keys and (widest or 0) <= KEY_BYTES
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's size of ``df``: of its files for a stored table, else an upper guess."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Size of a row in memory: strings and arrays as they are, 16 bytes for other fields."""
+    total = F.lit(48)
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind == "array":
+            total = total + F.coalesce(F.greatest(F.size(c), F.lit(0)) * 32, F.lit(0))
+        else:
+            total = total + 16
+    return total
 
 
 def lookup(
@@ -67,39 +79,38 @@ def lookup(
     key: str,
     weight: str,
     how: str = "inner",
-    max_keys: int = HOT_KEYS,
+    max_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join many ``rows`` to a ``table`` with one row per ``key``, safe under hot keys.
+    """Join many ``rows`` to a stored ``table`` with one row per ``key``, safe under hot keys.
 
     ``weight`` is the table's column saying how often a key occurs in ``rows``. A table
-    within the checked bound is broadcast. A larger one is split: its ``max_keys`` most
-    frequent keys are broadcast, so that no key left for the shuffle join can hold more
-    than 1/max_keys of the rows. ``how`` is inner, left or left_semi; the result has the
-    columns of ``rows`` plus, unless semi, the table's other columns without ``weight``.
+    that measures at most ``max_bytes`` is broadcast. A larger one is split: its most
+    frequent keys, as many as surely fit, are broadcast; the few rows with other keys go
+    through a shuffle join, where no key is hot any more. ``how`` is inner, left or
+    left_semi; the result has the columns of ``rows`` plus, unless semi, the table's other
+    columns without ``weight``.
     """
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     slim = table.select(key, *payload)
-    if fits_broadcast(table, key, max_keys):
+    size = row_bytes(slim)
+    if planned_bytes(table) <= min(SURE_BYTES, max_bytes):
+        return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
+    total, widest = slim.agg(F.sum(size), F.max(F.when(size <= ROW_BYTES, size))).first()
+    if (total or 0) <= max_bytes:
         return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
 
-    hot = cut_lineage(
-        table.filter(F.octet_length(F.col(key).cast("string")) <= KEY_BYTES)
-        .orderBy(F.desc(weight), key)
-        .limit(max_keys)
-        .select(key, *payload)
-    )
+    # The table is stored, so both uses of this top list see the same rows.
+    fitting = max_bytes // (widest or ROW_BYTES)
+    order = [F.desc(weight), F.col(key)]
+    hot = cut_lineage(table.filter(size <= ROW_BYTES).orderBy(*order).limit(fitting).select(key, *payload))
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    found = marked.filter("_hot").select(*rows.columns, *payload)
-    rest = marked.filter("_hot is null").select(*rows.columns)
-    cold = slim.join(F.broadcast(hot.select(key)), key, "left_anti")
-    joined = rest.filter(F.col(key).isNotNull()).join(cold, key, how).select(*rows.columns, *payload)
-    out = found.unionByName(joined)
+    settled = F.col("_hot").isNotNull()
     if how == "left":
-        missing = rest.filter(F.col(key).isNull())
-        for c in payload:
-            missing = missing.withColumn(c, F.lit(None).cast(table.schema[c].dataType))
-        out = out.unionByName(missing.select(*rows.columns, *payload))
-    return out
+        settled = settled | F.col(key).isNull()
+    found = marked.filter(settled).select(*rows.columns, *payload)
+    rest = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
+    cold = slim.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return found.unionByName(rest.join(cold, key, how).select(*rows.columns, *payload))
 
 
 def range_placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -62,24 +62,21 @@ def ranked_shares(counts: DataFrame, label: str, n: str, pct: int, out: str) ->
     return ranked.withColumn(out, F.col("_base") + (F.col("_rank") < short).cast("bigint")).drop("_rem", "_base", "_rank")
 
 
-def part_sizes(counts: DataFrame, label: str, plan: tuple[int, int, str], class_limit: int) -> DataFrame:
-    """``(label, n, test, val)`` from ``(label, n)``."""
+def listed_sizes(size: dict, plan: tuple[int, int, str]) -> list[tuple]:
+    """``(label, n, test, val)`` for a listed set of classes."""
+    first, second, of = plan
+    held = listed_shares(size, first)
+    if of == "rest":
+        test, val = held, listed_shares({c: size[c] - held[c] for c in size}, second)
+    else:
+        test = listed_shares(held, second)
+        val = {c: held[c] - test[c] for c in size}
+    return [(c, size[c], test[c], val[c]) for c in sorted(size)]
+
+
+def ranked_sizes(counts: DataFrame, label: str, plan: tuple[int, int, str]) -> DataFrame:
+    """``listed_sizes`` for more classes than a literal holds."""
     first, second, of = plan
-    few = bounded_rows(counts, class_limit)
-    if few is not None:
-        size = {r[label]: r["n"] for r in few}
-        if None in size:
-            raise ValueError("a row has no label")
-        held = listed_shares(size, first)
-        if of == "rest":
-            test, val = held, listed_shares({c: size[c] - held[c] for c in size}, second)
-        else:
-            test = listed_shares(held, second)
-            val = {c: held[c] - test[c] for c in size}
-        schema = f"`{label}` {counts.schema[label].dataType.simpleString()}, n bigint, test bigint, val bigint"
-        return counts.sparkSession.createDataFrame([(c, size[c], test[c], val[c]) for c in sorted(size)], schema)
-    if counts.filter(F.col(label).isNull()).limit(1).count():
-        raise ValueError("a row has no label")
     out = ranked_shares(counts, label, "n", first, "held")
     if of == "rest":
         out = ranked_shares(out.withColumn("left", F.col("n") - F.col("held")), label, "left", second, "val")
@@ -98,36 +95,49 @@ def stratified_split(
     class_limit: int = LITERAL_ROWS,
 ) -> DataFrame:
     """Add the part (test, val or train) of each row."""
+    spark = df.sparkSession
     hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
     bucket = F.conv(F.substring(hashed, 1, _HEX), 16, 10).cast("int")
     key = F.struct(hashed.alias("h"), F.col(row_id).alias("id"))
 
     hist = cut_lineage(df.select(label, bucket.alias("b")).groupBy(label, "b").agg(F.count(F.lit(1)).alias("c")))
-    sizes = part_sizes(hist.groupBy(label).agg(F.sum("c").alias("n")), label, plan, class_limit)
+    counts = hist.groupBy(label).agg(F.sum("c").alias("n"))
+    few = bounded_rows(counts, class_limit)
+    if few is not None:
+        listed = {r[label]: r["n"] for r in few}
+        if None in listed:
+            raise ValueError("a row has no label")
+        kind = df.schema[label].dataType.simpleString()
+        sizes = spark.createDataFrame(listed_sizes(listed, plan), f"`{label}` {kind}, n bigint, test bigint, val bigint")
+    else:
+        if hist.filter(F.col(label).isNull()).limit(1).count():
+            raise ValueError("a row has no label")
+        sizes = ranked_sizes(counts, label, plan)
+
+    def settled(table: DataFrame) -> DataFrame:
+        """One row per class: a literal table for a listed set of classes, else stored."""
+        return cut_lineage(table) if few is None else spark.createDataFrame(table.collect(), table.schema)
 
     # The last rank of each part inside its class, and the bucket in which it falls.
     last = [("test", F.col("test")), ("val", F.col("test") + F.col("val"))]
     marks = sizes.select(label, "n", F.inline(F.array(*[F.struct(F.lit(p).alias("part"), r.alias("upto")) for p, r in last])))
     upper = F.sum("c").over(Window.partitionBy(label).orderBy("b"))
-    edges = cut_lineage(
+    edge = F.struct("part", "b", (F.col("upto") - F.col("hi") + F.col("c")).alias("need"))
+    edges = settled(
         hist.withColumn("hi", upper)
         .join(marks, label)
         .filter("upto > hi - c and upto <= hi")
         .groupBy(label)
-        .agg(
-            F.any_value("n").alias("n"),
-            F.collect_list(F.struct("part", "b", (F.col("upto") - F.col("hi") + F.col("c")).alias("need"))).alias("edges"),
-        )
+        .agg(F.any_value("n").alias("n"), F.collect_list(edge).alias("edges"))
     )
 
     # Only the rows of these buckets are ranked, a 65,536th part of a class each.
     near = lookup(df.select(label, bucket.alias("b"), key.alias("k")), edges, label, "n")
     near = near.filter(F.exists("edges", lambda e: e["b"] == F.col("b")))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(label, "b").orderBy("k")))
-    near = near.select(label, "k", "b", "r", F.inline(F.transform("edges", lambda e: F.struct(e["part"].alias("part"), e["b"].alias("eb"), e["need"].alias("need")))))
-    near = near.filter("b = eb and r = need")
-    limits = [F.max(F.when(F.col("part") == p, F.col("k"))).alias(f"_{p}") for p, _ in last]
-    limit = cut_lineage(sizes.select(label, "n").join(near.groupBy(label).agg(*limits), label, "left"))
+    near = near.select(label, "k", "b", "r", F.explode("edges").alias("e")).filter("b = e.b and r = e.need")
+    limits = [F.max(F.when(F.col("e.part") == p, F.col("k"))).alias(f"_{p}") for p, _ in last]
+    limit = settled(sizes.select(label, "n").join(near.groupBy(label).agg(*limits), label, "left"))
 
     part = F.lit("train")
     for p, _ in reversed(last):

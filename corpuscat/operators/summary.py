@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import clean_text, sentences, words
+from corpuscat.functions.text import sentences, words
 from corpuscat.operators.scale import lookup, spread
 from corpuscat.operators.tokens import token_counts
 from corpuscat.session import cut_lineage
@@ -19,7 +19,7 @@ def extractive_summary(df: DataFrame, row_id: str, text: str, weights: DataFrame
     """
     weights = cut_lineage(token_counts(df, text)) if weights is None else weights
     parts = spread(df.select(row_id, text)).select(row_id, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    each = parts.select(row_id, "pos", F.explode(words(clean_text(F.col("sentence")))).alias("token"))
+    each = parts.select(row_id, "pos", F.explode(words(F.col("sentence"))).alias("token"))
     weighed = lookup(each, weights.select("token", "n", F.col("n").alias("w")), "token", "n", "left")
     mean = (F.sum(F.coalesce("w", F.lit(0))) / F.count(F.lit(1))).alias("score")
     scored = weighed.groupBy(row_id, "pos").agg(mean)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import clean_text, words
+from corpuscat.functions.text import word_array
 from corpuscat.operators.frequency import frequencies
 from corpuscat.operators.scale import lookup, rank_all, spread
 
@@ -16,7 +16,7 @@ FIRST_ID = 4
 
 def token_counts(df: DataFrame, text: str) -> DataFrame:
     """``(token, n)`` over the normalised words of a text column."""
-    each = spread(df.select(text)).select(F.explode(words(clean_text(F.col(text)))).alias("token"))
+    each = spread(df.select(text)).select(F.explode(word_array(df, text)).alias("token"))
     return frequencies(each, "token").withColumnRenamed("value", "token")
 
 
@@ -41,7 +41,7 @@ def encode(df: DataFrame, row_id: str, text: str, vocab: DataFrame, length: int
     The fixed length is the operator's meaning: the model input ends there. Words past it
     are dropped before they are looked up. A text without words still yields its row.
     """
-    first = F.slice(words(clean_text(F.col(text))), 1, length - 2)
+    first = F.slice(word_array(df, text), 1, length - 2)
     each = spread(df.select(row_id, text)).select(row_id, F.posexplode_outer(first).alias("pos", "token"))
     ids = lookup(each, vocab.select("token", "id", "n"), "token", "n", "left")
     one = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce(F.col("id").cast("int"), F.lit(UNK)).alias("id")))
@@ -53,7 +53,7 @@ def encode(df: DataFrame, row_id: str, text: str, vocab: DataFrame, length: int
 def length_profile(df: DataFrame, text: str, limit: int = 512) -> DataFrame:
     """Words per text: count, mean, quartiles, maximum, share that encoding would cut."""
     # Counted per distinct length first, so that the exact percentile gets a short table.
-    n = F.size(words(clean_text(F.col(text)))).alias("t")
+    n = F.size(word_array(df, text)).alias("t")
     lengths = spread(df.select(text)).select(n).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
     total = F.sum("c")
     return (

@@ -56,15 +56,15 @@ def profile_nulls(spark, folder):
 @query(
     "profile_numeric",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
-        f"min({c}) AS min, round(quantile_cont({c}, 0.25), 6) AS p25, round(quantile_cont({c}, 0.5), 6) AS p50, "
-        f"round(quantile_cont({c}, 0.75), 6) AS p75, max({c}) AS max FROM lineitem"
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, "
+        f"min({c}) AS min, round(quantile_cont({c}, 0.25), 7) AS p25, round(quantile_cont({c}, 0.5), 7) AS p50, "
+        f"round(quantile_cont({c}, 0.75), 7) AS p75, max({c}) AS max FROM lineitem"
         for c in SUMMED
     ),
 )
 def profile_numeric(spark, folder):
     out = profile.numeric_summary(table(spark, folder, "lineitem"), SUMMED)
-    return out.select("column", "n", *[F.round(c, 6).alias(c) if c not in ("min", "max") else c for c in out.columns[2:]])
+    return out.select("column", "n", *[F.round(c, 7).alias(c) if c not in ("min", "max") else c for c in out.columns[2:]])
 
 
 CANONICAL_CTES = f"""{CORPUS},

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuscat.functions.text import words as split_words
 from corpuscat.operators import bayes, evaluate, labels, linear, split
 from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog import registry
@@ -15,8 +16,13 @@ ALPHAS = (0.1, 1.0, 10.0)
 
 
 def documents_by(spark, folder, category: str):
-    """``(row_id, text, category, label, split)``: documents with an indexed label and 64/16/20 parts."""
-    docs = spread(table(spark, folder, "documents")).select(F.col("doc_id").alias("row_id"), "text", F.col(category).alias("category"))
+    """``(row_id, words, category, label, split)``: documents with an indexed label and 64/16/20 parts.
+
+    Words are stored once here; fitting and both branches of scoring read them.
+    """
+    docs = spread(table(spark, folder, "documents")).select(
+        F.col("doc_id").alias("row_id"), split_words(F.col("text")).alias("words"), F.col(category).alias("category")
+    )
     labelled = labels.attach_label(docs, "category", labels.label_index(docs, "category"))
     return cut_lineage(split.split_64_16_20(labelled, "label", "row_id"))
 
@@ -73,8 +79,8 @@ def rounded(df):
 
 def predictions(spark, folder, category: str, part: str, alphas: tuple[float, ...] = (1.0,)):
     rows = documents_by(spark, folder, category)
-    model = bayes.fit_bayes(rows.filter("split = 'train'"), "text", "label")
-    return bayes.bayes_predict(rows.filter(F.col("split") == part), "row_id", "text", "label", model, alphas)
+    model = bayes.fit_bayes(rows.filter("split = 'train'"), "words", "label")
+    return bayes.bayes_predict(rows.filter(F.col("split") == part), "row_id", "words", "label", model, alphas)
 
 
 NB_SQL = f"{_bayes('lang', 'test', (1.0,))} SELECT row_id, label, prediction, round(score, 4) AS score FROM predicted"
@@ -142,7 +148,7 @@ def _tested(model, test):
 
 @query("lr_text")
 def lr_text(spark, folder):
-    rows = linear.with_words(documents_by(spark, folder, "lang"), "text")
+    rows = documents_by(spark, folder, "lang")
     model = linear.word_regression().fit(rows.filter("split = 'train'"))
     return _tested(model, rows.filter("split = 'test'"))
 

@@ -32,9 +32,9 @@ def src_materialise(spark, folder):
 def model_save_load(spark, folder):
     rows = models.documents_by(spark, folder, "lang")
     path = scratch_path(spark, "model")
-    bayes.fit_bayes(rows.filter("split = 'train'"), "text", "label").save(path)
+    bayes.fit_bayes(rows.filter("split = 'train'"), "words", "label").save(path)
     model = bayes.BayesModel.load(spark, path)
-    out = bayes.bayes_predict(rows.filter("split = 'test'"), "row_id", "text", "label", model)
+    out = bayes.bayes_predict(rows.filter("split = 'test'"), "row_id", "words", "label", model)
     return out.select("row_id", "label", "prediction", F.round("score", 4).alias("score"))
 
 
