@@ -80,6 +80,7 @@ def lookup(
     weight: str,
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
+    bounded: bool = False,
 ) -> DataFrame:
     """Join many ``rows`` to a stored ``table`` with one row per ``key``, safe under hot keys.
 
@@ -88,12 +89,12 @@ def lookup(
     frequent keys, as many as surely fit, are broadcast; the few rows with other keys go
     through a shuffle join, where no key is hot any more. ``how`` is inner, left or
     left_semi; the result has the columns of ``rows`` plus, unless semi, the table's other
-    columns without ``weight``.
+    columns without ``weight``. ``bounded`` says that the caller has checked the size.
     """
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     slim = table.select(key, *payload)
     size = row_bytes(slim)
-    if planned_bytes(table) <= min(SURE_BYTES, max_bytes):
+    if bounded or planned_bytes(table) <= min(SURE_BYTES, max_bytes):
         return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
     total, widest = slim.agg(F.sum(size), F.max(F.when(size <= ROW_BYTES, size))).first()
     if (total or 0) <= max_bytes:

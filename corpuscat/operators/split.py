@@ -132,7 +132,7 @@ def stratified_split(
     )
 
     # Only the rows of these buckets are ranked, a 65,536th part of a class each.
-    near = lookup(df.select(label, bucket.alias("b"), key.alias("k")), edges, label, "n")
+    near = lookup(df.select(label, bucket.alias("b"), key.alias("k")), edges, label, "n", bounded=few is not None)
     near = near.filter(F.exists("edges", lambda e: e["b"] == F.col("b")))
     near = near.withColumn("r", F.row_number().over(Window.partitionBy(label, "b").orderBy("k")))
     near = near.select(label, "k", "b", "r", F.explode("edges").alias("e")).filter("b = e.b and r = e.need")
@@ -142,7 +142,7 @@ def stratified_split(
     part = F.lit("train")
     for p, _ in reversed(last):
         part = F.when(key <= F.col(f"_{p}"), p).otherwise(part)
-    return lookup(df, limit, label, "n").withColumn(out, part).select(*df.columns, out)
+    return lookup(df, limit, label, "n", bounded=few is not None).withColumn(out, part).select(*df.columns, out)
 
 
 def split_64_16_20(df: DataFrame, label: str, row_id: str, seed: int = 42) -> DataFrame:
