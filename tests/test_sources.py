@@ -1,3 +1,5 @@
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import types as T
 
@@ -40,13 +42,15 @@ def test_report(spark, tmp_path):
     assert (r["model_name"], r["max_length"], r["test_metrics"]["macro_f1"]) == ("m", 512, 0.25)
 
 
-def test_shared_dir_comes_from_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == str(tmp_path)
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def session_with(folder, master):
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    return SimpleNamespace(conf={"spark.checkpoint.dir": folder}, sparkContext=context)
+
+
+def test_shared_dir_comes_from_the_session():
+    assert shared_dir(session_with("hdfs://x/shared", "yarn")) == "hdfs://x/shared"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session_with(None, "yarn"))
 
 
 def corpus(spark):
