@@ -44,7 +44,7 @@ def fit_bayes(df: DataFrame, text: str, label: str) -> BayesModel:
     docs = df.groupBy(y).agg(F.count(F.lit(1)).alias("docs"))
     vocab = terms.count()
     classes = docs.join(tokens, "label", "left").fillna(0, ["tokens"]).withColumn("vocab", F.lit(vocab).cast("bigint"))
-    return BayesModel(terms, cut_lineage(classes))
+    return BayesModel(terms, classes)
 
 
 def bayes_scores(

@@ -44,4 +44,5 @@ def label_from_list(df: DataFrame, col: str, index: DataFrame) -> DataFrame:
     """Label of the first class, in sorted order, that a row's list holds."""
     chosen = df.withColumn("category", F.array_min(col))
     n = frequencies(chosen, "category").withColumnRenamed("value", "category")
-    return attach_label(chosen, "category", index.drop("n").join(n, "category"))
+    weighed = cut_lineage(index.drop("n").join(n, "category"))
+    return attach_label(chosen, "category", weighed)

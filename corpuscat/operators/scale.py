@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from corpuscat.session import cut_lineage
@@ -129,6 +129,18 @@ def range_placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
+def block_offsets(placed: DataFrame, size: Column, start: int = 0) -> Column:
+    """Total ``size`` of all rows in earlier blocks, plus ``start``, from one sum per block."""
+    sizes = {r["_block"]: r["s"] for r in placed.groupBy("_block").agg(F.sum(size).alias("s")).collect()}
+    offsets, total = [], start
+    for b in range(max(sizes, default=-1) + 1):
+        offsets.append(total)
+        total += sizes.get(b, 0)
+    if not offsets:
+        return F.lit(start).cast("bigint")
+    return F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_block"))
+
+
 def rank_all(df: DataFrame, order: Sequence[Column], out: str, start: int = 0) -> DataFrame:
     """Add the 0-based position of each row in a total ``order``, plus ``start``.
 
@@ -136,10 +148,13 @@ def rank_all(df: DataFrame, order: Sequence[Column], out: str, start: int = 0) -
     driver, where a window without partitioning would send all rows to one task.
     """
     placed = range_placed(df, order)
-    sizes = {r["_block"]: r["n"] for r in placed.groupBy("_block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, total = [], start
-    for b in range(max(sizes, default=-1) + 1):
-        offsets.append(total)
-        total += sizes.get(b, 0)
-    first = F.get(F.array(*[F.lit(o).cast("bigint") for o in offsets]), F.col("_block")) if offsets else F.lit(start)
+    first = block_offsets(placed, F.lit(1), start)
     return placed.withColumn(out, (first + F.col("_place")).cast("bigint")).drop("_block", "_place")
+
+
+def total_before(df: DataFrame, order: Sequence[Column], size: str, out: str) -> DataFrame:
+    """Add the sum of ``size`` over all rows earlier in a total ``order``."""
+    placed = range_placed(df, order)
+    upto = F.sum(size).over(Window.partitionBy("_block").orderBy("_place"))
+    first = block_offsets(placed, F.col(size))
+    return placed.withColumn(out, first + upto - F.col(size)).drop("_block", "_place")

@@ -18,13 +18,14 @@ ALPHAS = (0.1, 1.0, 10.0)
 def documents_by(spark, folder, category: str):
     """``(row_id, words, category, label, split)``: documents with an indexed label and 64/16/20 parts.
 
-    Words are stored once here; fitting and both branches of scoring read them.
+    Words are stored once; labels and parts are joined on as the table is read.
     """
     docs = spread(table(spark, folder, "documents")).select(
         F.col("doc_id").alias("row_id"), split_words(F.col("text")).alias("words"), F.col(category).alias("category")
     )
+    docs = cut_lineage(docs)
     labelled = labels.attach_label(docs, "category", labels.label_index(docs, "category"))
-    return cut_lineage(split.split_64_16_20(labelled, "label", "row_id"))
+    return split.split_64_16_20(labelled, "label", "row_id")
 
 
 def _bayes(category: str, part: str, alphas: tuple[float, ...]) -> str:

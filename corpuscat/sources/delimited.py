@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpuscat.operators.scale import rank_all
+from corpuscat.operators.scale import lookup, total_before
+from corpuscat.session import cut_lineage
 
 # The movie-plot corpus, with the stored row index first.
 CORPUS_SCHEMA = T.StructType(
@@ -48,9 +49,7 @@ def read_delimited(
         .csv(path if isinstance(path, str) else list(path))
     )
     if row_id not in schema.fieldNames():
-        numbered = df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
-        numbered = rank_all(numbered, [F.col("_file"), F.col("_at")], row_id)
-        df = numbered.select(row_id, *df.columns)
+        df = _numbered(df, row_id)
     for f in schema.fields:
         if na_values and isinstance(f.dataType, T.StringType):
             c = F.col(f"`{f.name}`")
@@ -60,6 +59,19 @@ def read_delimited(
     return df
 
 
+def _numbered(df: DataFrame, row_id: str) -> DataFrame:
+    """Store the rows and number them in file order, without moving them.
+
+    A file lies in one task, so its rows have consecutive ids; the rows of earlier files
+    are counted per file.
+    """
+    placed = cut_lineage(df.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at")))
+    files = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    files = cut_lineage(total_before(files, [F.col("_file")], "_n", "_before"))
+    joined = lookup(placed, files, "_file", "_n")
+    return joined.select((F.col("_before") + F.col("_at") - F.col("_first")).alias(row_id), *[f"`{c}`" for c in df.columns])
+
+
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write so that ``read_delimited`` returns the same text; '' is read back as null."""
     df.write.mode(mode).options(

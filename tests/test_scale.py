@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from corpuscat.operators import frequency, labels, profile, scale
 from corpuscat.operators.frequency import frequencies
-from corpuscat.operators.scale import lookup, rank_all
+from corpuscat.operators.scale import lookup, rank_all, total_before
 from corpuscat.session import cut_lineage
 
 
@@ -33,6 +33,15 @@ def test_rank_all(spark):
     assert rank_all(df.limit(0), [F.col("v")], "i").count() == 0
 
 
+def test_total_before(spark):
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("v"), (F.col("id") % 5).alias("s")).repartition(6)
+    rows = total_before(df, [F.col("v")], "s", "b").orderBy("v").collect()
+    total = 0
+    for r in rows:
+        assert r["b"] == total
+        total += r["s"]
+
+
 def test_quantiles_by_sorting_equal_percentile(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 501).cast("double").alias("a"), F.when(F.col("id") % 4 > 0, F.sqrt("id")).alias("b"), F.lit(None).cast("int").alias("c"))
     few = profile.numeric_summary(df).orderBy("column").collect()
