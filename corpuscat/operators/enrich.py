@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from corpuscat.functions.text import is_blank, prompt
+from corpuscat.operators.scale import spread
 
 Client = Callable[[str], str]
 
@@ -45,10 +46,11 @@ def enrich_text(
     """Add the client's reply to the prompt, and ``ok``, ``failed`` or ``blank``.
 
     One client per task. A blank text gives '' and is never sent; a failed call gives the
-    original text. Only the prompt goes to Python, the other columns stay in the JVM.
+    original text. Only the prompt goes to Python, the other columns stay in the JVM. Calls
+    are slow, so a small input is dealt over all cores.
     """
     sent = F.when(~is_blank(F.col(text)), prompt(template, F.col(text)))
-    asked = df.withColumn("_r", _reply_column(make_client)(sent))
+    asked = spread(df).withColumn("_r", _reply_column(make_client)(sent))
     result = F.when(F.col("_r.status") == "blank", "").when(F.col("_r.status") == "failed", F.col(text)).otherwise(F.col("_r.reply"))
     return asked.select(*df.columns, result.alias(out), F.col("_r.status").alias(status))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscat.functions.text import clean_text, slug, split_list
 from corpuscat.operators import filters, frequency, profile
+from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog.registry import CORPUS, clean, items, query
 from corpuscat.plans.prepare import canonical_stages
 from corpuscat.sources.tables import documents_corpus, table
@@ -129,7 +130,7 @@ def fill_defaults(spark, folder):
 
 @query("clean_text", f"SELECT doc_id, {clean('text')} AS cleaned FROM documents")
 def clean_documents(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", clean_text(F.col("text")).alias("cleaned"))
+    return spread(table(spark, folder, "documents")).select("doc_id", clean_text(F.col("text")).alias("cleaned"))
 
 
 @query("category_list", f"WITH {CORPUS} SELECT row_id, array_to_string({items('genre')}, '|') AS genre_list FROM corpus")
