@@ -81,6 +81,7 @@ def lookup(
     how: str = "inner",
     max_bytes: int = BROADCAST_BYTES,
     bounded: bool = False,
+    complete: bool = False,
 ) -> DataFrame:
     """Join many ``rows`` to a stored ``table`` with one row per ``key``, safe under hot keys.
 
@@ -90,6 +91,10 @@ def lookup(
     through a shuffle join, where no key is hot any more. ``how`` is inner, left or
     left_semi; the result has the columns of ``rows`` plus, unless semi, the table's other
     columns without ``weight``. ``bounded`` says that the caller has checked the size.
+
+    A left join also has to pass rows whose key the table lacks, and such a key may be hot
+    too. They are counted, and the most frequent are settled by broadcast; ``complete``
+    says that the table has every key and saves this pass.
     """
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     slim = table.select(key, *payload)
@@ -104,6 +109,8 @@ def lookup(
     fitting = max_bytes // (widest or ROW_BYTES)
     order = [F.desc(weight), F.col(key)]
     hot = cut_lineage(table.filter(size <= ROW_BYTES).orderBy(*order).limit(fitting).select(key, *payload))
+    if how == "left" and not complete:
+        hot = cut_lineage(hot.unionByName(_absent_keys(rows, slim, hot, key, max_bytes), allowMissingColumns=True))
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     settled = F.col("_hot").isNotNull()
     if how == "left":
@@ -114,6 +121,20 @@ def lookup(
     return found.unionByName(rest.join(cold, key, how).select(*rows.columns, *payload))
 
 
+def _absent_keys(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, max_bytes: int) -> DataFrame:
+    """The most frequent keys of ``rows`` that ``table`` lacks, as many as fit."""
+    counts = (
+        rows.select(key)
+        .filter(F.col(key).isNotNull())
+        .join(F.broadcast(hot.select(key)), key, "left_anti")
+        .groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .join(table.select(key), key, "left_anti")
+    )
+    narrow = row_bytes(counts.select(key)) <= KEY_BYTES
+    return counts.filter(narrow).orderBy(F.desc("_n"), key).limit(max_bytes // KEY_BYTES).select(key)
+
+
 def range_placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``df`` sorted over all partitions and stored, with its block and place in the block."""
     pos = F.col("_pos")

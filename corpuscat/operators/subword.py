@@ -76,7 +76,7 @@ def subword_encode(
     # Python work per word is costly for its bytes: keep all shuffle partitions.
     counts = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
     split_words = cut_lineage(counts.mapInPandas(split, "token string, n bigint, ids array<int>"))
-    joined = lookup(each, split_words, "token", "n", "left")
+    joined = lookup(each, split_words, "token", "n", "left", complete=True)
     one = F.when(F.size(F.coalesce("ids", F.array().cast("array<int>"))) > 0, F.struct("pos", "ids"))
     lists = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(one)).alias("l"))
     flat = F.slice(F.flatten(F.col("l.ids")), 1, length - 2)

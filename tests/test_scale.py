@@ -16,8 +16,9 @@ def skewed(spark):
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
 @pytest.mark.parametrize("max_bytes", [0, 800, 10_000, 1 << 26])
-def test_lookup_equals_plain_join(spark, skewed, how, max_bytes):
-    counts = frequencies(skewed, "key").filter("value not in ('k7', 'k8')")
+@pytest.mark.parametrize("absent", [("k7", "k8"), ("hot", "k7")])
+def test_lookup_equals_plain_join(spark, skewed, how, max_bytes, absent):
+    counts = frequencies(skewed, "key").filter(~F.col("value").isin(*absent))
     table = cut_lineage(counts.select(F.col("value").alias("key"), "n", F.length("value").alias("w")))
     got = lookup(skewed, table, "key", "n", how, max_bytes=max_bytes)
     want = skewed.join(table.drop("n"), "key", how).select(*got.columns)
@@ -25,6 +26,12 @@ def test_lookup_equals_plain_join(spark, skewed, how, max_bytes):
     assert got.exceptAll(want).count() == 0
 
 
+def test_hot_keys_stay_out_of_the_shuffle_join(spark, skewed, plan_of):
+    table = cut_lineage(frequencies(skewed, "key").filter("value <> 'hot'").select(F.col("value").alias("key"), "n", F.lit(1).alias("w")))
+    small = scale._absent_keys(skewed, table, table.limit(0), "key", scale.KEY_BYTES)
+    assert [r["key"] for r in small.collect()] == ["hot"]
+
+
 def test_rank_all(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("v"), (F.col("id") % 13).alias("g")).repartition(7)
     got = {(r["g"], r["v"]): r["i"] for r in rank_all(df, [F.desc("g"), F.col("v")], "i", start=4).collect()}
