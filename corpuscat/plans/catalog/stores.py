@@ -40,10 +40,11 @@ def model_save_load(spark, folder):
 
 @query(
     "run_report",
-    f"{models._TEST} SELECT 'naive_bayes' AS model_name, 20 AS num_labels, {models.ROUNDED} FROM history",
+    f"{models._TEST} SELECT 'naive_bayes' AS model_name, (SELECT count(DISTINCT source) FROM documents) AS num_labels, {models.ROUNDED} FROM history",
 )
 def run_report(spark, folder):
     scores = evaluate.history(cut_lineage(models.predictions(spark, folder, "source", "test"))).drop("candidate")
-    config = {"model_name": "naive_bayes", "num_labels": 20}
+    classes = table(spark, folder, "documents").select("source").distinct().count()
+    config = {"model_name": "naive_bayes", "num_labels": classes}
     saved = stored.save_report(scores, config, scratch_path(spark, "report"))
-    return models.rounded(saved.select("model_name", "num_labels", "test_metrics.*"))
+    return models.rounded(saved.select("model_name", F.col("num_labels").cast("bigint"), "test_metrics.*"))
