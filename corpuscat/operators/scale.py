@@ -135,6 +135,25 @@ def _absent_keys(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, ma
     return counts.filter(narrow).orderBy(F.desc("_n"), key).limit(max_bytes // KEY_BYTES).select(key)
 
 
+def salted_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: Column, how: str = "inner") -> DataFrame:
+    """Join many ``rows`` to a stored ``table`` with one row per ``key``, no key in one task.
+
+    ``weight`` says how many rows each key has. A key with more than an even share of a
+    partition is dealt over as many salts as it has shares, and only such keys' table rows
+    are repeated. Fewer keys than partitions can be that heavy, which bounds the broadcast
+    list of them. ``spread_by`` must depend on the row alone, so that a task that runs
+    again deals alike. The result has the columns of ``rows`` and the table's others.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(total // parts, 1) + 1
+    heavy = table.filter(F.col(weight) > limit).select(key, F.ceil(F.col(weight) / limit).cast("int").alias("_salts"))
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    many = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
+    one = table.drop(weight).join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return many.drop("_salts").join(one.drop("_salts"), [key, "_salt"], how).select(*rows.columns, *[c for c in table.columns if c not in (key, weight)])
+
+
 def range_placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``df`` sorted over all partitions and stored, with its block and place in the block."""
     pos = F.col("_pos")
