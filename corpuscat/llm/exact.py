@@ -9,6 +9,7 @@ from corpuscat.session import cut_lineage
 
 # A run of white space that is not one space already.
 _RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+HEAD = 64  # characters of a text that splitters are made of
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 
 
@@ -20,9 +21,10 @@ def one_space(text: Column) -> Column:
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``keep_id, group_size, kept, text_sha256`` for each row, dropped ones too.
 
-    Texts are equal when their normalised forms are. Splitters sampled from those forms
-    range-partition the rows, each partition is sorted on disk if need be, and a window
-    compares each text in full with its neighbour; the smallest id of a run stays.
+    Texts are equal when their normalised forms are. Splitters sampled from the heads of
+    those forms, with a digest for texts of one head, range-partition the rows. Each
+    partition is sorted, on disk if need be, and a window compares each text in full with
+    its neighbour; the smallest id of a run stays. Only heads and digests reach the driver.
 
     A text with more copies than an even share of a partition would fill one task. Such
     texts, fewer than there are partitions, are found by a count per digest that combines
@@ -47,8 +49,9 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     salts = F.ceil(F.coalesce(F.col("_xd_n"), F.lit(1)) / share)
     # Heavy texts are fewer than partitions, each of 80 bytes here.
     dealt = rows.join(F.broadcast(heavy), "_xd_sha", "left").withColumn("_xd_salt", F.pmod(F.xxhash64(key), salts).cast("int"))
-    ordered = dealt.repartitionByRange("_xd_norm", "_xd_salt").sortWithinPartitions("_xd_norm", "_xd_salt", key.asc_nulls_last())
-    run = Window.partitionBy("_xd_norm", "_xd_salt").orderBy(key.asc_nulls_last())
+    dealt = dealt.withColumn("_xd_head", F.substring("_xd_norm", 1, HEAD))
+    ordered = dealt.repartitionByRange("_xd_head", "_xd_sha", "_xd_salt")
+    run = Window.partitionBy("_xd_head", "_xd_sha", "_xd_salt", "_xd_norm").orderBy(key.asc_nulls_last())
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = ordered.withColumns(
         {

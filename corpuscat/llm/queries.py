@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpuscat.llm import exact, mixing, preference
+from corpuscat.llm import exact, language, mixing, near, pieces, preference, tokens, vectors
 from corpuscat.sources.tables import table
 
+MODEL = "piece_bpe_32k.model"
+
+
+def model_path(name: str = MODEL) -> str:
+    """Where the public tokenizer file is, on the driver as on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.count_tokens(table(spark, folder, "documents"), model_path())
+
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -21,6 +35,24 @@ g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
 
 
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs.select("doc_id", "text"), language.fit_on(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_vector_links(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.link_vectors(table(spark, folder, "embeddings"))
+
+
+def op6_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode_decode(table(spark, folder, "documents"), model_path())
+
+
+def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near.near_classes(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     chosen = mixing.choose_copies(table(spark, folder, "documents"))
     return chosen.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -59,6 +91,9 @@ FROM ids i JOIN n ON i.pair_id = n.pair_id JOIN placed p ON p.pair_id = i.pair_i
 GROUP BY i.pair_id, chosen_id, rejected_id, n.n"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_exact_dedup, op9_mix_sources, op10_preference)
+    f.__name__: f
+    for f in (
+        op1_token_counts, op3_exact_dedup, op4_language, op5_vector_links, op6_pieces, op7_near_dedup, op9_mix_sources, op10_preference,
+    )
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op10_preference": OP10_SQL}
