@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscat.llm import exact, language, mixing, near, pieces, preference, tokens, vectors
+from corpuscat.llm import exact, html, language, mixing, near, pieces, preference, private, tokens, vectors
 from corpuscat.sources.tables import table
 
 MODEL = "piece_bpe_32k.model"
@@ -24,6 +24,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(table(spark, folder, "documents"), model_path())
 
 
+def op2_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract_text(table(spark, folder, "pages"))
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact.mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -53,6 +57,10 @@ def op7_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_classes(table(spark, folder, "documents"))
 
 
+def op8_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return private.cover_documents(table(spark, folder, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     chosen = mixing.choose_copies(table(spark, folder, "documents"))
     return chosen.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -93,7 +101,8 @@ GROUP BY i.pair_id, chosen_id, rejected_id, n.n"""
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op3_exact_dedup, op4_language, op5_vector_links, op6_pieces, op7_near_dedup, op9_mix_sources, op10_preference,
+        op1_token_counts, op2_main_text, op3_exact_dedup, op4_language, op5_vector_links, op6_pieces, op7_near_dedup, op8_pseudonyms,
+        op9_mix_sources, op10_preference,
     )
 }
 ORACLES: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op10_preference": OP10_SQL}
