@@ -54,7 +54,7 @@ NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 MARK = re.compile(r"\bdata-main\s*=\s*[\"']?([01])", re.I)
 LENGTHS = (1, 25, 80, 250, 800)
 FEATURES = len(ROLES) + 3 + len(LENGTHS) + 5
-STEPS = 3  # kinds of step from a parent: inline, block, and into something set apart
+STEPS = 4  # kinds of step from a parent: inline, block, into something set apart, into what names itself main
 
 
 @dataclass
@@ -199,7 +199,8 @@ def forest(pages: list[Page]) -> Forest:
     x[:, k + 3] = near[:, 2] >= 4
     x[:, k + 4] = 1
     apart = np.isin(kind, (1, 2, 3, 4, 5, 6)) | (x[:, len(ROLES)] > 0) | (x[:, len(ROLES) + 1] > 0)
-    return Forest(up, levels, x, np.where(apart, 2, np.where(block, 1, 0)), first)
+    main = (kind == 0) | (x[:, len(ROLES) + 2] > 0)
+    return Forest(up, levels, x, np.where(apart, 2, np.where(main, 3, np.where(block, 1, 0))), first)
 
 
 @functools.cache
@@ -252,7 +253,7 @@ def labels(page: Page) -> np.ndarray:
     return out
 
 
-def train(sources: list[str], rounds: int = 250, rate: float = 0.5, shrink: float = 0.002) -> Model:
+def train(sources: list[str], rounds: int = 400, rate: float = 0.5, shrink: float = 0.0005) -> Model:
     """Weights of greatest likelihood on labelled pages, shrunk a little towards 0.
 
     Elements with ``data-main="1"`` are main text with all below them, down to one with

@@ -24,6 +24,11 @@ def _text(start: int, n: int) -> str:
     return " ".join(_LINES[(start + k) % len(_LINES)] for k in range(n))
 
 
+def _bare(start: int, n: int) -> str:
+    """Text without a sentence end."""
+    return "".join(c for c in _text(start, n) if c.isalpha() or c == " ")
+
+
 def _links(start: int, n: int, item: str = "li") -> str:
     words = [_SHORT[(start + k) % len(_SHORT)] for k in range(n)]
     return "".join(f'<{item}><a href="/{w}">{w}</a></{item}>' if item else f'<a href="/{w}">{w}</a> ' for w in words)
@@ -79,6 +84,12 @@ LABELLED = [
     _page(f'<nav><ul>{_links(1, 5)}</ul></nav><article data-main="1"><h1>{_SHORT[6]} {_LINES[1][:30]}</h1><p>{_text(3, 40)}</p><p>{_LINES[4].upper()}</p><p>ok</p></article><footer>{_text(1, 9)}</footer>'),
     _page(f'<nav><ul>{_links(0, 6)}</ul></nav><div class="ad">{_text(5, 1)}</div><article data-main="1"><h1>{_LINES[5]}</h1><p><b>{_LINES[5]}<br><p></article><footer>{_text(2, 2)}</footer>'),
     _page(f'<nav><ul>{_links(3, 6)}</ul></nav><article data-main="1"><h1>{_SHORT[1]}</h1><p><b>{_SHORT[8]}<br><p></p></article><footer>{_text(6, 1)}</footer>'),
+    _page(f'<nav><ul>{_links(5, 6)}</ul></nav><div class="ad">{_text(2, 1)}</div><article data-main="1"><h1>{_bare(1, 1)}</h1><p><b>{_bare(1, 1)}<br><p>{_bare(3, 90)}</p></article><footer>{_text(0, 1)}</footer>'),
+    _page(f'<nav><ul>{_links(7, 6)}</ul></nav><article data-main="1"><h1>{"Word " * 12}</h1><p>{"Word " * 300}</p></article><footer>{_text(4, 1)}</footer>'),
+    # Very many short paragraphs.
+    _page(f'<nav><ul>{_links(6, 6)}</ul></nav><div class="ad">{_text(3, 1)}</div><article data-main="1"><h1>{_LINES[3]}</h1>{"<p>It was so.</p>" * 60}<p><b>Then<br><p>No.</p></article><footer>{_text(3, 1)}</footer>'),
+    _page(f'<header>{_links(2, 6, "")}</header><div class="post" data-main="1"><h2>{_SHORT[4]}</h2>{"<p>Go on, then</p><p>Why?</p>" * 25}{_paragraphs(1, 2)}</div><div class="footer"><p>{_text(6, 1)}</p></div>'),
+    _page(f'<nav><ul>{_links(8, 6)}</ul></nav><main data-main="1"><h1>{_SHORT[2]}</h1>{"".join(f"<p>{w}</p>" for w in _SHORT * 5)}</main><footer>{_text(1, 1)}</footer>'),
     # Tables of an old layout.
     _page(
         f'<table><tr><td class="nav">{_links(0, 6, "")}</td><td class="content" data-main="1"><h2>{_LINES[5]}</h2>{_paragraphs(0, 4)}</td></tr></table>'
@@ -101,3 +112,48 @@ LABELLED = [
     _page(f'<nav><ul>{_links(0, 9)}</ul></nav><form><label>Name</label><input><button>Sign in</button></form><footer><p>{_text(1, 1)}</p></footer>'),
     _page(f'<div class="sidebar"><p>{_text(0, 2)}</p><ul>{_links(3, 6)}</ul></div><aside class="banner"><p>{_text(4, 2)}</p></aside>'),
 ]
+
+# Many more by rule: containers of main text, with parts before, within and after it.
+_HOMES = (
+    ("<article>", "</article>"), ("<main>", "</main>"), ('<div class="article-body">', "</div>"), ('<div class="post-content">', "</div>"), ("<main><article>", "</article></main>"),
+    ('<div id="content">', "</div>"), ("<section>", "</section>"), ('<div class="entry">', "</div>"), ('<section class="story">', "</section>"), ("<div>", "</div>"),
+    ('<article class="hentry">', "</article>"), ('<div role="main">', "</div>"), ('<div itemprop="articleBody">', "</div>"),
+)
+
+
+def _before(k: int) -> str:
+    return (
+        f"<nav><ul>{_links(k, 6)}</ul></nav>", f'<div class="navbar">{_links(k, 5, "")}</div>', f"<header><p>{_SHORT[k % 10]}</p>{_links(k, 4, '')}</header>",
+        f'<div id="cookie-banner"><p>{_text(k, 2)}</p></div>', f'<div class="ad-slot"><p>{_text(k, 1)}</p></div>', f'<ul class="breadcrumbs">{_links(k, 3)}</ul>',
+        f'<div class="header">{_links(k, 5, "")}</div><div class="ad">{_text(k, 2)}</div>',
+    )[k % 7]
+
+
+def _within(k: int) -> str:
+    return (
+        "", f'<div class="ad-slot"><p>{_text(k, 1)}</p></div>', f'<aside><p>{_text(k, 2)}</p></aside>', "", f'<div class="share-bar">{_links(k, 4, "")}</div>',
+        f'<div class="related-posts"><ul>{_links(k, 4)}</ul></div>', "", f"<form><p>{_text(k, 1)}</p><button>Go</button></form>", f'<div class="notice"><p>{_text(k, 1)}</p></div>',
+    )[k % 9]
+
+
+def _after(k: int) -> str:
+    return (
+        f"<footer><p>{_text(k, 2)}</p></footer>", f'<div class="comments-area"><h3>Comments</h3><p>{_text(k, 3)}</p><p>{_text(k + 1, 1)}</p></div>',
+        f'<section id="comments"><h2>2 comments</h2><div><p>{_text(k, 2)}</p></div></section><footer>{_links(k, 5, "")}</footer>',
+        f'<aside><h4>Popular</h4><p>{_text(k, 2)}</p><ul>{_links(k, 5)}</ul></aside>', f"<footer>{_text(k, 1)}</footer>",
+        f'<div class="sidebar"><p>{_text(k, 3)}</p></div><div id="footer"><p>{_text(k, 1)}</p></div>',
+        f'<form class="newsletter-signup"><p>{_text(k, 1)}</p><input></form><footer><p>{_text(k, 1)}</p></footer>',
+        f'<ol class="comment-list"><li class="comment"><p>{_text(k, 2)}</p></li><li class="comment"><p>{_text(k, 1)}</p></li></ol>',
+    )[k % 8]
+
+
+def _by_rule(k: int) -> str:
+    opened, closed = _HOMES[k % len(_HOMES)]
+    head = (f"<h1>{_LINES[k % 8]}</h1>", f"<h2>{_SHORT[k % 10]}</h2>", f"<header><h1>{_LINES[k % 8]}</h1></header>", "")[k % 4]
+    extra = ("", f"<ul><li>{_LINES[k % 8]}</li><li>{_SHORT[k % 10]} first</li></ul>", f"<blockquote><p>{_text(k, 2)}</p></blockquote>", f"<h3>{_SHORT[k % 10]}</h3>{_paragraphs(k, 1)}", f"<pre>x = {k}</pre>", f"<p>{_bare(k, 1)}</p><p>{_bare(k, 60)}</p>")[k % 6]
+    aside = _within(k).replace(" class=", ' data-main="0" class=').replace("<aside>", '<aside data-main="0">').replace("<form>", '<form data-main="0">')
+    body = f"{head}{_paragraphs(k, 1 + k % 4)}{aside}{extra}{_paragraphs(k + 3, k % 3)}"
+    return _page(f'{_before(k)}{opened.replace(">", " data-main=1>", 1)}{body}{closed}{_after(k)}')
+
+
+LABELLED += [_by_rule(k) for k in range(91)]

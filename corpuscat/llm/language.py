@@ -63,10 +63,10 @@ def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     data = [f" {t.lower()} ".encode(errors="replace") for t in texts]
     b = _FOLD[np.frombuffer(b"".join(data), np.uint8)]
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(d) for d in data])
-    # One border between words.
+    # One border between the words of a text.
     edge = b == 32
     keep = np.ones(len(b), bool)
-    keep[1:] = ~(edge[1:] & edge[:-1])
+    keep[1:] = ~(edge[1:] & edge[:-1] & (owner[1:] == owner[:-1]))
     b, owner, edge = b[keep], owner[keep], edge[keep]
     grams, owners = [], []
     for n in GRAMS:
