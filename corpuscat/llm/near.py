@@ -22,7 +22,7 @@ REGISTERS = BANDS * ROWS
 # Signatures of texts as similar as SIMILAR agree in fewer registers once in 10,000 pairs.
 LIKELY = 0.65
 BUCKET = 256  # larger buckets make one family without a look at signatures
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20  # of a family that one task compares
+BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 18  # of a family that one task compares
 SLICE_BYTES = 2 << 20
 
 # An odd multiplier with its inverse mod 2^64, and the mixer's constants.
