@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscat.functions.text import word_array
-from corpuscat.operators.scale import bounded_rows, lookup, spread
+from corpuscat.operators.scale import lookup, spread
 from corpuscat.session import cut_lineage
 
-CLASS_LIMIT = 100_000
+LOG_UNIT = 1e11  # logarithms are summed as whole multiples of 1 / LOG_UNIT
 _SEEN = -1  # stands beside the labels for "the word is in the vocabulary"
 
 
@@ -44,97 +44,92 @@ def fit_bayes(df: DataFrame, text: str, label: str) -> BayesModel:
     docs = df.groupBy(y).agg(F.count(F.lit(1)).alias("docs"))
     vocab = terms.count()
     classes = docs.join(tokens, "label", "left").fillna(0, ["tokens"]).withColumn("vocab", F.lit(vocab).cast("bigint"))
-    return BayesModel(terms, classes)
+    return BayesModel(terms, cut_lineage(classes))
 
 
-def bayes_scores(
-    df: DataFrame, row_id: str, text: str, label: str, model: BayesModel, alphas: Sequence[float] = (1.0,)
-) -> DataFrame:
-    """``(row_id, label, candidate, scores)``, one row per smoothing candidate.
-
-    ``scores`` holds ``(label, score)`` of all classes. Words outside the model's
-    vocabulary do not count. A word adds ``ln((n + a) / a)`` to the classes that have it
-    and each seen word ``ln(a / (tokens + a V))`` to every class, so the join carries only
-    the (word, class) pairs that exist, and partial sums run before the shuffle.
-    """
-    rows = bounded_rows(model.classes, CLASS_LIMIT)
-    if rows is None:
-        raise ValueError("naive Bayes scores every class of a text; there are too many classes")
-    total = F.lit(sum(r["docs"] for r in rows)).cast("double")
+def _line(r: Column, a: float, total: int, vocab: int) -> tuple[Column, Column]:
+    """What class ``r`` (docs, tokens) scores without hits: a start and a step per seen word."""
+    start = F.log(r["docs"].cast("double") / F.lit(float(total)))
+    return start, F.log(F.lit(float(a)) / (r["tokens"].cast("double") + F.lit(float(a) * vocab)))
 
-    y = F.col(label).cast("bigint").alias("label")
-    each = spread(df.select(row_id, label, text)).select(row_id, y, F.explode_outer(word_array(df, text)).alias("token"))
-    hits = lookup(each, model.terms, "token", "n", "left")
-    seen = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(1).cast("bigint").alias("n"))
-    none = F.struct(F.lit(_SEEN).cast("bigint").alias("c"), F.lit(0).cast("bigint").alias("n"))
-    by = F.transform("by_label", lambda p: F.struct(p["label"].alias("c"), p["n"].alias("n")))
-    entries = F.when(F.col("by_label").isNull(), F.array(none)).otherwise(F.concat(F.array(seen), by))
-    parts = hits.select(row_id, "label", F.inline(entries).alias("c", "n"))
-    sums = [
-        F.sum(F.when(F.col("c") == _SEEN, F.col("n").cast("double")).otherwise(F.log((F.col("n") + F.lit(a)) / F.lit(a)))).alias(f"s{i}")
-        for i, a in enumerate(alphas)
-    ]
-    per_class = parts.groupBy(row_id, "label", "c").agg(*sums)
-    packed = F.struct(*[f"s{i}" for i in range(len(alphas))])
-    docs = per_class.groupBy(row_id, "label").agg(F.map_from_entries(F.collect_list(F.struct("c", packed))).alias("m"))
-
-    classes = F.array(
-        *[F.struct(F.lit(r["label"]).alias("c"), F.lit(r["docs"]).cast("double").alias("d"), F.lit(r["tokens"]).cast("double").alias("t")) for r in sorted(rows, key=lambda r: r["label"])]
-    )
-    vocab = float(rows[0]["vocab"]) if rows else 0.0
-    out = []
-    for i, a in enumerate(alphas):
-        n_seen = F.coalesce(F.try_element_at("m", F.lit(_SEEN).cast("bigint"))[f"s{i}"], F.lit(0.0))
-        scores = F.transform(
-            classes,
-            lambda k: F.struct(
-                k["c"].alias("label"),
-                (
-                    F.log(k["d"] / total)
-                    + F.coalesce(F.try_element_at("m", k["c"])[f"s{i}"], F.lit(0.0))
-                    + n_seen * F.log(F.lit(a) / (k["t"] + F.lit(a * vocab)))
-                ).alias("score"),
-            ),
-        )
-        out.append(F.struct(F.lit(i).alias("candidate"), F.lit(float(a)).alias("alpha"), scores.alias("scores")))
-    return docs.select(row_id, "label", F.inline(F.array(*out)))
-
-
-def best_class(scores: str = "scores") -> tuple[Column, Column]:
-    """The class with the highest score, and its score.
-
-    Scores equal to six places count as equal, and then the lowest label wins: sums over
-    words come in any order, so their last digits are not fixed.
-    """
-    top = F.array_max(
-        F.transform(
-            scores,
-            lambda s: F.struct(F.round(s["score"], 6).alias("rounded"), (-s["label"]).alias("neg"), s["score"].alias("score")),
-        )
-    )
-    return (-top["neg"]).cast("bigint"), top["score"]
 
+def _without_hits(classes: DataFrame, lengths: list[int], alphas: Sequence[float], total: int, vocab: int) -> DataFrame:
+    """``(seen, base)``: per candidate the best class without hits, and all such classes' peak and sum.
 
-def log_loss_of(scores: str, label: str) -> Column:
-    """``-ln p(label)`` under the softmax of the scores."""
-    peak = F.array_max(F.transform(scores, lambda s: s["score"]))
-    total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + F.exp(s["score"] - peak))
-    own = F.get(F.filter(scores, lambda s: s["label"] == F.col(label)), F.lit(0))["score"]
-    return peak + F.log(total) - own
+    A class without hits scores by the number of seen words alone, so this is done once for
+    each distinct number, not for each text.
+    """
+    lines = [_line(classes, a, total, vocab) for a in alphas]
+    each = classes.select("label", F.explode(F.lit(lengths).cast("array<bigint>")).alias("seen"), *[c.alias(f"{k}{i}") for i, ab in enumerate(lines) for k, c in zip("ab", ab)])
+    each = each.select("label", "seen", *[(F.col(f"a{i}") + F.col("seen") * F.col(f"b{i}")).alias(f"g{i}") for i in range(len(alphas))])
+    tops = each.groupBy("seen").agg(*[F.max(F.struct(F.col(f"g{i}").alias("score"), (-F.col("label")).alias("neg"))).alias(f"t{i}") for i in range(len(alphas))])
+    tops = cut_lineage(tops)
+    # One row for each distinct number of words in a text.
+    sums = each.join(F.broadcast(tops), "seen").groupBy("seen").agg(*[F.sum(F.exp(F.col(f"g{i}") - F.col(f"t{i}.score"))).alias(f"z{i}") for i in range(len(alphas))])
+    packed = [F.struct(F.col(f"t{i}.score").alias("peak"), (-F.col(f"t{i}.neg")).alias("label"), F.col(f"z{i}").alias("total")) for i in range(len(alphas))]
+    return cut_lineage(tops.join(sums, "seen").select("seen", F.array(*packed).alias("base")))
 
 
 def bayes_predict(
     df: DataFrame, row_id: str, text: str, label: str, model: BayesModel, alphas: Sequence[float] = (1.0,)
 ) -> DataFrame:
-    """``(row_id, candidate, alpha, label, prediction, score, loss)``."""
-    prediction, score = best_class()
-    scored = bayes_scores(df, row_id, text, label, model, alphas)
-    return scored.select(
-        row_id,
-        "candidate",
-        "alpha",
-        "label",
-        prediction.alias("prediction"),
-        score.alias("score"),
-        log_loss_of("scores", "label").alias("loss"),
-    )
+    """``(row_id, candidate, alpha, label, prediction, score, loss)``, one row per smoothing candidate.
+
+    Words outside the model's vocabulary do not count. A word adds ``ln((n + a) / a)`` to
+    the classes that have it and each seen word ``ln(a / (tokens + a V))`` to every class.
+    Words are counted per text, joined to the classes that have them and summed before the
+    shuffle, so a text only meets classes it has words of; all others score by its number
+    of words alone and are settled per number. Any number of classes will do.
+
+    Logarithms are summed as whole multiples of 1 / ``LOG_UNIT``, so sums do not depend on
+    their order and scores are compared as they are; on a tie the lowest label wins.
+    ``loss`` is ``-ln p(label)`` under the softmax of all scores; it is null for a label
+    that the model does not have.
+    """
+    n_alphas = range(len(alphas))
+    stats = model.classes.agg(F.sum("docs"), F.max("vocab")).first()
+    total, vocab = stats[0] or 0, stats[1] or 0
+    y = F.col(label).cast("bigint").alias("label")
+    each = spread(df.select(row_id, label, text)).select(row_id, y, F.explode_outer(word_array(df, text)).alias("token"))
+    counted = each.groupBy(row_id, "label", "token").agg(F.count(F.lit(1)).alias("tf"))
+    hits = lookup(counted, model.terms, "token", "n", "left")
+    # Beside the classes stands one entry that counts the seen words.
+    seen = F.when(F.col("by_label").isNull(), F.lit(0)).otherwise(F.lit(1)).cast("bigint")
+    by = F.transform(F.coalesce("by_label", F.array().cast("array<struct<label:bigint,n:bigint>>")), lambda p: F.struct(p["label"].alias("c"), p["n"].alias("n")))
+    entries = F.concat(F.array(F.struct(F.lit(_SEEN).cast("bigint").alias("c"), seen.alias("n"))), by)
+    parts = hits.select(row_id, "label", "tf", F.inline(entries).alias("c", "n"))
+    own = lambda a: (F.col("tf") * F.round(F.log((F.col("n") + F.lit(float(a))) / F.lit(float(a))) * LOG_UNIT).cast("bigint"))
+    words = F.sum(F.when(F.col("c") == _SEEN, F.col("tf") * F.col("n")).otherwise(0)).alias("words")
+    per_class = parts.groupBy(row_id, "label", "c").agg(words, *[F.sum(F.when(F.col("c") != _SEEN, own(a)).otherwise(0)).alias(f"s{i}") for i, a in enumerate(alphas)])
+    lines = [_line(model.classes, a, total, vocab) for a in alphas]
+    slim = cut_lineage(model.classes.select(F.col("label").alias("c"), "docs", *[c.alias(f"{k}{i}") for i, ab in enumerate(lines) for k, c in zip("ab", ab)]))
+    fits = lookup(per_class, slim, "c", "docs", "left")
+    packed = F.struct("c", *[f"{k}{i}" for i in n_alphas for k in "abs"])
+    docs = fits.groupBy(row_id, "label").agg(F.max("words").alias("seen"), F.collect_list(F.when(F.col("c") != _SEEN, packed)).alias("hits"))
+    # The classes of the labels themselves, for the loss of a label that the text does not hit.
+    docs = cut_lineage(docs)
+    lengths = [r["seen"] for r in docs.select("seen").distinct().collect()]
+    base = _without_hits(model.classes, lengths, alphas, total, vocab)
+    base = base.join(docs.groupBy("seen").agg(F.count(F.lit(1)).alias("texts")), "seen")
+    settled = lookup(docs, cut_lineage(base), "seen", "texts", complete=True)
+    truth = slim.select(F.col("c").alias("label"), "docs", F.struct(*[f"{k}{i}" for i in n_alphas for k in "ab"]).alias("own"))
+    settled = lookup(settled, cut_lineage(truth), "label", "docs", "left")
+    return settled.select(row_id, "label", F.inline(F.array(*[_settle(i, a) for i, a in enumerate(alphas)])))
+
+
+def _settle(i: int, a: float) -> Column:
+    """Prediction, score and loss of one candidate from a text's hits and the best class without any."""
+    seen = F.col("seen")
+    floor = lambda p: p[f"a{i}"] + seen * p[f"b{i}"]
+    scored = F.transform("hits", lambda p: F.struct((floor(p) + p[f"s{i}"] / F.lit(LOG_UNIT)).alias("score"), (-p["c"]).alias("neg"), floor(p).alias("floor")))
+    base = F.get("base", F.lit(i))
+    # A class with hits scores more than without, so the best without hits may stand for all others.
+    top = F.array_max(F.concat(F.transform(scored, lambda p: F.struct(p["score"].alias("score"), p["neg"].alias("neg"))), F.array(F.struct(base["peak"].alias("score"), (-base["label"]).alias("neg")))))
+    peak = top["score"]
+    rest = base["total"] * F.exp(base["peak"] - peak) - F.aggregate(scored, F.lit(0.0), lambda acc, p: acc + F.exp(p["floor"] - peak))
+    mass = F.greatest(rest, F.lit(0.0)) + F.aggregate(scored, F.lit(0.0), lambda acc, p: acc + F.exp(p["score"] - peak))
+    mine = F.coalesce(F.get(F.filter(scored, lambda p: p["neg"] == -F.col("label")), F.lit(0))["score"], floor(F.col("own")))
+    return F.struct(
+        F.lit(i).alias("candidate"), F.lit(float(a)).alias("alpha"), (-top["neg"]).cast("bigint").alias("prediction"),
+        peak.alias("score"), (peak + F.log(mass) - mine).alias("loss"),
+    )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuscat.session import cut_lineage
+
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*by, F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
@@ -69,8 +71,13 @@ def log_loss(df: DataFrame, loss: str = "loss", by: Sequence[str] = ()) -> DataF
 
 
 def history(predictions: DataFrame, by: Sequence[str] = ("candidate",)) -> DataFrame:
-    """One row of metrics per candidate."""
-    return metrics(confusion(predictions, by=by), by).join(log_loss(predictions, by=by), list(by))
+    """One row of metrics per candidate, from one pass over the predictions."""
+    counts = predictions.groupBy(*by, "label", "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"), F.count("loss").alias("n_loss")
+    )
+    counts = cut_lineage(counts)
+    loss = counts.groupBy(*by).agg((F.sum("loss") / F.sum("n_loss")).alias("log_loss"))
+    return metrics(counts, by).join(loss, list(by))
 
 
 def select_best(hist: DataFrame, metric: str = "micro_f1") -> DataFrame:

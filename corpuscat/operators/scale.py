@@ -13,11 +13,8 @@ from pyspark.sql import functions as F
 
 from corpuscat.session import cut_lineage
 
-# What may be broadcast, by measured size; rows wider than ROW_BYTES never are.
+# What may be broadcast, by measured size.
 BROADCAST_BYTES = 64 << 20
-ROW_BYTES = 64 << 10
-# A stored table below this size needs no measuring.
-SURE_BYTES = 1 << 20
 # Dimension tables up to this size may become literals in a plan.
 LITERAL_ROWS = 2_000
 KEY_BYTES = 256
@@ -86,72 +83,59 @@ def lookup(
     """Join many ``rows`` to a stored ``table`` with one row per ``key``, safe under hot keys.
 
     ``weight`` is the table's column saying how often a key occurs in ``rows``. A table
-    that measures at most ``max_bytes`` is broadcast. A larger one is split: its most
-    frequent keys, as many as surely fit, are broadcast; the few rows with other keys go
-    through a shuffle join, where no key is hot any more. ``how`` is inner, left or
-    left_semi; the result has the columns of ``rows`` plus, unless semi, the table's other
-    columns without ``weight``. ``bounded`` says that the caller has checked the size.
-
-    A left join also has to pass rows whose key the table lacks, and such a key may be hot
-    too. They are counted, and the most frequent are settled by broadcast; ``complete``
-    says that the table has every key and saves this pass.
+    that measures at most ``max_bytes`` is broadcast; a larger one goes through
+    ``salted_join``, which reads ``rows`` once. ``how`` is inner, left or left_semi; the
+    result has the columns of ``rows`` plus, unless semi, the table's other columns without
+    ``weight``. ``bounded`` says that the caller has checked the size.
+
+    A left join also has to pass rows whose key the table lacks, and such a key may be
+    heavy too, so keys are counted in ``rows``; ``complete`` says that the table has every
+    key and saves this pass.
     """
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     slim = table.select(key, *payload)
     size = row_bytes(slim)
-    if bounded or planned_bytes(table) <= min(SURE_BYTES, max_bytes):
-        return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
-    total, widest = slim.agg(F.sum(size), F.max(F.when(size <= ROW_BYTES, size))).first()
-    if (total or 0) <= max_bytes:
+    if bounded or (slim.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
         return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
 
-    # The table is stored, so both uses of this top list see the same rows.
-    fitting = max_bytes // (widest or ROW_BYTES)
-    order = [F.desc(weight), F.col(key)]
-    hot = cut_lineage(table.filter(size <= ROW_BYTES).orderBy(*order).limit(fitting).select(key, *payload))
+    weighed = table
     if how == "left" and not complete:
-        hot = cut_lineage(hot.unionByName(_absent_keys(rows, slim, hot, key, max_bytes), allowMissingColumns=True))
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    settled = F.col("_hot").isNotNull()
-    if how == "left":
-        settled = settled | F.col(key).isNull()
-    found = marked.filter(settled).select(*rows.columns, *payload)
-    rest = rows.filter(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti")
-    cold = slim.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return found.unionByName(rest.join(cold, key, how).select(*rows.columns, *payload))
-
-
-def _absent_keys(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, max_bytes: int) -> DataFrame:
-    """The most frequent keys of ``rows`` that ``table`` lacks, as many as fit."""
-    counts = (
-        rows.select(key)
-        .filter(F.col(key).isNotNull())
-        .join(F.broadcast(hot.select(key)), key, "left_anti")
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(table.select(key), key, "left_anti")
-    )
-    narrow = row_bytes(counts.select(key)) <= KEY_BYTES
-    return counts.filter(narrow).orderBy(F.desc("_n"), key).limit(max_bytes // KEY_BYTES).select(key)
+        # Keys that the table lacks may be heavy too: count them where they occur.
+        weighed = cut_lineage(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(weight)))
+    plain = [c for c, t in rows.dtypes if not t.startswith(("array", "map", "struct"))]
+    return salted_join(rows, table, key, weight, F.xxhash64(*plain), how, weighed)
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: Column, how: str = "inner") -> DataFrame:
+def salted_join(
+    rows: DataFrame, table: DataFrame, key: str, weight: str, spread_by: Column, how: str = "inner", weighed: DataFrame | None = None
+) -> DataFrame:
     """Join many ``rows`` to a stored ``table`` with one row per ``key``, no key in one task.
 
-    ``weight`` says how many rows each key has. A key with more than an even share of a
-    partition is dealt over as many salts as it has shares, and only such keys' table rows
-    are repeated. Fewer keys than partitions can be that heavy, which bounds the broadcast
-    list of them. ``spread_by`` must depend on the row alone, so that a task that runs
-    again deals alike. The result has the columns of ``rows`` and the table's others.
+    ``weight`` says how many rows each key has, in ``table`` or in ``weighed(key, weight)``.
+    A key with more than a quarter of a partition's even share is dealt over as many salts
+    as it has quarters, and only such keys' table rows are repeated. At most four keys for
+    each partition can be that heavy, and they travel as hashes, which bounds the broadcast
+    list of them.
+    ``spread_by`` must depend on the row alone, so that a task that runs again deals alike.
+    The result has the columns of ``rows`` and, unless semi, the table's others.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    limit = max(total // parts, 1) + 1
-    heavy = table.filter(F.col(weight) > limit).select(key, F.ceil(F.col(weight) / limit).cast("int").alias("_salts"))
+    weighed = table if weighed is None else weighed
+    total = weighed.agg(F.sum(weight)).first()[0] or 0
+    limit = total // (4 * parts) + 1
+    shares = F.max(F.ceil(F.col(weight) / limit)).cast("int").alias("_salts")
+    heavy = weighed.filter(F.col(weight) > limit).groupBy(F.xxhash64(key).alias("_key_hash")).agg(shares)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    many = rows.join(F.broadcast(heavy), key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int"))
-    one = table.drop(weight).join(F.broadcast(heavy), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    return many.drop("_salts").join(one.drop("_salts"), [key, "_salt"], how).select(*rows.columns, *[c for c in table.columns if c not in (key, weight)])
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.withColumn("_key_hash", F.xxhash64(key)).join(F.broadcast(heavy), "_key_hash", "left")
+
+    # Rows without a key find nothing, wherever they go.
+    shares = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(salts)
+    many = marked(rows).withColumn("_salt", F.pmod(F.xxhash64(spread_by), shares).cast("int")).drop("_salts", "_key_hash")
+    one = marked(table.drop(weight)).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", "_key_hash")
+    payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
+    return many.join(one, [key, "_salt"], how).select(*rows.columns, *payload)
 
 
 def range_placed(df: DataFrame, order: Sequence[Column]) -> DataFrame:

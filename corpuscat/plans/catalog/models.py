@@ -42,17 +42,17 @@ stats AS (SELECT d.label, d.docs, sum(d.docs) OVER () AS total, coalesce(t.token
   FROM (SELECT label, count(*) AS docs FROM parts WHERE split = 'train' GROUP BY label) d
   LEFT JOIN (SELECT label, sum(n) AS tokens FROM term GROUP BY label) t ON d.label = t.label),
 seen AS (SELECT row_id, count(*) AS l FROM each JOIN vocab USING (token) WHERE split = '{part}' GROUP BY row_id),
-hit AS (SELECT e.row_id, t.label AS c, candidate, sum(ln((n + alpha) / alpha)) AS s FROM each e JOIN term t ON e.token = t.token, smooth
+hit AS (SELECT e.row_id, t.label AS c, candidate, sum(round(ln((n + alpha) / alpha) * 1e11)::BIGINT) AS s FROM each e JOIN term t ON e.token = t.token, smooth
   WHERE e.split = '{part}' GROUP BY ALL),
 scored AS (SELECT p.row_id, p.label, a.candidate, a.alpha, k.label AS c,
-    ln(k.docs::DOUBLE / k.total) + coalesce(h.s, 0) + coalesce(l, 0) * ln(a.alpha / (k.tokens + a.alpha * k.v)) AS score
+    (ln(k.docs::DOUBLE / k.total) + coalesce(l, 0) * ln(a.alpha / (k.tokens + a.alpha * k.v))) + coalesce(h.s, 0)::BIGINT::DOUBLE / 1e11::DOUBLE AS score
   FROM (SELECT * FROM parts WHERE split = '{part}') p CROSS JOIN stats k CROSS JOIN smooth a
   LEFT JOIN seen ON seen.row_id = p.row_id
   LEFT JOIN hit h ON h.row_id = p.row_id AND h.c = k.label AND h.candidate = a.candidate),
 peaks AS (SELECT row_id, candidate, max(score) AS peak FROM scored GROUP BY ALL),
 losses AS (SELECT s.row_id, s.candidate, any_value(peak) + ln(sum(exp(score - peak))) - max(CASE WHEN c = label THEN score END) AS loss
   FROM scored s JOIN peaks p ON s.row_id = p.row_id AND s.candidate = p.candidate GROUP BY ALL),
-winners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, candidate ORDER BY round(score, 6) DESC, c) AS rn FROM scored) WHERE rn = 1),
+winners AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id, candidate ORDER BY score DESC, c) AS rn FROM scored) WHERE rn = 1),
 predicted AS (SELECT w.row_id, w.candidate::INTEGER AS candidate, w.alpha, w.label, w.c AS prediction, w.score, l.loss
   FROM winners w JOIN losses l ON w.row_id = l.row_id AND w.candidate = l.candidate)"""
 

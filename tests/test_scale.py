@@ -26,10 +26,25 @@ def test_lookup_equals_plain_join(spark, skewed, how, max_bytes, absent):
     assert got.exceptAll(want).count() == 0
 
 
-def test_hot_keys_stay_out_of_the_shuffle_join(spark, skewed, plan_of):
-    table = cut_lineage(frequencies(skewed, "key").filter("value <> 'hot'").select(F.col("value").alias("key"), "n", F.lit(1).alias("w")))
-    small = scale._absent_keys(skewed, table, table.limit(0), "key", scale.KEY_BYTES)
-    assert [r["key"] for r in small.collect()] == ["hot"]
+@pytest.mark.parametrize("how,absent", [("inner", ""), ("left", ""), ("left", "hot")])
+def test_hot_keys_with_wide_rows_are_dealt_out(spark, skewed, plan_of, how, absent):
+    """The hot key's row is wider than any other; its many rows still come to many tasks."""
+    wide = F.when(F.col("value") == "hot", F.sequence(F.lit(1), F.lit(3_000))).otherwise(F.array(F.lit(1)))
+    counts = frequencies(skewed, "key").filter(F.col("value") != absent)
+    table = cut_lineage(counts.select(F.col("value").alias("key"), "n", wide.alias("w")))
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        joined = lookup(skewed, table, "key", "n", how, max_bytes=0)
+        assert "SortMergeJoin" in plan_of(joined) or "ShuffledHashJoin" in plan_of(joined)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == (6000 if how == "left" else 6000 - skewed.filter("key is null").count())
+    assert len(sizes) >= 12 and max(sizes) < 2.5 * 6000 / 16
 
 
 def test_rank_all(spark):
