@@ -25,7 +25,8 @@ CORPUS_SCHEMA = T.StructType(
         T.StructField("Plot", T.StringType()),
     ]
 )
-_FORM = {"header": True, "quote": '"', "escape": '"'}
+_FORM = {"quote": '"', "escape": '"'}
+_EXACT = {"multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_delimited(
@@ -35,26 +36,49 @@ def read_delimited(
     row_id: str = "row_id",
     na_values: Sequence[str] = (),
     columns: dict[str, str] | None = None,
+    corrupt: str | None = None,
 ) -> DataFrame:
     """Read files with a header; a doubled quote is a quote, line ends inside quotes stay.
 
-    ``columns`` renames header names (a stored row index has the header ``_c0``). Without
-    ``row_id`` in the schema the rows are numbered in file order, files by path, and stored.
-    ``na_values`` are strings that mean missing besides the empty one. A file with quoted
-    line ends cannot be split, so a large corpus should come as many files.
+    Columns are found by their header names, whatever their order; ``schema`` names them as
+    the header does or as ``columns`` renames them, and a stored row index without a header
+    is ``_c0``. Columns beyond the schema are left out. All files must have the first one's
+    header. A record with too few or too many fields, or a value not of its type, fails the
+    read; with ``corrupt`` it is kept, its text in that column.
+
+    Without ``row_id`` in the schema the rows are numbered in file order, files by path,
+    and stored. ``na_values`` are strings that mean missing besides the empty one. A file
+    with quoted line ends cannot be split, so a large corpus should come as many files.
     """
-    df = (
-        spark.read.schema(schema)
-        .options(**_FORM, multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        .csv(path if isinstance(path, str) else list(path))
-    )
-    if row_id not in schema.fieldNames():
-        df = _numbered(df, row_id)
+    paths = path if isinstance(path, str) else list(path)
+    columns = columns or {}
+    first = spark.read.options(**_FORM, **_EXACT, header=False).csv(paths).head(1)
+    header = [v or "" for v in first[0]] if first else []
+    names = [h or f"_c{i}" for i, h in enumerate(header)]
+    known = {f.name: f.dataType for f in schema.fields}
+    wanted = [n if n in known else columns.get(n, n) for n in names]
+    missing = [n for n in known if n not in wanted]
+    if first and (missing or len(set(header)) < len(header)):
+        raise ValueError(f"the header {header} lacks {missing} or repeats a name")
+    found = T.StructType([T.StructField(h, known.get(w, T.StringType())) for h, w in zip(header, wanted)])
+    reader = spark.read.options(**_FORM, **_EXACT, header=True, enforceSchema=False, columnPruning=False)
+    if corrupt:
+        found = T.StructType([*found.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.options(mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt)
+        wanted = [*wanted, corrupt]
+    else:
+        reader = reader.option("mode", "FAILFAST")
+    df = reader.schema(found).csv(paths).toDF(*wanted) if first else spark.createDataFrame([], schema)
+    keep = [*schema.fieldNames(), *([corrupt] if corrupt and first else [])]
+    if row_id not in keep:
+        df = _numbered(df, row_id) if first else df.withColumn(row_id, F.lit(None).cast("bigint"))
+        keep = [row_id, *keep]
+    df = df.select(*[f"`{c}`" for c in keep])
     for f in schema.fields:
         if na_values and isinstance(f.dataType, T.StringType):
             c = F.col(f"`{f.name}`")
             df = df.withColumn(f.name, F.when(~c.isin(*na_values), c))
-    for old, new in (columns or {}).items():
+    for old, new in columns.items():
         df = df.withColumnRenamed(old, new)
     return df
 
@@ -75,5 +99,5 @@ def _numbered(df: DataFrame, row_id: str) -> DataFrame:
 def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write so that ``read_delimited`` returns the same text; '' is read back as null."""
     df.write.mode(mode).options(
-        **_FORM, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        **_FORM, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)

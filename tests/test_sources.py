@@ -29,6 +29,41 @@ def test_file_order_and_missing_marks(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(0, "first", 'said "no"'), (1, "second", "null"), (2, "third", "x\ny"), (3, "fourth", None)]
 
 
+def test_columns_come_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Plot,Extra,Title\np1,x,t1\n")
+    assert [tuple(r) for r in delimited.read_delimited(spark, str(tmp_path), PLAIN).collect()] == [(0, "t1", "p1")]
+    (tmp_path / "b.csv").write_text("Title,Plot,Extra\nt2,p2,x\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        delimited.read_delimited(spark, str(tmp_path), PLAIN).collect()
+    with pytest.raises(ValueError, match="Genre"):
+        delimited.read_delimited(spark, str(tmp_path / "a.csv"), T.StructType([*PLAIN.fields, T.StructField("Genre", T.StringType())]))
+
+
+@pytest.mark.parametrize("record", ["t1,p1,third", "t1", 't1,"open'])
+def test_bad_records_fail_or_are_kept(spark, tmp_path, record):
+    path = tmp_path / "bad.csv"
+    path.write_text(f"Title,Plot\nt0,p0\n{record}\n")
+    ids = T.StructType(PLAIN.fields)
+    if "open" not in record:
+        with pytest.raises(Exception, match="(?i)malformed"):
+            delimited.read_delimited(spark, str(path), ids, row_id="Title").count()
+    kept = delimited.read_delimited(spark, str(path), ids, row_id="Title", corrupt="bad").collect()
+    assert len(kept) == 2 and kept[0]["bad"] is None
+    assert "open" in record or kept[1]["bad"] is not None
+
+
+def test_corpus_layout(spark, tmp_path):
+    """The column layout of the corpus: an index without a name, quotes, line ends in fields."""
+    names = delimited.CORPUS_SCHEMA.fieldNames()
+    path = tmp_path / "corpus.csv"
+    path.write_text(",".join(["", *names[1:]]) + '\n0,1901,"One, two",American,Unknown,,unknown,http://x,"said ""no""\r\nand left"\n7,1902,T,American,"A, B", ,drama,,p\n', newline="")
+    df = delimited.read_delimited(spark, str(path), delimited.CORPUS_SCHEMA, columns={"_c0": "row_id"})
+    assert df.columns == names and df.schema["Release Year"].dataType == T.IntegerType()
+    a, b = df.orderBy("row_id").collect()
+    assert a["Title"] == "One, two" and a["Cast"] is None and a["Plot"] == 'said "no"\r\nand left'
+    assert b["row_id"] == 7 and b["Cast"] == " " and b["Director"] == "A, B"
+
+
 def test_materialise_builds_once(spark, tmp_path):
     path = stored.stored_path(str(tmp_path), "t", {"floor": 3})
     assert path != stored.stored_path(str(tmp_path), "t", {"floor": 4})
@@ -51,6 +86,8 @@ def test_shared_dir_comes_from_the_session():
     assert shared_dir(session_with("hdfs://x/shared", "yarn")) == "hdfs://x/shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session_with(None, "yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session_with(None, "local-cluster[3,2,1024]"))
 
 
 def corpus(spark):
