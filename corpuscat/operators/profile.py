@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -12,8 +13,7 @@ from corpuscat.operators.scale import range_placed, spread
 from corpuscat.session import cut_lineage
 
 QUARTILES = (0.25, 0.5, 0.75)
-# Exact percentile() takes one entry per distinct value to one task; beyond this many, sort.
-DISTINCT_LIMIT = 100_000
+MARGIN = 0.001  # share of the values kept to each side of a quartile
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -40,15 +40,17 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def numeric_summary(
-    df: DataFrame, columns: Sequence[str] | None = None, distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, margin: float = MARGIN) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum per numeric column.
 
-    Quartiles come from the counts of distinct values, which combine before the shuffle.
+    One pass takes the moments and, from a sketch, bounds a little to both sides of each
+    quartile. A second pass counts the values below those bounds and keeps the few between
+    them, by value; only these are sorted, and the wanted ranks are read off. Where a rank
+    lies outside its bounds after all, that column is done again with all its values.
     """
     columns = list(columns or numeric_columns(df))
     nums = spread(df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]))
+    around = [min(max(p + d, 0.0), 1.0) for p in QUARTILES for d in (-margin, margin)]
     moments = nums.agg(
         *[
             F.struct(
@@ -58,22 +60,19 @@ def numeric_summary(
                 F.stddev_samp(c).alias("std"),
                 F.min(c).alias("min"),
                 F.max(c).alias("max"),
+                F.percentile_approx(c, around, int(4 / margin)).alias("bounds"),
             ).alias(c)
             for c, name in zip(nums.columns, columns)
         ]
     )
-    pairs = F.array(*[F.struct(F.lit(name).alias("column"), F.col(c).alias("v")) for c, name in zip(nums.columns, columns)])
-    counted = nums.select(F.inline(pairs)).filter("v is not null").groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
-    counted = cut_lineage(counted)
-    distinct = {r["column"]: r["count"] for r in counted.groupBy("column").count().collect()}
-    long = [c for c, n in distinct.items() if n > distinct_limit]
-
-    q = F.percentile("v", F.array(*[F.lit(p) for p in QUARTILES]), F.col("n"))
-    quartiles = counted.filter(~F.col("column").isin(*long)).groupBy("column").agg(q.alias("q"))
-    if long:
-        ranked = sorted_quantiles(counted.filter(F.col("column").isin(*long)), QUARTILES)
-        rows = df.sparkSession.createDataFrame(list(ranked.items()), "column string, q array<double>")
-        quartiles = quartiles.unionByName(rows)
+    rows = {c: r for c, r in moments.first().asDict().items() if r["n"]}
+    spans = {(c, i): (rows[c]["bounds"][2 * i], rows[c]["bounds"][2 * i + 1]) for c in rows for i in range(len(QUARTILES))}
+    value, lost = _ranks_between(nums, spans, {c: r["n"] for c, r in rows.items()})
+    if lost:
+        wide = {(c, i): (rows[c]["min"], rows[c]["max"]) for c, i in lost}
+        value |= _ranks_between(nums, wide, {c: r["n"] for c, r in rows.items()})[0]
+    found = [(rows[c]["column"], [value[c, i] for i in range(len(QUARTILES))]) for c in rows]
+    quartiles = df.sparkSession.createDataFrame(found, "column string, q array<double>")
     return (
         moments.select(F.inline(F.array(*nums.columns)))
         .join(F.broadcast(quartiles), "column", "left")  # one row per column
@@ -85,8 +84,29 @@ def numeric_summary(
     )
 
 
-def sorted_quantiles(counted: DataFrame, probs: Sequence[float]) -> dict[str, list[float]]:
-    """Exact linear-interpolation quantiles from ``(column, v, n)`` with many distinct values.
+def _ranks_between(nums: DataFrame, spans: dict, totals: dict) -> tuple[dict, list]:
+    """Quartiles of each ``(column, quartile)`` in ``spans``, and those whose rank is outside its bounds."""
+    keys = list(spans)
+    below = nums.agg(*[F.count_if(F.col(c) < spans[c, i][0]).alias(f"b{k}") for k, (c, i) in enumerate(keys)]).first()
+    entries = [F.when(F.col(c).between(*spans[c, i]), F.struct(F.lit(str(k)).alias("column"), F.col(c).alias("v"))) for k, (c, i) in enumerate(keys)]
+    between = nums.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    between = cut_lineage(between.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n")))
+    held = {r["column"]: r["n"] for r in between.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    places, lost = {}, []
+    for k, (c, i) in enumerate(keys):
+        place = (totals[c] - 1) * QUARTILES[i] - below[f"b{k}"]
+        if place < 0 or math.ceil(place) >= held.get(str(k), 0):
+            lost.append((c, i))
+        else:
+            places[str(k)] = [place]
+    if not places:
+        return {}, lost
+    found = sorted_quantiles(between.filter(F.col("column").isin(list(places))), places)
+    return {keys[int(k)]: v[0] for k, v in found.items()}, lost
+
+
+def sorted_quantiles(counted: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dict[str, list[float]]:
+    """Values at the ``wanted`` ranks of each column, from ``(column, v, n)``; between ranks by line.
 
     The values are range-sorted and stored; each wanted rank then lies in one known block,
     and only these blocks are scanned. The driver sees one count per block and two values
@@ -101,7 +121,6 @@ def sorted_quantiles(counted: DataFrame, probs: Sequence[float]) -> dict[str, li
         before = totals.get(r["column"], 0)
         totals[r["column"]] = before + r["n"]
         spans.append((r["column"], r["_block"], before, before + r["n"]))
-    wanted = {c: [(n - 1) * p for p in probs] for c, n in totals.items()}
     ranks = {c: sorted({int(x) for x in xs} | {min(int(x) + 1, totals[c] - 1) for x in xs}) for c, xs in wanted.items()}
     hits = [(c, b, lo, k) for c, b, lo, hi in spans for k in ranks[c] if lo <= k < hi]
 

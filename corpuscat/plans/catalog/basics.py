@@ -13,7 +13,7 @@ from corpuscat.sources.tables import documents_corpus, table
 
 # Floors of the registered preparation; the defaults suit a corpus of millions.
 FLOOR, ELEMENT_FLOOR = 5, 10
-SUMMED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+SUMMED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
 @query("profile_shape", "SELECT count(*) AS n_rows, 5 AS n_columns FROM documents")
@@ -58,13 +58,13 @@ def profile_nulls(spark, folder):
     "profile_numeric",
     " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std, "
-        f"min({c}) AS min, round(quantile_cont({c}, 0.25), 7) AS p25, round(quantile_cont({c}, 0.5), 7) AS p50, "
-        f"round(quantile_cont({c}, 0.75), 7) AS p75, max({c}) AS max FROM lineitem"
+        f"min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 7) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 7) AS p50, "
+        f"round(quantile_cont({c}::DOUBLE, 0.75), 7) AS p75, max({c})::DOUBLE AS max FROM lineitem"
         for c in SUMMED
     ),
 )
 def profile_numeric(spark, folder):
-    out = profile.numeric_summary(table(spark, folder, "lineitem"), SUMMED)
+    out = profile.numeric_summary(table(spark, folder, "lineitem"))
     return out.select("column", "n", *[F.round(c, 7).alias(c) if c not in ("min", "max") else c for c in out.columns[2:]])
 
 

@@ -9,7 +9,9 @@ from corpuscat.operators import bayes, evaluate, labels, linear, split
 from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog import registry
 from corpuscat.plans.catalog.registry import query, words
-from corpuscat.session import cut_lineage
+from corpuscat.plans.training import read_run, train_bayes
+from corpuscat.session import cut_lineage, scratch_path
+from corpuscat.sources.stored import save_table
 from corpuscat.sources.tables import table
 
 ALPHAS = (0.1, 1.0, 10.0)
@@ -143,15 +145,30 @@ def report_series(spark, folder):
     return evaluate.long_series(validation_history(spark, folder), ["candidate"]).withColumn("value", F.round("value", 6))
 
 
-def _tested(model, test):
-    return rounded(evaluate.history(linear.predict(model, test, "row_id").withColumn("candidate", F.lit(0)))).drop("candidate")
+HEAD_CHECKS = ("n_test", "n_labels", "accuracy_is_micro_f1", "beats_prior", "sums_to_one", "reload_agrees")
 
 
-@query("lr_text")
+def _head_sql(base: str, plan: tuple, name: str) -> str:
+    """What SQL can say of a fitted head: the size of its test part, and that each check holds."""
+    return f"""WITH {base}, {registry.split('base', plan)}
+SELECT count(*) AS n_test, count(DISTINCT label) AS n_labels, true AS accuracy_is_micro_f1, true AS beats_prior, true AS sums_to_one, true AS reload_agrees
+FROM parts WHERE split = 'test'"""
+
+
+def _head(spark, model, rows, name: str):
+    report = linear.head_report(model, rows.filter("split = 'train'"), rows.filter("split = 'test'"), "row_id", scratch_path(spark, name))
+    return report.select(*HEAD_CHECKS)
+
+
+_LANG_BASE = """classes AS (SELECT lang AS c, (row_number() OVER (ORDER BY lang) - 1)::BIGINT AS label FROM documents GROUP BY lang),
+base AS (SELECT doc_id AS row_id, label FROM documents JOIN classes ON c = lang)"""
+_VECTOR_BASE = "base AS (SELECT vec_id AS row_id, label::BIGINT AS label FROM embeddings)"
+
+
+@query("lr_text", _head_sql(_LANG_BASE, split.SPLIT_64_16_20, "lr_text"))
 def lr_text(spark, folder):
-    rows = documents_by(spark, folder, "lang")
-    model = linear.word_regression().fit(rows.filter("split = 'train'"))
-    return _tested(model, rows.filter("split = 'test'"))
+    rows = cut_lineage(documents_by(spark, folder, "lang"))
+    return _head(spark, linear.word_regression().fit(rows.filter("split = 'train'")), rows, "lr-text")
 
 
 def vectors(spark, folder):
@@ -159,17 +176,46 @@ def vectors(spark, folder):
     return linear.with_vector(cut_lineage(split.split_80_10_10(emb, "label", "row_id")), "embedding")
 
 
-@query("lr_vectors")
+@query("lr_vectors", _head_sql(_VECTOR_BASE, split.SPLIT_80_10_10, "lr_vectors"))
 def lr_vectors(spark, folder):
     rows = vectors(spark, folder)
     grid = [linear.vector_regression(reg) for reg in (0.0, 0.1)]
     model, _ = linear.fit_candidates(rows.filter("split = 'train'"), rows.filter("split = 'val'"), grid, "row_id")
-    return _tested(model, rows.filter("split = 'test'"))
+    return _head(spark, model, rows, "lr-vectors")
 
 
-@query("mlp_vectors")
+@query("mlp_vectors", _head_sql(_VECTOR_BASE, split.SPLIT_80_10_10, "mlp_vectors"))
 def mlp_vectors(spark, folder):
     rows = vectors(spark, folder)
     shape = rows.agg(F.max(F.size("embedding")), F.max("label")).first()
     model = linear.vector_perceptron(shape[0], shape[1] + 1).fit(rows.filter("split = 'train'"))
-    return _tested(model, rows.filter("split = 'test'"))
+    return _head(spark, model, rows, "mlp-vectors")
+
+
+MAX_LENGTH = 512
+_LANG_VAL = f"{_bayes('lang', 'val', ALPHAS)}, {_SCORES}"
+_LANG_TEST = f"{_bayes('lang', 'test', ALPHAS)}, {_SCORES}"
+
+
+@query(
+    "train_run",
+    f"""SELECT 'naive_bayes' AS model_name, alpha, {MAX_LENGTH} AS max_length, (SELECT count(DISTINCT lang) FROM documents) AS num_labels,
+  (SELECT count(*) FROM ({_LANG_TEST} SELECT token FROM vocab)) AS vocabulary_size, round(best_val_f1, 6) AS best_val_f1, {ROUNDED}
+FROM ({_LANG_VAL} SELECT h.candidate, a.alpha, h.micro_f1 AS best_val_f1 FROM history h JOIN smooth a ON h.candidate = a.candidate
+    ORDER BY h.micro_f1 DESC, h.candidate LIMIT 1) b
+JOIN ({_LANG_TEST} SELECT * FROM history) t ON t.candidate = b.candidate""",
+)
+def train_run(spark, folder):
+    """The whole run: choose on validation, test the choice once, store all, read all back."""
+    rows = cut_lineage(documents_by(spark, folder, "lang"))
+    index = labels.label_index(table(spark, folder, "documents"), "lang")
+    path = scratch_path(spark, "run")
+    train_bayes(rows, "row_id", "words", path, index, ALPHAS, MAX_LENGTH)
+    report = read_run(spark, path)
+    return rounded(report.withColumn("best_val_f1", F.round("best_val_f1", 6)))
+
+
+@query("label_store", "SELECT (row_number() OVER (ORDER BY source) - 1)::BIGINT AS label, source AS category, count(*) AS n FROM documents GROUP BY source")
+def label_store(spark, folder):
+    """The label mapping, stored and read back."""
+    return save_table(labels.label_index(table(spark, folder, "documents"), "source"), scratch_path(spark, "labels")).select("label", "category", "n")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscat.operators import bayes, evaluate
@@ -19,10 +19,12 @@ def train_bayes(
     out_dir: str,
     index: DataFrame,
     alphas: Sequence[float] = (0.1, 1.0, 10.0),
+    max_length: int = 512,
 ) -> DataFrame:
     """One report row for labelled, split ``rows`` (``label``, ``split``).
 
-    Stores under ``out_dir``: model, label index, history (long form) and report.
+    Stores under ``out_dir``: model, label index, vocabulary, history and report. The
+    report names ``max_length``, the length that texts are encoded to with the vocabulary.
     """
     part = F.col("split")
     model = bayes.fit_bayes(rows.filter(part == "train"), words, "label")
@@ -34,10 +36,27 @@ def train_bayes(
     scores = evaluate.history(cut_lineage(tested)).drop("candidate")
     model.save(f"{out_dir}/model")
     save_table(index, f"{out_dir}/labels")
+    save_table(model.terms.select("token", "n"), f"{out_dir}/vocabulary")
     config = {
         "model_name": "naive_bayes",
         "alpha": float(alphas[best["candidate"]]),
+        "max_length": max_length,
         "num_labels": index.count(),
         "best_val_f1": best["micro_f1"],
     }
     return save_report(scores, config, f"{out_dir}/report")
+
+
+def read_run(spark: SparkSession, out_dir: str) -> DataFrame:
+    """A stored run as one row: settings, sizes of the stored tables, test metrics.
+
+    The model is loaded and the label and vocabulary tables are counted as stored.
+    """
+    report = spark.read.json(f"{out_dir}/report")
+    classes = bayes.BayesModel.load(spark, f"{out_dir}/model").classes.count()
+    stored = spark.read.parquet(f"{out_dir}/labels").count()
+    words = spark.read.parquet(f"{out_dir}/vocabulary").count()
+    if stored != report.first()["num_labels"] or classes > stored:
+        raise ValueError("the stored labels are not those of the report")
+    sizes = [F.lit(stored).cast("bigint").alias("num_labels"), F.lit(words).cast("bigint").alias("vocabulary_size")]
+    return report.select("model_name", "alpha", F.col("max_length").cast("int"), *sizes, "best_val_f1", "test_metrics.*")

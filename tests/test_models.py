@@ -96,6 +96,6 @@ def test_training_run(spark, tmp_path):
     index = labels.label_index(docs, "category")
     rows = split.split_64_16_20(labels.attach_label(docs, "category", index), "label", "i").cache()
     report = train_bayes(rows, "i", "text", str(tmp_path), index).first()
-    assert report["num_labels"] == index.count() and report["test_metrics"]["accuracy"] > 0.8
+    assert report["max_length"] == 512 and report["num_labels"] == index.count() and report["test_metrics"]["accuracy"] > 0.8
     assert spark.read.parquet(str(tmp_path / "history")).count() == 3
     assert spark.read.parquet(str(tmp_path / "labels")).count() == report["num_labels"]
