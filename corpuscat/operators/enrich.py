@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -15,21 +18,38 @@ from corpuscat.operators.scale import spread
 Client = Callable[[str], str]
 
 
-def _reply_column(make_client: Callable[[], Client]):
+def _call_all(client: Client, prompts: list[str | None], seconds: float, in_flight: int) -> list[tuple[str | None, str]]:
+    """Reply and status of each prompt, ``in_flight`` calls at a time, each given up after ``seconds``.
+
+    A call that hangs is left behind in a daemon thread, so it holds neither the others nor the task.
+    """
+    results: list[tuple[str | None, str]] = [(None, "blank") if p is None else (None, "failed") for p in prompts]
+
+    def call(i: int, box: list) -> None:
+        with contextlib.suppress(Exception):  # any client failure falls back to the original text
+            box.append(client(prompts[i]).strip())
+
+    asked = [i for i, p in enumerate(prompts) if p is not None]
+    for s in range(0, len(asked), in_flight):
+        running = []
+        for i in asked[s : s + in_flight]:
+            box: list = []
+            thread = threading.Thread(target=call, args=(i, box), daemon=True)
+            thread.start()
+            running.append((i, thread, box))
+        deadline = time.monotonic() + seconds
+        for i, thread, box in running:
+            thread.join(max(0.0, deadline - time.monotonic()))
+            if box and not thread.is_alive():
+                results[i] = (box[0], "ok")
+    return results
+
+
+def _reply_column(make_client: Callable[[], Client], seconds: float, in_flight: int):
     def ask(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = make_client()
         for batch in prompts:
-            replies, statuses = [], []
-            for p in batch:
-                reply, status = None, "blank"
-                if p is not None:
-                    try:
-                        reply, status = client(p).strip(), "ok"
-                    except Exception:  # any client failure falls back to the original text
-                        status = "failed"
-                replies.append(reply)
-                statuses.append(status)
-            yield pd.DataFrame({"reply": replies, "status": statuses})
+            yield pd.DataFrame(_call_all(client, list(batch), seconds, in_flight), columns=["reply", "status"])
 
     ask.__annotations__ = {"prompts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     return F.pandas_udf(ask, "reply string, status string").asNondeterministic()
@@ -42,15 +62,18 @@ def enrich_text(
     make_client: Callable[[], Client],
     out: str = "output",
     status: str = "enrich_status",
+    seconds: float = 120.0,
+    in_flight: int = 4,
 ) -> DataFrame:
     """Add the client's reply to the prompt, and ``ok``, ``failed`` or ``blank``.
 
-    One client per task. A blank text gives '' and is never sent; a failed call gives the
+    One client per task, with ``in_flight`` calls at a time; it must bear that. A blank text
+    gives '' and is never sent; a call that fails or takes more than ``seconds`` gives the
     original text. Only the prompt goes to Python, the other columns stay in the JVM. Calls
     are slow, so a small input is dealt over all cores.
     """
     sent = F.when(~is_blank(F.col(text)), prompt(template, F.col(text)))
-    asked = spread(df).withColumn("_r", _reply_column(make_client)(sent))
+    asked = spread(df).withColumn("_r", _reply_column(make_client, seconds, in_flight)(sent))
     result = F.when(F.col("_r.status") == "blank", "").when(F.col("_r.status") == "failed", F.col(text)).otherwise(F.col("_r.reply"))
     return asked.select(*df.columns, result.alias(out), F.col("_r.status").alias(status))
 
@@ -65,10 +88,28 @@ def stored_rows(df: DataFrame, path: str) -> DataFrame | None:
 
 
 def enrich_missing(
-    df: DataFrame, row_id: str, path: str, enrich: Callable[[DataFrame], DataFrame]
+    df: DataFrame,
+    row_id: str,
+    path: str,
+    enrich: Callable[[DataFrame], DataFrame],
+    slices: int = 1,
+    retry_failed: bool = False,
+    status: str = "enrich_status",
 ) -> DataFrame:
-    """Enrich only rows without a stored result, append them, return the whole store."""
+    """Enrich only rows without a stored result, append them, return the whole store.
+
+    The rows are written in ``slices`` by a hash of their id, so a failure late in the run
+    keeps what earlier slices have paid for. With ``retry_failed``, rows whose call failed
+    are asked again; the store then returns the better of their results.
+    """
     done = stored_rows(df, path)
-    todo = df if done is None else df.join(done.select(row_id), row_id, "left_anti")
-    enrich(todo).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    settled = done if done is None or not retry_failed else done.filter(F.col(status) != "failed")
+    todo = df if settled is None else df.join(settled.select(row_id), row_id, "left_anti")
+    for k in range(slices):
+        part = todo if slices == 1 else todo.filter(F.pmod(F.xxhash64(row_id), F.lit(slices)) == k)
+        enrich(part).write.mode("append").parquet(path)
+    store = df.sparkSession.read.parquet(path)
+    if not retry_failed:
+        return store
+    better = Window.partitionBy(row_id).orderBy((F.col(status) == "failed").cast("int"))
+    return store.withColumn("_rn", F.row_number().over(better)).filter("_rn = 1").drop("_rn")

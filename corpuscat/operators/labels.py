@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscat.operators.frequency import frequencies
@@ -31,13 +31,20 @@ def attach_label(df: DataFrame, col: str, index: DataFrame, how: str = "inner")
     return lookup(df, index.select(F.col("category").alias(col), "label", "n"), col, "n", how)
 
 
-def class_list(df: DataFrame, col: str) -> list[str]:
-    """Sorted classes of an array column, for the dense form; its width is their number."""
-    classes = cut_lineage(df.select(F.explode(col).alias("category")).distinct())
-    rows = bounded_rows(classes)
-    if rows is None:
-        raise ValueError("too many classes for a dense row; use element_index")
-    return sorted(r["category"] for r in rows)
+def label_positions(df: DataFrame, row_id: str, col: str, index: DataFrame) -> DataFrame:
+    """``(row_id, positions)``: the sorted distinct labels of each row's list, the sparse multi-hot form.
+
+    ``index`` is the stored ``element_index`` of the column. Any number of classes will do.
+    """
+    each = df.select(row_id, F.explode_outer(F.array_distinct(F.col(col))).alias("category"))
+    found = lookup(each, index.select("category", "label", "n"), "category", "n", "left")
+    return found.groupBy(row_id).agg(F.sort_array(F.collect_list("label")).alias("positions"))
+
+
+def dense_row(positions: Column, n_classes: Column) -> Column:
+    """0/1 per class, from the sparse form."""
+    zeros = F.transform(F.sequence(F.lit(0).cast("bigint"), n_classes - 1), lambda i: F.array_contains(positions, i).cast("int"))
+    return F.when(n_classes > 0, zeros).otherwise(F.array().cast("array<int>"))
 
 
 def label_from_list(df: DataFrame, col: str, index: DataFrame) -> DataFrame:

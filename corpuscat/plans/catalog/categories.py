@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpuscat.functions.category import canonical_category, collapse_category, multi_hot
+from corpuscat.functions.category import canonical_category, collapse_category
 from corpuscat.operators import labels, split
 from corpuscat.operators.frequency import top_values
 from corpuscat.plans import prepare
 from corpuscat.plans.catalog import registry
 from corpuscat.plans.catalog.basics import CANONICAL_CTES, ELEMENT_FLOOR, FLOOR
 from corpuscat.plans.catalog.registry import CORPUS, clean, query
+from corpuscat.session import cut_lineage
 from corpuscat.sources.tables import documents_corpus, table
 
 _TOP_WORDS = (
@@ -64,9 +65,28 @@ _LISTS = "lists AS (SELECT p_partkey, string_split(p_name, ' ') AS l FROM part)"
     "FROM lists, classes GROUP BY p_partkey",
 )
 def multi_hot_rows(spark, folder):
+    rows, n = _positions(spark, folder)
+    bits = labels.dense_row(F.col("positions"), F.lit(n))
+    return rows.select("p_partkey", F.array_join(bits.cast("array<string>"), "").alias("bits"))
+
+
+def _positions(spark, folder):
     lists = table(spark, folder, "part").select("p_partkey", F.split("p_name", " ").alias("l"))
-    bits = multi_hot(F.col("l"), labels.class_list(lists, "l"))
-    return lists.select("p_partkey", F.array_join(bits.cast("array<string>"), "").alias("bits"))
+    index = cut_lineage(labels.element_index(lists, "l"))
+    return labels.label_positions(lists, "p_partkey", "l", index), index.count()
+
+
+@query(
+    "multi_hot_sparse",
+    f"WITH {_LISTS}, classes AS (SELECT e, (row_number() OVER (ORDER BY e) - 1)::BIGINT AS label "
+    "FROM (SELECT DISTINCT unnest(l) AS e FROM lists)), "
+    "each AS (SELECT DISTINCT p_partkey, unnest(l) AS e FROM lists) "
+    "SELECT p_partkey, string_agg(label::VARCHAR, ' ' ORDER BY label) AS positions, (SELECT count(*) FROM classes) AS n_classes "
+    "FROM each JOIN classes USING (e) GROUP BY p_partkey",
+)
+def multi_hot_sparse(spark, folder):
+    rows, n = _positions(spark, folder)
+    return rows.select("p_partkey", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), F.lit(n).cast("bigint").alias("n_classes"))
 
 
 @query(

@@ -6,10 +6,14 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import json_field, prompt
+from corpuscat.functions.text import json_field, prompt, words
+from corpuscat.operators import bayes, evaluate, labels, split, summary
 from corpuscat.operators.enrich import enrich_missing, enrich_text
+from corpuscat.plans.catalog import models
 from corpuscat.plans.catalog.registry import query
-from corpuscat.session import scratch_path
+from corpuscat.plans.catalog.tokens import _SUMMARY
+from corpuscat.session import cut_lineage, scratch_path
+from corpuscat.sources import stored
 from corpuscat.sources.tables import table
 
 TEMPLATE = "Say in one sentence what this text is about:\n\n{text}\n\nAnswer with the sentence only."
@@ -76,4 +80,30 @@ def enrich_incremental(spark, folder):
         )
 
     enrich_missing(docs.filter("lang = 'en'"), "doc_id", path, run(1))
-    return enrich_missing(docs, "doc_id", path, run(2))
+    return enrich_missing(docs, "doc_id", path, run(2), slices=4)
+
+
+_SHORT = f"(WITH {_SUMMARY} SELECT d.doc_id, s.summary AS text, d.lang FROM documents d JOIN summaries s ON d.doc_id = s.doc_id)"
+
+
+def _scores_sql(kind: str, source: str) -> str:
+    scored = f"{models._bayes('lang', 'test', (1.0,), source)}, {models._SCORES}"
+    return f"SELECT '{kind}' AS kind, {models.ROUNDED} FROM ({scored} SELECT * FROM history)"
+
+
+@query("summary_classify", f"{_scores_sql('full', 'documents')} UNION ALL {_scores_sql('summary', _SHORT)}")
+def summary_classify(spark, folder):
+    """The summaries' approach: store a summary of each text, classify from it, beside the full texts."""
+    docs = table(spark, folder, "documents")
+    path = stored.stored_path(scratch_path(spark, "summaries"), "extractive", {"sentences": 1})
+    short = stored.materialise(spark, path, lambda: summary.extractive_summary(docs, "doc_id", "text").select("doc_id", "summary"))
+    index = cut_lineage(labels.label_index(docs, "lang"))
+    out = None
+    for kind, rows in (("full", docs.select("doc_id", "lang", "text")), ("summary", docs.select("doc_id", "lang").join(short, "doc_id").withColumnRenamed("summary", "text"))):
+        named = cut_lineage(rows.select(F.col("doc_id").alias("row_id"), words(F.col("text")).alias("words"), F.col("lang").alias("category")))
+        parts = split.split_64_16_20(labels.attach_label(named, "category", index), "label", "row_id")
+        model = bayes.fit_bayes(parts.filter("split = 'train'"), "words", "label")
+        tested = bayes.bayes_predict(parts.filter("split = 'test'"), "row_id", "words", "label", model)
+        one = models.rounded(evaluate.history(cut_lineage(tested))).drop("candidate").select(F.lit(kind).alias("kind"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out

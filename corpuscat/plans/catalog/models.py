@@ -30,11 +30,11 @@ def documents_by(spark, folder, category: str):
     return split.split_64_16_20(labelled, "label", "row_id")
 
 
-def _bayes(category: str, part: str, alphas: tuple[float, ...]) -> str:
-    """CTEs up to ``predicted(row_id, candidate, alpha, label, prediction, score, loss)``."""
+def _bayes(category: str, part: str, alphas: tuple[float, ...], source: str = "documents") -> str:
+    """CTEs over ``source`` (doc_id, text and the category), up to ``predicted(row_id, candidate, alpha, label, prediction, score, loss)``."""
     values = ", ".join(f"({i}, {a}::DOUBLE)" for i, a in enumerate(alphas))
     return f"""WITH classes AS (SELECT {category} AS c, (row_number() OVER (ORDER BY {category}) - 1)::BIGINT AS label FROM documents GROUP BY {category}),
-base AS (SELECT doc_id AS row_id, text, label FROM documents JOIN classes ON c = {category}),
+base AS (SELECT doc_id AS row_id, text, label FROM {source} JOIN classes ON c = {category}),
 {registry.split('base', split.SPLIT_64_16_20)},
 each AS (SELECT b.row_id, b.label, p.split, unnest({words('b.text')}) AS token FROM base b JOIN parts p ON b.row_id = p.row_id),
 term AS (SELECT token, label, count(*) AS n FROM each WHERE split = 'train' GROUP BY token, label),

@@ -63,3 +63,35 @@ def test_arriving_files(spark, tmp_path):
     out = enrich_new_files(spark, src, schema, "i", store, progress, enrich)
     assert sorted(r["i"] for r in out.collect()) == [1, 2, 3]
     assert out.filter(F.col("enrich_status") != "ok").count() == 0
+
+
+def test_a_hanging_call_is_given_up():
+    import time
+
+    from corpuscat.operators.enrich import _call_all
+
+    def client(p):
+        if p == "hang":
+            time.sleep(30)
+        if p == "bad":
+            raise RuntimeError
+        return f" {p}! "
+
+    start = time.monotonic()
+    got = _call_all(client, ["a", "hang", None, "bad", "b"], seconds=0.5, in_flight=2)
+    assert got == [("a!", "ok"), (None, "failed"), (None, "blank"), (None, "failed"), ("b!", "ok")]
+    assert time.monotonic() - start < 5
+
+
+def test_failed_rows_are_asked_again_in_slices(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "i int, t string")
+    path = str(tmp_path / "store")
+
+    def run(ok):
+        status = F.when(F.col("i") % 4 == 0, "ok" if ok else "failed").otherwise("ok")
+        return lambda df: df.select("i", F.lit(ok).alias("second"), status.alias("enrich_status"))
+
+    assert enrich_missing(rows, "i", path, run(False), slices=3).filter("enrich_status = 'failed'").count() == 5
+    again = enrich_missing(rows, "i", path, run(True), retry_failed=True)
+    assert again.count() == 20 and again.filter("enrich_status = 'failed'").count() == 0
+    assert again.filter("second").count() == 5
