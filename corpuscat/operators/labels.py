@@ -27,7 +27,11 @@ def element_index(df: DataFrame, col: str) -> DataFrame:
 
 
 def attach_label(df: DataFrame, col: str, index: DataFrame, how: str = "inner") -> DataFrame:
-    """Add the label of each row's category."""
+    """Add the label of each row's category.
+
+    With ``how="inner"`` rows whose category is not in the index, null included, are left
+    out; with ``"left"`` they stay with a null label.
+    """
     return lookup(df, index.select(F.col("category").alias(col), "label", "n"), col, "n", how)
 
 

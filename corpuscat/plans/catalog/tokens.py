@@ -45,7 +45,7 @@ SELECT doc_id, {_padded('l', LENGTH)} FROM full_ids""",
 )
 def token_encode(spark, folder):
     docs = table(spark, folder, "documents")
-    vocab = tokens.vocabulary(docs, "text").filter("n >= 2")
+    vocab = tokens.vocabulary(docs, "text", min_count=2)
     return _as_text(tokens.encode(docs, "doc_id", "text", vocab, LENGTH))
 
 
