@@ -20,7 +20,7 @@ FIT_PER_LANGUAGE = 800  # labelled rows of each language that a fit reads, at mo
 FIT_CHARS = 1_500  # characters of such a row that it reads, from a place set by its id
 SHORT = (40, 300)  # lengths of the excerpts that a fit adds, so that short texts are known too
 REJECT_SHARE = 0.001  # share of right held-back texts that may score below the threshold
-MOST_REJECT = 0.5
+MOST_REJECT = 0.35  # the threshold at most: texts of two languages are clean and stay
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 
