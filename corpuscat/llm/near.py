@@ -1,4 +1,4 @@
-"""Near copies by probability min-wise hashing of weighted shingles, banding and verification."""
+"""Near copies by probability min-wise hashing of shingles, banding and verification."""
 
 from __future__ import annotations
 
@@ -141,8 +141,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end in slices(batch.column(1), SLICE_BYTES):
             texts = batch.column(1).slice(start, end - start).to_pylist()
-            d, h, w, digests = shingles(texts)
-            registers = signatures(len(texts), d, h, w.astype(np.float64))
+            d, h, _, digests = shingles(texts)
+            # Equal weights, as links are of distinct shingles: how often one repeats must not part a pair.
+            registers = signatures(len(texts), d, h, np.ones(len(h)))
             n = np.bincount(d, minlength=len(texts))
             keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32), band_keys(registers).ravel())
             low = (_mix(registers) & np.uint64(255)).astype(np.uint8)
@@ -256,11 +257,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are linked when the Jaccard similarity of their distinct five-word shingles is at
     least ``SIMILAR``; a class is all that links reach. Texts with the same words are one
-    representative. Its signature estimates the probability Jaccard of shingles weighted by
-    their counts. Bands of it gather candidates into families, and within a family the
-    whole texts are compared: in one task if the family is small, else first with its
-    smallest id, then what that leaves in blocks against all. Tasks return spanning links,
-    so no group is written out in pairs, and no link within a family is lost.
+    representative. Its signature estimates the same similarity: each distinct shingle has
+    weight 1, however often it repeats. Bands of it gather candidates into families, and
+    within a family the whole texts are compared: in one task if the family is small, else
+    first with its smallest id, then what that leaves in blocks against all. Tasks return
+    spanning links, so no group is written out in pairs, and no link within a family is lost.
 
     Null texts and texts without a word are alone, as are rows with null ids (class null,
     kept). Rows that repeat an id share a class. Empty tables give empty results; other

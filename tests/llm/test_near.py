@@ -78,6 +78,19 @@ def test_classes(spark, rows, monkeypatch, block, bucket):
     assert got == brute(rows)
 
 
+def test_copies_that_repeat_a_line_more_often(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(24):
+        base, line = [f"b{k}x{rng.randint(0, 10**9)}" for _ in range(400)], [f"line{k}", "of", "five", "words", f"end{k}"]
+        for times in (1, 3, 30, 100, 400):
+            at = rng.randint(0, 400)
+            rows.append((len(rows), " ".join(base[:at] + line * times + base[at:]), "c", "k"))
+    want = brute(rows)
+    assert len(set(want.values())) == 24
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()} == want
+
+
 EDGE = [(1, None, "c", "k"), (2, "", "c", "k"), (3, "!!! ...", "c", "k"), (4, "a b", "c", "k"), (5, "A, b!", "c", "k"), (6, "b a", "c", "k"), (7, "x " * 60_000 + "end", "c", "k"),
         (8, "x " * 60_000 + "end.", "c", "k"), (9, "one two three four five", "c", "k"), (9, "one two three four five", "c", "k"), (10, "one two three four five", "c", "k"),
         (None, "one two three four five", "c", "k")]
