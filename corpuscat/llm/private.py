@@ -20,7 +20,8 @@ ROUNDS = 8
 SLICE_BYTES = 2 << 20
 _DAYS = (datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal())
 
-_EMAIL = re.compile(r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w-])", re.A)
+# Punctuation before an address is passed over with its run, so that long runs are read once.
+_EMAIL = re.compile(r"(?<![\w.+-])[._+-]*([A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})(?![A-Za-z0-9])", re.A)
 _NUMBER = re.compile(
     r"""(?<![\w@])(?:
       (?P<iban>[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
@@ -29,11 +30,24 @@ _NUMBER = re.compile(
     | (?P<ssn>(?<!-)\d{3}-\d{2}-\d{4}(?![\w-]))
     | (?P<card>\d{4}([ -])\d{4}\6\d{4}\6\d{1,7}(?!\w)|\d{4}[ -]\d{6}[ -]\d{5}(?!\w)|\d{13,19}(?!\w))
     | (?P<phone>(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)
-        |\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|\d{3}[-.]\d{3}[-.]\d{4}(?![\w-]))
+        |\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)|\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])
+        |(?:1[ ])?[2-9]\d{2}[ ][2-9]\d{2}[ ]\d{4}(?![\w-])|0[1-9](?:[ .-]\d{2}){4}(?![\w-])
+        |0[1-9]\d{0,4}[ /-]\d{3,8}(?:[ -]\d{2,8}){0,3}(?![\w-]))
     )""",
     re.X | re.A,
 )
 
+# Characters of an IBAN by country.
+_IBAN_LENGTHS = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 
 def permute(x: int, n: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of 0 .. n - 1: a Feistel network over two parts, walked until inside."""
@@ -166,26 +180,41 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return code + _put(str(permute(int(digits), 10 ** len(digits), key, f"{kind}{len(digits)}")).zfill(len(digits)), rest)
 
 
+def _ends(kind: str, value: str) -> list[int]:
+    """Where a value that may have taken in what follows it can end, best first."""
+    ends = [len(value)]
+    if kind in ("iban", "phone"):
+        ends += [i for i in range(len(value) - 1, 0, -1) if not value[i].isalnum() and value[i - 1].isalnum()]
+    if kind == "iban":
+        places = [i + 1 for i, c in enumerate(value) if c.isalnum()]
+        n = _IBAN_LENGTHS.get(value[:2])
+        ends.sort(key=lambda e: n is None or n > len(places) or e != places[n - 1])
+    return ends
+
+
 def cover(text: str, key: bytes) -> tuple[str, list[str]]:
     """``text`` with pseudonyms for personal data, and the kinds found, in order."""
     found: list[tuple[int, int, str, str]] = []
     if "@" in text:
         for m in _EMAIL.finditer(text):
-            found.append((m.start(), m.end(), "email", pseudonym("email", m[0], key)))
+            found.append((m.start(1), m.end(1), "email", pseudonym("email", m[1], key)))
     taken = [(a, b) for a, b, _, _ in found]
     pos = 0
     while m := _NUMBER.search(text, pos):
         kind = m.lastgroup or next(k for k, v in m.groupdict().items() if v)
-        new = pseudonym(kind, m[0], key)
-        inside = any(a < m.end() and m.start() < b for a, b in taken) if taken else False
+        for length in _ends(kind, m[0]):
+            end, new = m.start() + length, pseudonym(kind, m[0][:length], key)
+            if new is not None:
+                break
+        inside = any(a < end and m.start() < b for a, b in taken) if taken else False
         if new is None or inside:
             # Not valid as a whole: what starts later in it may be.
             pos = m.start() + 1
             while pos < m.end() and text[pos - 1].isalnum():
                 pos += 1
             continue
-        found.append((m.start(), m.end(), kind, new))
-        pos = m.end()
+        found.append((m.start(), end, kind, new))
+        pos = end
     if not found:
         return text, []
     out, at = [], 0

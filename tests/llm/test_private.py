@@ -71,6 +71,28 @@ def test_clean_texts_stay(text):
     assert cover(text, KEY) == (text, [])
 
 
+IBANS = ["ES9121000418450200051332", "AT611904300234573201", "BE68539007547034", "SE4550000000058398257466", "CZ6508000000192000145399", "PL61109010140000071219812874", "NO9386011117947", "PL61 1090 1014 0000 0712 1981 2874"]
+
+
+@pytest.mark.parametrize("kind,value", [("iban", v) for v in IBANS] + [(k, v) for k, vs in VALUES.items() for v in vs])
+@pytest.mark.parametrize("after", ["EUR", "I paid", "PAID NOW", "A1", "BIC ABCD 2024 X"])
+def test_followed_by_capital_words(kind, value, after):
+    text, kinds = cover(f"To {value} {after}", KEY)
+    assert kinds == [kind] and text == f"To {pseudonym(kind, value, KEY)} {after}"
+
+
+@pytest.mark.parametrize("phone", ["415 555 1234", "1 415 555 1234", "030 1234567", "0151 23456789", "020 7946 0958", "030/1234567", "01 23 45 67 89", "01.23.45.67.89"])
+def test_phones_of_a_country(phone):
+    text, kinds = cover(f"Call {phone} NOW or {phone}.", KEY)
+    assert kinds == ["phone"] * 2 and phone not in text and cover(text, KEY)[0].startswith("Call ")
+
+
+@pytest.mark.parametrize("before,after", [("-", ""), (".", ""), ("_", "_"), ("+", "-"), ("--", " -"), ("- ", "-x")])
+def test_addresses_beside_punctuation(before, after):
+    text, kinds = cover(f"{before}a.b@c.example.com{after}", KEY)
+    assert kinds == ["email"] and text == before + pseudonym("email", "a.b@c.example.com", KEY) + after
+
+
 def test_two_cards_side_by_side():
     text, kinds = cover("4465758382889437 4465758382889437 x", KEY)
     assert kinds == ["card", "card"] and len(set(text.split()[:2])) == 1
