@@ -12,17 +12,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuscat.llm.batches import runs
-from corpuscat.llm.links import connected
+from corpuscat.llm.links import Groups, connected
 from corpuscat.operators.scale import salted_join
 from corpuscat.session import cut_lineage
 
 SIMILAR = 0.93
 NEIGHBOURS = 8  # length of a neighbour list at first
-STARTS, CELL = 6, 48  # random cuttings that start the graph, and vectors aimed at in a cell
+STARTS, CELL = 6, 48  # random cuttings that start the graph, at least, and vectors aimed at in a cell
+MISS = 0.02  # share of pairs at the threshold that no cutting may keep together
+ALL_BLOCK = 2_048  # vectors compared in one piece where all pairs of a label are
 BLOCK = 512  # vectors compared in one piece
 ROUNDS = 6  # of neighbours-of-neighbours joins at most, for one list length
-ENOUGH = 0.001  # a round that adds a smaller share of links is the last
-AUDIT = 256  # vectors audited against all others
+ENOUGH = 0.001  # a round that changes a smaller share of the lists' entries is the last
+AUDIT, AUDIT_MOST, AUDIT_BYTES = 256, 16_384, 32 << 20  # vectors audited against all others, at first and at most
+AUDIT_LINKED = 64  # audited vectors that must have a link for the audit to count
 RECALL, ENLARGE = 0.98, 3  # audited recall to reach, and how often lists double for it
 
 
@@ -48,26 +51,36 @@ def _reader(kind: type):
     return read
 
 
-def _cells(kind: type, seed: int):
+def _cuttings(bits: int, similar: float) -> int:
+    """Cuttings by ``bits`` planes after which a pair at the threshold has shared a cell, but for ``MISS``."""
+    together = (1 - math.acos(max(-1.0, min(1.0, similar))) / math.pi) ** bits
+    return STARTS if together >= 1 else max(STARTS, math.ceil(math.log(MISS) / math.log1p(-together)))
+
+
+def _cells(kind: type, seed: tuple[int, ...], similar: float):
     """Each vector's cell in each of several cuttings by random planes, about ``CELL`` to a cell."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             spaces, raws, sizes = (batch.column(k).to_pylist() for k in (1, 2, 4))
             out_cell, out_row = [], []
             width = np.dtype(kind).itemsize
             for d in {len(r) // width for r in raws}:
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((STARTS, 40, d))
                 rows = [i for i, r in enumerate(raws) if len(r) == d * width]
                 v = _unit([raws[i] for i in rows], kind)
                 bits = np.array([max(0, math.ceil(math.log2(sizes[i] / CELL))) if sizes[i] > CELL else 0 for i in rows])
-                for t in range(STARTS):
-                    sides = (v @ planes[d][t].T > 0) & (np.arange(40)[None, :] < bits[:, None])
+                many = {b: _cuttings(b, similar) for b in set(bits.tolist())}
+                cuttings = np.array([many[b] for b in bits.tolist()])
+                for t in range(max(many.values())):
+                    if (d, t) not in planes:
+                        planes[d, t] = np.random.default_rng([*seed, d, t]).standard_normal((40, d))
+                    at = np.flatnonzero(cuttings > t)
+                    sides = (v[at] @ planes[d, t].T > 0) & (np.arange(40)[None, :] < bits[at][:, None])
                     code = (sides * (1 << np.arange(40, dtype=np.int64))).sum(axis=1)
-                    out_cell += [f"{spaces[i]}/{t}/{c}" for i, c in zip(rows, code.tolist())]
-                    out_row += rows
+                    own = [rows[i] for i in at.tolist()]
+                    out_cell += [f"{spaces[i]}/{t}/{c}" for i, c in zip(own, code.tolist())]
+                    out_row += own
             take = pa.array(out_row, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(out_cell, pa.string()), *[batch.column(k).take(take) for k in (0, 2, 3)]], names=["cell", "id", "raw", "copies"])
 
@@ -152,14 +165,15 @@ class _Graph:
     def __init__(self, reps: DataFrame, kind: type, id_kind: str, similar: float, seed: int):
         self.reps, self.kind, self.similar = reps, kind, similar
         self.schema = f"x {id_kind}, sim double, y {id_kind}, copies bigint"
-        cells = reps.mapInArrow(_cells(kind, seed), f"cell string, id {id_kind}, raw binary, copies bigint")
-        self.cells = cells.repartition("cell").sortWithinPartitions("cell", F.xxhash64("id"))
+        self.id_kind, self.seed = id_kind, seed
         self.k = 0
         self.table: DataFrame | None = None
 
     def enlarge(self, k: int) -> None:
-        """Lists of ``k`` entries, from the cells and whatever the lists hold."""
-        found = self.cells.mapInArrow(_start(self.kind, k), self.schema)
+        """Lists of ``k`` entries, from the cells of new planes and whatever the lists hold."""
+        cells = self.reps.mapInArrow(_cells(self.kind, (self.seed, k), self.similar), f"cell string, id {self.id_kind}, raw binary, copies bigint")
+        cells = cells.repartition("cell").sortWithinPartitions("cell", F.xxhash64("id"))
+        found = cells.mapInArrow(_start(self.kind, k), self.schema)
         old = None if self.table is None else self.entries().drop("fresh")
         self.k = k
         self.table = self._best((found if old is None else found.unionByName(old)).withColumn("fresh", F.lit(True)))
@@ -178,8 +192,7 @@ class _Graph:
         return self.table.filter(F.col("sim") >= self.similar)
 
     def refine(self) -> None:
-        """Join neighbours of neighbours until a round adds hardly any link."""
-        known = self.links().count()
+        """Join neighbours of neighbours until a round changes hardly any list."""
         for _ in range(ROUNDS):
             table = self.table
             forward = table.select(F.col("x").alias("u"), F.col("y").alias("v"), "fresh")
@@ -197,10 +210,9 @@ class _Graph:
             better = joined.repartition("u").sortWithinPartitions("u").mapInArrow(_local_join(self.kind), self.schema)
             old = table.withColumn("fresh", F.lit(False))
             self.table = self._best(old.unionByName(better.withColumn("fresh", F.lit(True))))
-            now = self.links().count()
-            if now - known <= ENOUGH * now:
+            total, new = self.table.agg(F.count(F.lit(1)), F.count_if("fresh")).first()
+            if new <= ENOUGH * total:
                 break
-            known = now
 
 
 def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
@@ -209,8 +221,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
     Vectors of one label (and one length) link when their cosine, in double precision, is
     at least ``similar``. Equal vectors are one representative. Neighbour lists start from
-    random cuttings and are refined by joining neighbours of neighbours. A bounded sample is
-    audited against all vectors; while its recall is low, all lists double. A list that is
+    random cuttings and are refined by joining neighbours of neighbours. A sample that holds enough
+    linked vectors is audited against all; while its recall is low, all lists double. If that
+    does not help, or a large sample has too few linked vectors to judge by, all pairs of
+    each label are compared, in blocks, and the recall is 1. A list that is
     saturated, all links, is enlarged to its whole component, whose members are compared
     in blocks, so their counts are exact. ``audit_recall`` is the recall of the last audit.
 
@@ -229,18 +243,22 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     sizes = cut_lineage(reps.groupBy("space").agg(F.count(F.lit(1)).alias("n")).withColumn("size", F.col("n")))
     reps = cut_lineage(salted_join(reps, sizes, "space", "n", F.col("id")).select("id", "space", "raw", "copies", "size", "key"))
     graph = _Graph(reps, kind, id_kind, similar, seed)
-    sample = _audit_sample(reps, kind)
-    k, recall = NEIGHBOURS, 1.0
-    for _ in range(ENLARGE):
+    true, audited = _audited(reps, kind, similar)
+    k, recall = NEIGHBOURS, 0.0
+    for _ in range(ENLARGE if audited else 0):
         graph.enlarge(k)
         graph.refine()
         links = cut_lineage(graph.links())
         component = cut_lineage(connected(links.select(F.col("x").alias("a"), F.col("y").alias("b"))))
         counts = cut_lineage(_counts(reps, links, component, k, kind, id_kind, similar))
-        recall = _audit(reps, counts, sample, kind, similar)
+        recall = _recall(true, counts)
         if recall >= RECALL:
             break
         k *= 2
+    else:
+        # The search is not known to be whole: all pairs of each label.
+        counts, component = _all_pairs(reps, kind, id_kind, similar)
+        recall = 1.0
     reached = reps.select("key", "copies", "id").join(counts, "id", "left").join(component, "id", "left")
     n_links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
     reached = cut_lineage(reached.select("key", "copies", n_links.cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component_id")))
@@ -277,37 +295,99 @@ def _counts(reps: DataFrame, links: DataFrame, component: DataFrame, k: int, kin
     return listed.select("id", "n").join(rest, "id", "left_semi").unionByName(exact)
 
 
-def _audit_sample(reps: DataFrame, kind: type) -> dict[str, tuple[list, np.ndarray]]:
-    """About ``AUDIT`` representatives by space, chosen by hash."""
-    total = max(reps.count(), 1)
-    chance = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
-    rows = reps.filter(chance < AUDIT / total).select("id", "space", "raw").collect()
-    out: dict[str, tuple[list, np.ndarray]] = {}
-    for space in {r["space"] for r in rows}:
-        own = [r for r in rows if r["space"] == space]
-        out[space] = ([r["id"] for r in own], _unit([bytes(r["raw"]) for r in own], kind))
-    return out
+def _audit_sample(reps: DataFrame, kind: type, chance: float) -> dict[str, tuple[list, np.ndarray]]:
+    """A share ``chance`` of the representatives by space, chosen by hash."""
+    place = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
+    rows = reps.filter(place < chance).select("id", "space", "raw").collect()
+    by: dict[str, list] = {}
+    for r in rows:
+        by.setdefault(r["space"], []).append(r)
+    return {space: ([r["id"] for r in own], _unit([bytes(r["raw"]) for r in own], kind)) for space, own in by.items()}
 
 
-def _audit(reps: DataFrame, counts: DataFrame, sample: dict, kind: type, similar: float) -> float:
-    """Share of the sample's true links, counted over all vectors, that were found."""
-    ids = [i for own, _ in sample.values() for i in own]
-    if not ids:
-        return 1.0
+def _audited(reps: DataFrame, kind: type, similar: float) -> tuple[DataFrame | None, bool]:
+    """``id, true``: copies that each vector of a sample links with, and whether it is enough to judge by.
+
+    The sample grows until ``AUDIT_LINKED`` of its vectors have a link, or it is the table.
+    """
+    total, width = reps.agg(F.count(F.lit(1)), F.max(F.octet_length("raw"))).first()
+    most = min(AUDIT_MOST, max(AUDIT, AUDIT_BYTES // (width or 1)))
+    size = AUDIT
+    while True:
+        true = cut_lineage(_true_links(reps, _audit_sample(reps, kind, size / max(total, 1)), kind, similar))
+        if size >= total or true.filter(F.col("true") > 0).count() >= AUDIT_LINKED:
+            return true, True
+        if size >= most:
+            return None, False
+        size = min(size * 8, most)
+
+
+def _true_links(reps: DataFrame, sample: dict, kind: type, similar: float) -> DataFrame:
+    """``id, true``: copies that each vector of ``sample`` links with among all vectors."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spaces = np.array(batch.column(1).to_pylist(), object)
             for space in set(spaces.tolist()) & set(sample):
-                at = np.flatnonzero(spaces == space)
-                part = batch.take(pa.array(at))
+                part = batch.take(pa.array(np.flatnonzero(spaces == space)))
+                v, copies = _unit(part.column(2).to_pylist(), kind).T, part.column(3).to_numpy()
+                at = {x: k for k, x in enumerate(part.column(0).to_pylist())}
                 own, asks = sample[space]
-                linked = asks @ _unit(part.column(2).to_pylist(), kind).T >= similar
-                same = np.array(own, object)[:, None] == np.array(part.column(0).to_pylist(), object)[None, :]
-                n = (linked & ~same) @ part.column(3).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(own, batch.column(0).type), pa.array(n, pa.int64())], names=["id", "true"])
+                for s in range(0, len(own), BLOCK):
+                    linked = asks[s : s + BLOCK] @ v >= similar
+                    for i, x in enumerate(own[s : s + BLOCK]):
+                        if x in at:
+                            linked[i, at[x]] = False
+                    n = linked @ copies
+                    yield pa.RecordBatch.from_arrays([pa.array(own[s : s + BLOCK], batch.column(0).type), pa.array(n, pa.int64())], names=["id", "true"])
 
     kind_of_id = reps.schema["id"].dataType.simpleString()
-    true = reps.select("id", "space", "raw", "copies").mapInArrow(count, f"id {kind_of_id}, true bigint").groupBy("id").agg(F.sum("true").alias("true"))
-    seen = true.join(counts, "id", "left").agg(F.sum("true"), F.sum(F.least(F.coalesce("n", F.lit(0)), "true"))).first()
-    return (seen[1] / seen[0]) if seen[0] else 1.0
+    return reps.select("id", "space", "raw", "copies").mapInArrow(count, f"id {kind_of_id}, true bigint").groupBy("id").agg(F.sum("true").alias("true"))
+
+
+def _recall(true: DataFrame, counts: DataFrame) -> float:
+    """Share of the audited links that were found: of all, or the mean over vectors if that is less."""
+    hit = F.least(F.coalesce("n", F.lit(0)), "true")
+    row = true.filter(F.col("true") > 0).join(counts, "id", "left").agg(F.sum("true"), F.sum(hit), F.avg(hit / F.col("true"))).first()
+    return min(row[1] / row[0], row[2]) if row[0] else 1.0
+
+
+def _all_pairs(reps: DataFrame, kind: type, id_kind: str, similar: float) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and ``id, component`` from all pairs of each space, block by block."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches):
+            block, ids, copies = table["block"].to_numpy(), table["id"].to_pylist(), table["copies"].to_numpy()
+            v = _unit(table["raw"].to_pylist(), kind)
+            one, other = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+            alone = table["alone"][0].as_py()
+            if not alone and block.min() == block.max():
+                continue  # the other block is empty
+            linked = v[one] @ v[other].T >= similar
+            if alone:
+                np.fill_diagonal(linked, False)
+            n = np.zeros(len(ids), np.int64)
+            n[one] = linked @ copies[other]
+            if not alone:
+                n[other] = copies[one] @ linked
+            groups, a, b = Groups(), [], []
+            for x, y in zip(*(k.tolist() for k in np.nonzero(linked))):
+                if groups.join(ids[one[x]], ids[other[y]]):
+                    a.append(ids[one[x]])
+                    b.append(ids[other[y]])
+            at = np.flatnonzero(n)
+            type_ = table.schema.field("id").type
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([ids[k] for k in at.tolist()] + a, type_), pa.array([None] * len(at) + b, type_), pa.array(n[at].tolist() + [0] * len(a), pa.int64())], names=["id", "other", "n"]
+            )
+
+    blocks = F.ceil(F.col("size") / ALL_BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = reps.withColumn("blocks", blocks).withColumn("block", own)
+    met = rows.select("space", "id", "raw", "copies", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    pair = F.concat_ws(":", "space", F.least("block", "o").cast("string"), F.greatest("block", "o").cast("string"))
+    met = met.select(pair.alias("pair"), "id", "raw", "copies", "block", (F.col("block") == F.col("o")).alias("alone"))
+    out = cut_lineage(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, f"id {id_kind}, other {id_kind}, n bigint"))
+    counts = cut_lineage(out.filter("other is null").groupBy("id").agg(F.sum("n").alias("n")))
+    component = cut_lineage(connected(out.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    return counts, component

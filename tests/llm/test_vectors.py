@@ -70,6 +70,26 @@ def test_against_all_pairs(spark, rows, monkeypatch):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
 
 
+@pytest.mark.parametrize("linked", [64, 10**9])
+def test_few_links_among_many_vectors(spark, monkeypatch, linked):
+    """Isolated pairs are found by search, and by all pairs where the audit has too few to judge by."""
+    monkeypatch.setattr(module, "CELL", 4)
+    if linked > 64:
+        monkeypatch.setattr(module, "AUDIT_LINKED", linked)
+        monkeypatch.setattr(module, "AUDIT_MOST", 512)
+        monkeypatch.setattr(module, "AUDIT_BYTES", 1)
+        monkeypatch.setattr(module, "ALL_BLOCK", 200)
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.standard_normal(48).tolist(), 0, "x") for i in range(1_500)]
+    for i in range(80):
+        base = np.array(rows[i][1])
+        rows.append((1_500 + i, near(rng, base / np.linalg.norm(base), 0.37).tolist(), 0, "x"))
+    want = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in link_vectors(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    right = sum(got[i] == want[i] for i in got if want[i][0])
+    assert right >= (160 if linked > 64 else 157) and all(got[i] == want[i] for i in got if not want[i][0])
+
+
 EDGE = [
     (1, [1.0, 0.0], 1, "a"), (2, [2.0, 0.0], 1, "a"), (3, [1.0, 0.0], 2, "a"), (4, [1.0, 0.0], None, "a"), (5, None, 1, "a"), (6, [0.0, 0.0], 1, "a"),
     (7, [1.0, None], 1, "a"), (8, [float("nan"), 1.0], 1, "a"), (9, [float("inf"), 1.0], 1, "a"), (10, [], 1, "a"), (11, [1.0, 0.0, 0.0], 1, "a"),
