@@ -6,7 +6,7 @@ each check has an exact distributed way for the case that it fails.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -113,29 +113,29 @@ def salted_join(
 
     ``weight`` says how many rows each key has, in ``table`` or in ``weighed(key, weight)``.
     A key with more than a quarter of a partition's even share is dealt over as many salts
-    as it has quarters, and only such keys' table rows are repeated. At most four keys for
-    each partition can be that heavy, and they travel as hashes, which bounds the broadcast
-    list of them.
+    as it has quarters, rounded up to a power of two, and only such keys' table rows are
+    repeated. At most four keys for each partition can be that heavy; the driver takes only
+    their hashes, and they stand in the plan as sets, one for each number of salts.
     ``spread_by`` must depend on the row alone, so that a task that runs again deals alike.
     The result has the columns of ``rows`` and, unless semi, the table's others.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weighed = table if weighed is None else weighed
-    total, top = weighed.agg(F.coalesce(F.sum(weight), F.lit(0)), F.max_by(F.xxhash64(key), weight)).first()
+    total = weighed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     limit = total // (4 * parts) + 1
-    shares = F.max(F.ceil(F.col(weight) / limit)).cast("int").alias("_salts")
-    # One heaviest key is listed in any case, so that runs with and without skew have one plan.
-    listed = (F.col(weight) > limit) | (F.xxhash64(key) == F.lit(top))
-    heavy = weighed.filter(listed).groupBy(F.xxhash64(key).alias("_key_hash")).agg(shares)
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
+    heavy: dict[int, set[int]] = {}
+    for h, n in weighed.filter(F.col(weight) > limit).select(F.xxhash64(key), F.col(weight)).collect():
+        heavy.setdefault(1 << (int(-(-n // limit)) - 1).bit_length(), set()).add(h)
+    salts = F.lit(1)
+    for n, hashes in sorted(heavy.items()):
+        salts = F.when(F.expr(f"_key_hash IN ({', '.join(f'{h}L' for h in sorted(hashes))})"), F.lit(n)).otherwise(salts)
 
-    def marked(df: DataFrame) -> DataFrame:
-        return df.withColumn("_key_hash", F.xxhash64(key)).join(F.broadcast(heavy), "_key_hash", "left")
+    def marked(df: DataFrame, salt: Callable[[Column], Column]) -> DataFrame:
+        return df.withColumn("_key_hash", F.xxhash64(key)).withColumn("_salt", salt(salts)).drop("_key_hash")
 
     # Rows without a key find nothing, wherever they go.
-    shares = F.when(F.col(key).isNull(), F.lit(parts)).otherwise(salts)
-    many = marked(rows).withColumn("_salt", F.pmod(F.xxhash64(spread_by), shares).cast("int")).drop("_salts", "_key_hash")
-    one = marked(table.drop(weight)).withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts", "_key_hash")
+    many = marked(rows, lambda n: F.pmod(F.xxhash64(spread_by), F.when(F.col(key).isNull(), F.lit(parts)).otherwise(n)).cast("int"))
+    one = marked(table.drop(weight), lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     return many.join(one, [key, "_salt"], how).select(*rows.columns, *payload)
 
