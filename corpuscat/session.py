@@ -55,12 +55,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     It is computed once and survives lost executors. Unlike a checkpoint, a stored table
     is read by column, and its size is known to the planner.
     """
-    path = scratch_path(df.sparkSession, "stage")
+    return store(df, scratch_path(df.sparkSession, "stage"))
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and return it as stored, so that ``drop_path`` can remove it early."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a stored table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove this application's intermediate tables once their results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop_path(spark, scratch_root(spark))
