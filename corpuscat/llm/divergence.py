@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -18,47 +17,56 @@ from corpuscat.session import cut_lineage
 SUPPORT = 30  # documents of a language that a term must be in
 TOP_TERMS = 50
 SMOOTH, UNIT = 5, 1_000_000_000  # added to each count; the whole of a share
-TERM = re.compile("[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
+# UTF-8 as terms see it: A to Z in lower case, other ASCII but a to z a space; all other bytes belong to letters.
+_SEEN = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
-LONG_TEXT = 1 << 20  # characters beyond which a text's terms are not held as a list
-HELD = 200_000  # counts that a task holds before it passes them on
+LONG_TEXT = 1 << 20  # bytes of a text whose terms are listed at a time
+HELD = 400_000  # counts that a task holds before it passes them on
 BLOCK = 4_096  # places of the vocabulary in one piece of a column
 TILE = 64  # sources that meet another such number at a time
 LEADING = 8  # sources whose counts order a language's vocabulary
 
 
-def _terms(text: str) -> Counter:
-    """How often each term occurs in one text, A to Z in lower case."""
-    raw = Counter(TERM.findall(text) if len(text) < LONG_TEXT else (m.group() for m in TERM.finditer(text)))
-    found: Counter = Counter()
-    for term, n in raw.items():
-        found[term.lower() if term.isascii() else term.translate(_LOWER)] += n
-    return found
+def _terms(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of one text in their order, in lists of about ``LONG_TEXT`` bytes."""
+    plain = text.translate(_SEEN)
+    start = 0
+    while len(plain) - start > LONG_TEXT:
+        end = plain.find(b" ", start + LONG_TEXT)
+        if end < 0:
+            break
+        yield plain[start:end].split()
+        start = end
+    yield plain[start:].split()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term in each group; a row without a term stands for the group."""
-    held: dict[tuple, list[int]] = {}
+    held: dict[tuple, tuple[Counter, Counter]] = {}
 
-    def flush() -> pa.RecordBatch:
-        keys = list(zip(*held)) or [(), (), ()]
-        both = list(zip(*held.values())) or [(), ()]
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*keys, *both], kinds)], names=["lang", "source", "term", "n", "docs"])
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            terms = [None, *n]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string())]
+            counts = [pa.array([0, *n.values()], pa.int64()), pa.array([0, *map(docs.__getitem__, n)], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *counts], names=["lang", "source", "term", "n", "docs"])
 
+    size = 0
     for batch in batches:
         # Texts leave Arrow one by one: a batch may hold very long ones.
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            held.setdefault((lang, source, None), [0, 0])
-            for term, n in _terms(text.as_py()).items():
-                entry = held.setdefault((lang, source, term), [0, 0])
-                entry[0] += n
-                entry[1] += 1
-            if len(held) >= HELD:
-                yield flush()
+            n, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            before, seen = len(n), set()
+            for terms in _terms(text.as_buffer().to_pybytes()):
+                n.update(terms)
+                seen.update(terms)
+            docs.update(seen)
+            size += len(n) - before
+            if size >= HELD:
+                yield from flush()
                 held.clear()
-    yield flush()
+                size = 0
+    yield from flush()
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
