@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from pyspark.sql import functions as F
 
-from corpuscat.functions.text import clean_text
 from corpuscat.operators import subword, summary, tokens
-from corpuscat.operators.scale import spread
-from corpuscat.plans.catalog.registry import clean, query, words
-from corpuscat.session import cut_lineage
+from corpuscat.plans.catalog.registry import query, words
 from corpuscat.sources.tables import table
 
 LENGTH = 512  # fixed value: tokens per text
@@ -57,14 +52,17 @@ def _as_text(encoded):
     )
 
 
-TOP_WORDS = 2_000
+MIN_COUNT = 5  # occurrences that make a word a piece of its own
+
+# Control characters but for tab and line ends go; punctuation marks and CJK signs are words.
+_CONTROL = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\p{Cf}\p{Co}]"
+_WORDS = f"regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '{_CONTROL}', '', 'g')), '{subword.WORD}')"
 
-_PIECES = f"""cleaned AS (SELECT doc_id, regexp_extract_all({clean('text')}, '[\\p{{L}}\\p{{N}}]+|_') AS ws FROM documents),
-occurrences AS (SELECT unnest(ws) AS w FROM cleaned),
+_PIECES = f"""raw AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+occurrences AS (SELECT unnest(ws) AS w FROM raw),
 counted AS (SELECT w, strip_accents(w) AS bare, count(*) AS n FROM occurrences GROUP BY w),
-starts AS (SELECT DISTINCT unnest(string_split(bare, '')) AS t FROM counted
-  UNION SELECT bare FROM (SELECT bare FROM counted ORDER BY n DESC, w LIMIT {TOP_WORDS})),
-both_kinds AS (SELECT t, false AS inner_piece, t AS piece FROM starts UNION ALL SELECT t, true, '##' || t FROM starts),
+starts AS (SELECT DISTINCT unnest(string_split(bare, '')) AS t FROM counted UNION SELECT bare FROM counted WHERE n >= {MIN_COUNT}),
+both_kinds AS (SELECT t, false AS inner_piece, t AS piece FROM starts WHERE t <> '' UNION ALL SELECT t, true, '##' || t FROM starts WHERE t <> ''),
 pieces AS (SELECT t, inner_piece, (row_number() OVER (ORDER BY piece) + {tokens.FIRST_ID - 1})::INTEGER AS id FROM both_kinds)"""
 
 
@@ -81,32 +79,16 @@ steps AS (
   GROUP BY w),
 finished AS (SELECT w, ids FROM steps WHERE done = length(bare)
   UNION ALL SELECT w, [{tokens.UNK}]::INTEGER[] FROM counted WHERE length(bare) > {subword.LONGEST_WORD}),
-firsts AS (SELECT doc_id, list_slice(ws, 1, {LENGTH - 2}) AS ws FROM cleaned),
+firsts AS (SELECT doc_id, list_slice(list_filter(ws, lambda w: regexp_matches(w, '[^\\p{{Mn}}]')), 1, {LENGTH - 2}) AS ws FROM raw),
 placed AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM firsts),
 joined AS (SELECT doc_id, list_slice(flatten(list(ids ORDER BY pos)), 1, {LENGTH - 2}) AS l FROM placed p JOIN finished f ON p.w = f.w GROUP BY doc_id),
 full_ids AS (SELECT d.doc_id, coalesce(l, []::INTEGER[]) AS l FROM documents d LEFT JOIN joined j ON d.doc_id = j.doc_id)
 SELECT doc_id, {_padded('l', LENGTH)} FROM full_ids""",
 )
 def subword_encode(spark, folder):
-    docs = spread(table(spark, folder, "documents")).select("doc_id", clean_text(F.col("text")).alias("text"))
-    docs = cut_lineage(docs)
-    return _as_text(subword.subword_encode(docs, "doc_id", "text", corpus_pieces(docs, "text"), LENGTH))
-
-
-def corpus_pieces(df, text: str, top: int = TOP_WORDS) -> dict[str, int]:
-    """A sub-word vocabulary: every character and the ``top`` words, as starts and as inner pieces."""
-    each = df.select(F.explode(subword.basic_words(F.col(text))).alias("w"))
-    counted = cut_lineage(each.groupBy("w").agg(F.count(F.lit(1)).alias("n")))
-    frequent = [r["w"] for r in counted.orderBy(F.desc("n"), "w").limit(top).collect()]
-    # no more distinct characters than Unicode has
-    characters = [r["c"] for r in counted.select(F.explode(F.split("w", "")).alias("c")).distinct().collect()]
-    bare = set()
-    for s in characters + frequent:
-        bare.add("".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
-    bare.discard("")
-    pieces = sorted(bare) + [subword.CONTINUED + s for s in bare]
-    ids = {p: i for i, p in enumerate(sorted(pieces), tokens.FIRST_ID)}
-    return {subword.UNKNOWN: tokens.UNK, **ids}
+    """Raw texts with the corpus' own pieces."""
+    docs = table(spark, folder, "documents")
+    return _as_text(subword.subword_encode(docs, "doc_id", "text", subword.corpus_pieces(docs, "text", MIN_COUNT), LENGTH))
 
 
 _SUMMARY = f"""sentence_lists AS (SELECT doc_id, list_filter(list_transform(

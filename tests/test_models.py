@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -47,6 +48,53 @@ def test_bayes_equals_brute_force(spark, tmp_path):
             assert r["score"] == pytest.approx(score) and r["loss"] == pytest.approx(loss)
 
 
+def test_many_classes(spark):
+    """3,000 classes of random words: predictions, scores and losses of plain sums over all classes."""
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{i}" for i in range(400)])
+    made = [(" ".join(words[np.minimum(rng.geometric(0.01, int(rng.integers(0, 30))) - 1, 399)]), int(y)) for y in rng.integers(0, 3_000, 9_000)]
+    train, asked = made[:8_800], made[8_800:] + [("", 17), ("nowhere", 2_999), ("w1", 5_000)]
+    alphas = [1.0, 0.1]
+    model = bayes.fit_bayes(frame(spark, train), "t", "y")
+    got = {(r["i"], r["candidate"]): r for r in bayes.bayes_predict(frame(spark, asked), "i", "t", "y", model, alphas).collect()}
+    plain = {r["i"]: r for r in bayes.bayes_predict(frame(spark, asked), "i", "t", "y", model, alphas[:1], loss=False).collect()}
+    labels_ = sorted({y for _, y in train})
+    index = {w: i for i, w in enumerate(sorted({w for t, _ in train for w in t.split()}))}
+    n = np.zeros((len(labels_), len(index)))
+    place = {y: i for i, y in enumerate(labels_)}
+    docs = np.zeros(len(labels_))
+    for t, y in train:
+        docs[place[y]] += 1
+        for w in t.split():
+            n[place[y], index[w]] += 1
+    assert len(got) == 2 * len(asked)
+    for candidate, a in enumerate(alphas):
+        log = np.log((n + a) / (n.sum(axis=1, keepdims=True) + a * len(index)))
+        for i, (t, y) in enumerate(asked):
+            score = np.log(docs / docs.sum()) + sum((log[:, index[w]] for w in t.split() if w in index), np.zeros(len(labels_)))
+            r = got[i, candidate]
+            assert r["score"] == pytest.approx(score.max(), abs=1e-7)
+            assert score[place[r["prediction"]]] == pytest.approx(score.max(), abs=1e-7)
+            if y in place:
+                assert r["loss"] == pytest.approx(np.log(np.exp(score - score.max()).sum()) + score.max() - score[place[y]], abs=1e-6)
+            else:
+                assert r["loss"] is None
+            if not candidate:
+                assert (plain[i]["prediction"], plain[i]["score"], plain[i]["loss"]) == (r["prediction"], r["score"], None)
+
+
+def test_upper_lines():
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 5, 200):
+        start, step = -rng.random(size) * 10, -rng.random(size)
+        start[size // 2], step[size // 2] = start[0], step[0]
+        at, low, high = bayes.upper_lines(start, step)
+        assert low[0] == 0 and (low[1:] == high[:-1]).all() and high[-1] == np.inf
+        for x in range(60):
+            on = at[(low <= x) & (x <= high)]
+            assert (start[on] + x * step[on]).max() == pytest.approx((start + x * step).max())
+
+
 def test_metrics_with_a_class_never_predicted(spark):
     pairs = [(0, 0), (0, 1), (1, 1), (2, 1), (1, 1), (3, 0)]
     counts = evaluate.confusion(spark.createDataFrame(pairs, "label bigint, prediction bigint"))

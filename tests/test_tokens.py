@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from tokenizers import BertWordPieceTokenizer
 from pyspark.sql import functions as F
 
@@ -56,12 +58,39 @@ def test_subword_equals_the_published_scheme(spark):
         "tab\tnew\nline\x07bell",
         "semi;colon^caret`tick|pipe~tilde<>=+",
     ]
-    got = encoded(subword.subword_encode(docs(spark, *texts), "i", "t", ids, 24))
+    table = spark.createDataFrame(list(ids.items()), "piece string, id int")
+    for max_bytes in (1 << 26, 0):
+        got = encoded(subword.subword_encode(docs(spark, *texts), "i", "t", table, 24, max_bytes=max_bytes))
+        for i, text in enumerate(texts):
+            want = theirs.encode(text)
+            assert got[i] == (want.ids, want.attention_mask), text
+
+
+def test_subword_vocabulary_of_any_size(spark):
+    """200,000 pieces, and one letter that most parts of most words are."""
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    made = {"".join(rng.choice(letters, int(n))) for n in rng.integers(4, 9, 215_000)}
+    stems = sorted(made)[:200_000]
+    pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", *letters, *("##" + c for c in letters[:-1])]
+    pieces += [w if i % 2 else "##" + w for i, w in enumerate(stems)]
+    ids = {p: i for i, p in enumerate(pieces)}
+    assert len(ids) > 200_000
+    theirs = BertWordPieceTokenizer(vocab=ids, lowercase=True)
+    theirs.enable_truncation(40)
+    theirs.enable_padding(length=40)
+    texts = [" ".join("".join(rng.choice(stems, 2)) if rng.random() < 0.7 else "a" * int(rng.integers(1, 100)) for _ in range(12)) for _ in range(60)] + ["az zz", "z" * 101]
+    got = encoded(subword.subword_encode(docs(spark, *texts), "i", "t", spark.createDataFrame(list(ids.items()), "piece string, id int"), 40))
     for i, text in enumerate(texts):
         want = theirs.encode(text)
         assert got[i] == (want.ids, want.attention_mask), text
 
 
+def test_subword_needs_an_unknown_piece(spark):
+    with pytest.raises(ValueError):
+        subword.subword_encode(docs(spark, "a"), "i", "t", spark.createDataFrame([("a", 5)], "piece string, id int"))
+
+
 def test_length_profile(spark):
     r = tokens.length_profile(docs(spark, "a b", "a", "", "a b c"), "t", limit=4).first()
     assert tuple(r) == (4, 1.5, 0.75, 1.5, 2.25, 3, 0.25)
