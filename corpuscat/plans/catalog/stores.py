@@ -20,6 +20,18 @@ def src_csv_roundtrip(spark, folder):
     return delimited.read_delimited(spark, path, docs.schema, row_id="doc_id")
 
 
+@query(
+    "src_csv_one_file",
+    "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
+)
+def src_csv_one_file(spark, folder):
+    """One file in the corpus' layout, its first column without a name, read in blocks and numbered in file order."""
+    docs = table(spark, folder, "documents")
+    path = scratch_path(spark, "csv")
+    delimited.write_delimited(docs.orderBy("doc_id").coalesce(1).toDF("", *docs.columns[1:]), path)
+    return delimited.read_delimited(spark, path, docs.schema, columns={"_c0": "doc_id"})
+
+
 @query("src_materialise", "SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
 def src_materialise(spark, folder):
     docs = table(spark, folder, "documents")

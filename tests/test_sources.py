@@ -1,3 +1,4 @@
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -52,6 +53,57 @@ def test_bad_records_fail_or_are_kept(spark, tmp_path, record):
     assert "open" in record or kept[1]["bad"] is not None
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are cut into blocks of some bytes."""
+    settings = {"spark.sql.files.maxPartitionBytes": "83", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("max_bytes", [1 << 26, 0])
+def test_one_file_is_read_by_many_tasks(spark, tmp_path, small_splits, end, max_bytes):
+    """Records that span lines, blocks and many blocks; same rows, values and numbers as one task gives."""
+    rng = random.Random(7)
+    want = []
+    for name in ("a.csv", "b.csv"):
+        lines = [f"Title,Plot{end}"]
+        for i in range(60):
+            plot = "".join(rng.choice(["x", "y z", '"', ",", "\n", "\r\n", "é", "\n\n"]) for _ in range(rng.choice([0, 1, 4, 12, 150])))
+            want.append((f"{name}{i}", plot or None))
+            lines.append(f'{name}{i},"{plot.replace(chr(34), chr(34) * 2)}"{end}' + (end if i % 9 == 0 else ""))
+        (tmp_path / name).write_text("".join(lines), newline="")
+    df = delimited.read_delimited(spark, str(tmp_path), PLAIN, max_bytes=max_bytes)
+    assert [tuple(r) for r in df.orderBy("row_id").collect()] == [(i, *r) for i, r in enumerate(want)]
+    lines = delimited._records(spark, str(tmp_path / "a.csv"), max_bytes)
+    assert lines.select("block").distinct().count() > 20
+
+
+def test_bad_record_in_many_blocks(spark, tmp_path, small_splits):
+    good = "".join(f't{i},"p\n{i}"\n' for i in range(40))
+    (tmp_path / "bad.csv").write_text(f"Title,Plot\n{good}t,p,third\n{good}")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        delimited.read_delimited(spark, str(tmp_path), PLAIN).count()
+    kept = delimited.read_delimited(spark, str(tmp_path), PLAIN, corrupt="bad")
+    assert kept.count() == 81 and [r["row_id"] for r in kept.filter("bad is not null").collect()] == [40]
+    (tmp_path / "other.csv").write_text("Title,Other\nt,p\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        delimited.read_delimited(spark, str(tmp_path), PLAIN, corrupt="bad").count()
+
+
+def test_quotes_in_bare_fields_need_whole_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Title,Plot\n5" disk,p\nt,"q\nr"\n')
+    rows = delimited.read_delimited(spark, str(tmp_path), PLAIN, split=False).orderBy("row_id").collect()
+    assert [tuple(r) for r in rows] == [(0, '5" disk', "p"), (1, "t", "q\nr")]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        delimited.read_delimited(spark, str(tmp_path), PLAIN).count()
+
+
 def test_corpus_layout(spark, tmp_path):
     """The column layout of the corpus: an index without a name, quotes, line ends in fields."""
     names = delimited.CORPUS_SCHEMA.fieldNames()
