@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,12 +50,14 @@ AGAINST = re.compile(
 )
 REPLIES = re.compile(r"comment|disqus|repl(?:y|ies)|respond|discussion|feedback", re.I)
 FAVOUR = re.compile(r"(?:^|[\W_])(?:article\w*|content|post|entry|story|main|body|text|prose|hentry)(?:$|[\W_\d])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+OPEN = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+STOP = re.compile(r"[>\"']")
+DEEPEST = 512  # elements within each other; what is deeper stands side by side, as in browsers
 NAME = re.compile(r"\b(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 MARK = re.compile(r"\bdata-main\s*=\s*[\"']?([01])", re.I)
 LENGTHS = (1, 25, 80, 250, 800)
 FEATURES = len(ROLES) + 3 + len(LENGTHS) + 5
-STEPS = 4  # kinds of step from a parent: inline, block, into something set apart, into what names itself main
+STEPS = 5  # kinds of step from a parent: inline, block, into something set apart, into what names itself main, from the page itself
 
 
 @dataclass
@@ -72,6 +75,7 @@ def parse(source: str) -> Page:
     """Elements and text of a page as browsers would see it, roughly: what is left open is closed."""
     page = Page(["#root"], [-1], [""], [-1], [])
     stack, block, last = [0], 0, 0
+    opened: Counter = Counter()  # elements of the stack by name
     pos, n = 0, len(source)
 
     def say(text: str) -> None:
@@ -79,22 +83,26 @@ def parse(source: str) -> Page:
             page.runs.append((stack[-1], block, entities.unescape(text)))
 
     while pos < n:
-        m = TOKEN.search(source, pos)
+        m = OPEN.search(source, pos)
         if not m:
             say(source[pos:])
             break
         if m.start() > pos:
             say(source[pos : m.start()])
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
+        if m[1] or m[2]:
+            mark = "-->" if m[1] else ">"
+            end = source.find(mark, m.end())
+            pos = n if end < 0 else end + len(mark)
             continue
+        stop = _tag_end(source, m.end())
+        pos = min(stop + 1, n)
+        tag, attributes = m[4].lower(), source[m.end() : stop]
         if tag in BLOCK or tag == "br" and stack[-1] == 0:
             block += 1
-        if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+        if m[3]:
+            for depth in range(len(stack) - 1 if opened[tag] else 0, 0, -1):
                 if page.tags[stack[depth]] == tag:
-                    del stack[depth:]
+                    _cut(page.tags, stack, opened, depth)
                     break
                 # An end tag of an inline element does not close a block.
                 if tag not in BLOCK and page.tags[stack[depth]] in BLOCK:
@@ -105,8 +113,7 @@ def parse(source: str) -> Page:
                 page.runs.append((stack[-1], block, " "))
             continue
         if tag in BLOCK:
-            _close(page.tags, stack, tag)
-        attributes = m[3] or ""
+            _close(page.tags, stack, opened, tag)
         found = NAME.findall(attributes) if "=" in attributes else ()
         mark = MARK.search(attributes)
         page.tags.append(tag)
@@ -119,21 +126,49 @@ def parse(source: str) -> Page:
             stop = end.start() if end else n
             pos = end.end() if end else n
             continue
-        if not attributes.endswith("/") or tag in BLOCK:
+        if (not attributes.endswith("/") or tag in BLOCK) and len(stack) < DEEPEST:
             stack.append(last)
+            opened[tag] += 1
     return page
 
 
-def _close(tags: list[str], stack: list[int], tag: str) -> None:
+def _cut(tags: list[str], stack: list[int], opened: Counter, depth: int) -> None:
+    opened.subtract(tags[e] for e in stack[depth:])
+    del stack[depth:]
+
+
+def _tag_end(source: str, pos: int) -> int:
+    """Where a tag ends whose attributes start at ``pos``: at a ``>`` outside quoted values, or with the page.
+
+    A quote opens a value only behind ``=``. A value without an end, or whose end is not
+    followed by a space, ``/`` or ``>``, was left open: the tag ends at the first ``>`` after its
+    start. Each search goes forward, so a page takes time in proportion to its length.
+    """
+    while m := STOP.search(source, pos):
+        if m[0] == ">":
+            return m.start()
+        pos = m.end()
+        if source[max(m.start() - 8, 0) : m.start()].rstrip().endswith("="):
+            end = source.find(m[0], pos)
+            if end < 0 or not (source[end + 1 : end + 2] in "/>" or source[end + 1].isspace()):
+                end = source.find(">", pos)
+                return end if end >= 0 else len(source)
+            pos = end + 1
+    return len(source)
+
+
+def _close(tags: list[str], stack: list[int], opened: Counter, tag: str) -> None:
     """Close what a block's start tag closes: an open paragraph, and items of its own kind."""
-    closing = CLOSES_ITEM.get(tag)
-    for depth in range(len(stack) - 1, 0, -1):
+    closing = CLOSES_ITEM.get(tag, ())
+    depth = len(stack)
+    while depth > 1 and (opened["p"] or any(opened[t] for t in closing)):
+        depth -= 1
         name = tags[stack[depth]]
-        if name == "p" or closing and name in closing:
-            del stack[depth:]
-            if name == "p" and not closing:
+        if name == "p" or name in closing:
+            _cut(tags, stack, opened, depth)
+            if not closing:
                 return
-        elif closing and name in ITEM_HOME or not closing and name in BLOCK:
+        elif name in (ITEM_HOME if closing else BLOCK):
             return
 
 
@@ -200,7 +235,8 @@ def forest(pages: list[Page]) -> Forest:
     x[:, k + 4] = 1
     apart = np.isin(kind, (1, 2, 3, 4, 5, 6)) | (x[:, len(ROLES)] > 0) | (x[:, len(ROLES) + 1] > 0)
     main = (kind == 0) | (x[:, len(ROLES) + 2] > 0)
-    return Forest(up, levels, x, np.where(apart, 2, np.where(main, 3, np.where(block, 1, 0))), first)
+    page_itself = np.isin(np.array(["#root", *tags])[up + 1], ("#root", "html", "body"))
+    return Forest(up, levels, x, np.where(apart, 2, np.where(main, 3, np.where(page_itself, 4, np.where(block, 1, 0)))), first)
 
 
 @functools.cache
@@ -281,6 +317,12 @@ def train(sources: list[str], rounds: int = 400, rate: float = 0.5, shrink: floa
     return model
 
 
+@functools.cache
+def _trained() -> Model:
+    """The model of the package's labelled pages, trained once in a process."""
+    return train(LABELLED)
+
+
 def main_texts(model: Model, sources: list[str]) -> list[str]:
     """The main text of each page: blocks of its content elements, one a line."""
     pages = [parse(s) for s in sources]
@@ -311,7 +353,7 @@ def extract_text(pages: DataFrame, model: Model | None = None, id_col: str = "pa
     browsers do. Repeated rows and null ids are rows like others; other columns are not
     read. Without ``model``, one is trained on the labelled pages of this package.
     """
-    model = model or train(LABELLED)
+    model = model or _trained()
     id_kind, url_kind = (pages.schema[c].dataType.simpleString() for c in (id_col, url_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

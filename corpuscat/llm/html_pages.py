@@ -157,3 +157,26 @@ def _by_rule(k: int) -> str:
 
 
 LABELLED += [_by_rule(k) for k in range(91)]
+
+# Bare pages: paragraphs that stand in the body, with or without page parts around them.
+_MAIN = "".join(f'<p data-main="1">{_text(k, n)}</p>' for k, n in enumerate((2, 1, 9, 4)))
+_FEW = f'<p data-main="1">{_text(2, 1)}</p><p data-main="1">{_text(4, 3)}</p>'
+LABELLED += [
+    f"<html><body>{_MAIN}</body></html>",
+    f"<html><body>{_FEW}</body></html>",
+    f"<html><head><title>{_SHORT[4]}</title></head><body>{_FEW}</body></html>",
+    _page(f'<h1 data-main="1">{_LINES[5]}</h1>{_MAIN}'),
+    _page(f'<h1 data-main="1">{_LINES[2]}</h1>{_FEW}<ul data-main="1"><li>{_LINES[1]}</li><li>{_LINES[6]}</li></ul>{_FEW}'),
+    _page(f"<nav><ul>{_links(3, 5)}</ul></nav>{_MAIN}<footer><p>{_text(1, 2)}</p></footer>"),
+    _page(f'<div class="menu">{_links(0, 4, "")}</div><h2 data-main="1">{_SHORT[4]}</h2>{_FEW}<div class="footer">{_text(3, 1)}</div>'),
+    _page(f'<header><p>{_text(6, 1)}</p></header>{_FEW}<div class="ad">{_text(1, 2)}</div>{_MAIN}<aside><p>{_text(5, 2)}</p></aside>'),
+]
+
+# Paragraphs of an article whose class says something that page parts are named for, too.
+LABELLED += [
+    _page(
+        f'<nav><ul>{_links(k, 4)}</ul></nav><article data-main="1"><h1>{_LINES[k]}</h1><p>{_text(k, 2)}</p><p class="{name}">{_text(k + 1, 2 + k)}</p>'
+        f"<p>{_text(k + 3, 9)}</p></article><footer>{_text(k, 1)}</footer>"
+    )
+    for k, name in enumerate(("tags", "notice", "legal", "share-text", "popular", "promo"))
+]

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -86,6 +87,40 @@ def test_messages_give_the_marginals_of_all_states():
             assert pair[k, 1, 1] == pytest.approx(both)
 
 
+BARE = [
+    (f"<html><body><p>{LONG}</p><p>{LONG * 3}</p></body></html>", 2),
+    (f"<html><body><h1>Title</h1><p>{LONG}</p><p>{LONG * 3}</p><p>{LONG}</p></body></html>", 4),
+    (f"<p>{LONG}</p><p>{LONG * 3}</p>", 2),
+    (f'<body><img alt="x>y" title="broken><p>{LONG}</p><p>{LONG * 2}</p></body>', 2),
+    (f'<body><article><h1>Title</h1><p>{LONG}</p><p>See <a title="x>the broken link</a> there. <b class="y">{LONG}</b></p></article></body>', 3),
+    (f'<body><nav><a href="/">Home</a></nav><article><h1>Title</h1><p class="tags">{LONG * 2}</p><p>{LONG}</p></article></body>', 3),
+]
+
+
+@pytest.mark.parametrize("source,blocks", BARE)
+def test_bare_and_broken_pages(model, source, blocks):
+    text = main_texts(model, [source])[0]
+    assert len(text.split("\n")) == blocks and "<" not in text and "class=" not in text and text.count("Rain fell") >= 2
+
+
+def test_quoted_values_may_hold_markup():
+    page = parse('<p data-x="a > b" title=\'c > "d"\' class = "e">text</p><a href="/x"/>more')
+    assert [t.strip() for _, _, t in page.runs] == ["text", "more"] and page.names[1] == "e"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a "', '<a b="', "<a b='x>", '<a b="x>', "<b>", "<div>", "</p>", "<b></i>", "<!--", "<script>", "<p class='", "<td><tr>", "<i><p></b>"])
+def test_time_grows_with_the_length(piece):
+    """Hostile markup takes seconds, and eight times the length about eight times as long."""
+    def seconds(size):
+        source = "<div>" + "<i>" * 600 + piece * (size // len(piece)) + '"'
+        start = time.process_time()
+        parse(source)
+        return time.process_time() - start
+
+    small = max(seconds(60_000), 0.02)
+    assert seconds(480_000) < 24 * small + 1
+
+
 EDGE = [
     (1, "u", None, "t", "n"), (2, None, "", "t", "n"), (3, "u", "   ", "t", "n"), (4, "u", "<", "t", "n"), (5, "u", "<article><p>a &amp; b&nbsp;&#233;&lt;i&gt; \n\t c", "t", "n"),
     (6, "u", "<!-- <article><p>x</p>", "t", "n"), (7, "u", "</p></div><article><p>" + LONG * 5_000, "t", "n"), (7, "u", "<p", "t", "n"), (None, "u", f"<article><h1>T</h1><p>{LONG}", "t", "n"),
