@@ -93,6 +93,57 @@ def test_addresses_beside_punctuation(before, after):
     assert kinds == ["email"] and text == before + pseudonym("email", "a.b@c.example.com", KEY) + after
 
 
+@pytest.mark.parametrize("shape", ["{m:02}/{d:02}/{y}", "{d:02}/{m:02}/{y}", "{d:02}.{m:02}.{y}", "{m:02}.{d:02}.{y}", "{y}-{m:02}-{d:02}"])
+def test_dates_are_one_to_one_in_each_order(shape):
+    """Two hundred years: as many pseudonyms as strings, each a date of its order that decodes."""
+    strings = set()
+    day = datetime.date(1900, 1, 1)
+    while day.year < 2100:
+        strings.add(shape.format(y=day.year, m=day.month, d=day.day))
+        day += datetime.timedelta(days=1)
+    new = {v: pseudonym("date", v, KEY) for v in strings}
+    assert len(set(new.values())) == len(strings)
+    for v in random.Random(2).sample(sorted(strings), 300):
+        assert pseudonym("date", new[v], KEY, back=True) == v and cover(f"on {new[v]} x", KEY)[1] == ["date"]
+
+
+def test_both_slash_orders_together():
+    month_first = {f"{m:02}/{d:02}/{y}" for y in range(1950, 1990) for m in range(1, 13) for d in range(1, 29)}
+    day_first = {f"{d:02}/{m:02}/{y}" for y in range(1950, 1990) for m in range(1, 13) for d in range(13, 29)}
+    both = month_first | day_first
+    assert len({pseudonym("date", v, KEY) for v in both}) == len(both)
+
+
+PHONES = ["030 1234567", "01 23 45 67 89", "+4915123456789", "+49 151 23456789", "415-555-1234", "415 555 1234", "1 415 555 1234", "+1 (521) 555-2373", "(0521) 555-2373", "+351 912 345 678", "+81 90 1234 5678"]
+
+
+@pytest.mark.parametrize("kind,value", [("phone", v) for v in PHONES] + [(k, v) for k, vs in VALUES.items() for v in vs])
+def test_found_again_and_decoded(kind, value):
+    """A decoder that knows the format alone: what is kept is kept, what comes out is found as its kind and undone."""
+    new, kinds = cover(f"see {value} today", KEY)
+    new = new[4:-6]
+    assert kinds == [kind] and new != value and cover(f"see {new} today", KEY)[1] == [kind]
+    back = pseudonym(kind, new, KEY, back=True)
+    if kind == "date":  # noughts before a number may differ
+        back, value = ([int(x) for x in re.split(r"\D", v)] for v in (back, value))
+    assert back == value
+    if kind == "phone":
+        code = re.match(r"\+49|\+351|\+81|\+1|0|1 |\(0|", value)[0]
+        assert new.startswith(code) and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", value)
+
+
+def test_phones_are_one_to_one():
+    for shape in ("030 {:07}", "+49{:011}", "415-{:03}-0000"):
+        strings = [shape.format(k) for k in range(200, 900)]
+        assert len({pseudonym("phone", v, KEY) for v in strings}) == len(strings)
+
+
+def test_timestamps_and_order_numbers():
+    assert cover("1990-02-28T10:00:00Z", KEY) == (pseudonym("date", "1990-02-28", KEY) + "T10:00:00Z", ["date"])
+    for text in ("12-05-2020-77", "order 3/05/2020/771", "1990-02-28Z"):
+        assert cover(text, KEY) == (text, [])
+
+
 def test_two_cards_side_by_side():
     text, kinds = cover("4465758382889437 4465758382889437 x", KEY)
     assert kinds == ["card", "card"] and len(set(text.split()[:2])) == 1
@@ -105,7 +156,7 @@ def test_documents(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[2]["text"] is None and by[2]["n_private"] == 0 and by[4]["text"] == "nothing" and by[3]["text"] == ""
     assert by[1]["kinds"] == ["email"] and by[None]["kinds"] == ["ip"] and by[5]["kinds"] == ["card"]
-    assert cover_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert cover_documents(spark.createDataFrame([], SCHEMA), KEY).count() == 0
 
 
 def test_no_planted_value_is_left(spark):
