@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuscat.operators.scale import BROADCAST_BYTES, row_bytes
+from corpuscat.session import cut_lineage
+
 
 def exclude_value(df: DataFrame, col: str, value: str) -> DataFrame:
     """Rows whose value is not ``value``; rows with null stay."""
@@ -27,14 +30,20 @@ def fill_defaults(df: DataFrame, defaults: Mapping[str, str]) -> DataFrame:
     return df.fillna(dict(defaults))
 
 
-def keep_first(df: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """One row per key, the one with the lowest ``row_id``; nulls count as equal.
+def keep_first(df: DataFrame, keys: Sequence[str], row_id: str, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per key, the one with the lowest ``row_id``; nulls count as equal. Row ids are unique.
 
-    Strings take part as their SHA-256 digests, so that sorting and hashing do not carry
-    long texts. Each task keeps its first row per key before the shuffle, so that a key
-    with many copies sends one row per task.
+    Rows are neither sorted nor moved: only their ids and keys are, strings as SHA-256
+    digests, and each task keeps its first id per key before the shuffle. The ids that are
+    not first leave ``df`` by a broadcast join if they measure at most ``max_bytes``; else the
+    rows meet the first ids in a join by id, which no key makes heavy.
     """
     types = dict(df.dtypes)
-    by = [F.sha2(F.col(f"`{k}`"), 256) if types[k] == "string" else F.col(f"`{k}`") for k in keys]
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(row_id))
-    return df.withColumn("_rn", first).filter("_rn = 1").drop("_rn")
+    by = [(F.sha2(F.col(f"`{k}`"), 256) if types[k] == "string" else F.col(f"`{k}`")).alias(f"k{i}") for i, k in enumerate(keys)]
+    slim = cut_lineage(df.select(F.col(f"`{row_id}`").alias("id"), *by))
+    first = cut_lineage(slim.groupBy(*[f"k{i}" for i in range(len(keys))]).agg(F.min("id").alias("id")).select("id"))
+    others = cut_lineage(slim.select("id").join(first, "id", "left_anti"))
+    size = others.agg(F.sum(row_bytes(others))).first()[0] or 0
+    if size <= max_bytes:
+        return df.join(F.broadcast(others.withColumnRenamed("id", row_id)), row_id, "left_anti").select(*[f"`{c}`" for c in df.columns])
+    return df.join(first.withColumnRenamed("id", row_id), row_id, "left_semi").select(*[f"`{c}`" for c in df.columns])

@@ -65,23 +65,20 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, margin:
             for c, name in zip(nums.columns, columns)
         ]
     )
-    rows = {c: r for c, r in moments.first().asDict().items() if r["n"]}
+    taken = moments.first().asDict()  # one row for each column
+    rows = {c: r for c, r in taken.items() if r["n"]}
     spans = {(c, i): (rows[c]["bounds"][2 * i], rows[c]["bounds"][2 * i + 1]) for c in rows for i in range(len(QUARTILES))}
     value, lost = _ranks_between(nums, spans, {c: r["n"] for c, r in rows.items()})
     if lost:
         wide = {(c, i): (rows[c]["min"], rows[c]["max"]) for c, i in lost}
         value |= _ranks_between(nums, wide, {c: r["n"] for c, r in rows.items()})[0]
-    found = [(rows[c]["column"], [value[c, i] for i in range(len(QUARTILES))]) for c in rows]
-    quartiles = df.sparkSession.createDataFrame(found, "column string, q array<double>")
-    return (
-        moments.select(F.inline(F.array(*nums.columns)))
-        .join(F.broadcast(quartiles), "column", "left")  # one row per column
-        .select(
-            *("column", "n", "mean", "std", "min"),
-            *[F.get("q", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(QUARTILES)],
-            "max",
-        )
-    )
+    places = [f"p{int(p * 100)}" for p in QUARTILES]
+    found = [
+        (r["column"], r["n"], r["mean"], r["std"], r["min"], *[value.get((c, i)) for i in range(len(QUARTILES))], r["max"])
+        for c, r in taken.items()
+    ]
+    schema = f"column string, n bigint, mean double, std double, min double, {', '.join(f'{p} double' for p in places)}, max double"
+    return df.sparkSession.createDataFrame(found, schema)
 
 
 def _ranks_between(nums: DataFrame, spans: dict, totals: dict) -> tuple[dict, list]:

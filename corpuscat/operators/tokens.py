@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscat.functions.text import word_array
@@ -22,10 +22,28 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str, min_count: int = 1) -> DataFrame:
     """``(token, id, n)``: ids by falling count, ties by token."""
-    counts = token_counts(df, text).filter(F.col("n") >= min_count)
+    return numbered(token_counts(df, text).filter(F.col("n") >= min_count))
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """``counts(token, n)`` with ids by falling count, ties by token."""
     return rank_all(counts, [F.desc("n"), F.col("token")], "id", FIRST_ID).select("token", "id", "n")
 
 
+def save_vocabulary(counts: DataFrame, path: str) -> None:
+    """Store ``(token, id, n)``; a table without ids gets them first."""
+    (counts if "id" in counts.columns else numbered(counts)).write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """A stored vocabulary, read in full: its ids must be those from ``FIRST_ID`` on, each once."""
+    vocab = spark.read.parquet(path)
+    n, ids, tokens, low, high = vocab.agg(F.count(F.lit(1)), F.count_distinct("id"), F.count_distinct("token"), F.min("id"), F.max("id")).first()
+    if n and (ids != n or tokens != n or low != FIRST_ID or high != FIRST_ID + n - 1):
+        raise ValueError(f"the vocabulary at {path} does not number its {n} tokens from {FIRST_ID} on")
+    return vocab
+
+
 def padded(ids: Column, length: int) -> tuple[Column, Column]:
     """``input_ids`` and ``attention_mask`` for at most ``length - 2`` ids."""
     full = F.concat(F.array(F.lit(CLS)), ids, F.array(F.lit(SEP)))

@@ -32,12 +32,22 @@ def src_csv_one_file(spark, folder):
     return delimited.read_delimited(spark, path, docs.schema, columns={"_c0": "doc_id"})
 
 
-@query("src_materialise", "SELECT lang AS value, count(*) AS n FROM documents GROUP BY lang")
+@query("src_materialise", "SELECT lang AS value, 2 * count(*) AS n FROM documents GROUP BY lang")
 def src_materialise(spark, folder):
-    docs = table(spark, folder, "documents")
-    path = stored.stored_path(scratch_path(spark, "cache"), "languages", {"column": "lang"})
-    stored.materialise(spark, path, lambda: frequency.frequencies(docs, "lang"))
-    return stored.materialise(spark, path, lambda: docs.limit(0))  # found, so not built again
+    """A result kept for its input: found again while the files are the same, built anew when some are added."""
+    root, source = scratch_path(spark, "cache"), scratch_path(spark, "input")
+
+    def counts(build=None):
+        docs = spark.read.parquet(source)
+        path = stored.stored_path(root, "languages", {"column": "lang"}, [docs])
+        return stored.materialise(spark, path, build or (lambda: frequency.frequencies(docs, "lang")))
+
+    langs = table(spark, folder, "documents").select("lang")
+    langs.write.parquet(source)
+    counts()
+    counts(lambda: langs.limit(0))  # found, so not built
+    langs.write.mode("append").parquet(source)
+    return counts()
 
 
 @query("model_save_load", models.NB_SQL)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuscat.operators import subword, summary, tokens
 from corpuscat.plans.catalog.registry import query, words
+from corpuscat.session import scratch_path
 from corpuscat.sources.tables import table
 
 LENGTH = 512  # fixed value: tokens per text
@@ -29,21 +30,29 @@ def _padded(ids: str, length: int) -> str:
     )
 
 
-@query(
-    "token_encode",
-    f"""WITH {_VOCAB}, common AS (SELECT token, id::INTEGER AS id FROM vocab WHERE n >= 2),
+_ENCODE = f"""WITH {_VOCAB}, common AS (SELECT token, id::INTEGER AS id FROM vocab WHERE n >= 2),
 lists AS (SELECT doc_id, list_slice({words('text')}, 1, {LENGTH - 2}) AS ws FROM documents),
 placed AS (SELECT doc_id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM lists),
 ids AS (SELECT doc_id, list(coalesce(id, {tokens.UNK}) ORDER BY pos) AS l FROM placed p LEFT JOIN common c ON p.token = c.token GROUP BY doc_id),
 full_ids AS (SELECT d.doc_id, coalesce(l, []::INTEGER[]) AS l FROM documents d LEFT JOIN ids i ON d.doc_id = i.doc_id)
-SELECT doc_id, {_padded('l', LENGTH)} FROM full_ids""",
-)
+SELECT doc_id, {_padded('l', LENGTH)} FROM full_ids"""
+
+
+@query("token_encode", _ENCODE)
 def token_encode(spark, folder):
     docs = table(spark, folder, "documents")
     vocab = tokens.vocabulary(docs, "text", min_count=2)
     return _as_text(tokens.encode(docs, "doc_id", "text", vocab, LENGTH))
 
 
+@query("vocabulary_store", _ENCODE)
+def vocabulary_store(spark, folder):
+    """The vocabulary with its ids, stored, read back and encoded with."""
+    docs, path = table(spark, folder, "documents"), scratch_path(spark, "vocabulary")
+    tokens.save_vocabulary(tokens.vocabulary(docs, "text", min_count=2), path)
+    return _as_text(tokens.encode(docs, "doc_id", "text", tokens.load_vocabulary(spark, path), LENGTH))
+
+
 def _as_text(encoded):
     return encoded.select(
         "doc_id",

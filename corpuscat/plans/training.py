@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscat.operators import bayes, evaluate
+from corpuscat.operators.tokens import load_vocabulary, save_vocabulary
 from corpuscat.session import cut_lineage
 from corpuscat.sources.stored import save_report, save_table
 
@@ -36,7 +37,7 @@ def train_bayes(
     scores = evaluate.history(cut_lineage(tested)).drop("candidate")
     model.save(f"{out_dir}/model")
     save_table(index, f"{out_dir}/labels")
-    save_table(model.terms.select("token", "n"), f"{out_dir}/vocabulary")
+    save_vocabulary(model.terms.select("token", "n"), f"{out_dir}/vocabulary")
     config = {
         "model_name": "naive_bayes",
         "alpha": float(alphas[best["candidate"]]),
@@ -55,7 +56,7 @@ def read_run(spark: SparkSession, out_dir: str) -> DataFrame:
     report = spark.read.json(f"{out_dir}/report")
     classes = bayes.BayesModel.load(spark, f"{out_dir}/model").classes.count()
     stored = spark.read.parquet(f"{out_dir}/labels").count()
-    words = spark.read.parquet(f"{out_dir}/vocabulary").count()
+    words = load_vocabulary(spark, f"{out_dir}/vocabulary").count()
     if stored != report.first()["num_labels"] or classes > stored:
         raise ValueError("the stored labels are not those of the report")
     sizes = [F.lit(stored).cast("bigint").alias("num_labels"), F.lit(words).cast("bigint").alias("vocabulary_size")]

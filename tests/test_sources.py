@@ -123,6 +123,33 @@ def test_materialise_builds_once(spark, tmp_path):
     assert stored.materialise(spark, path, lambda: pytest.fail("built twice")).count() == 3
 
 
+def test_changed_input_meets_no_old_result(spark, tmp_path):
+    source, root = str(tmp_path / "in"), str(tmp_path / "cache")
+
+    def kept():
+        df = spark.read.parquet(source)
+        return stored.materialise(spark, stored.stored_path(root, "n", {"k": 1}, [df]), lambda: df.groupBy().count()).first()[0]
+
+    spark.range(10).write.parquet(source)
+    assert kept() == kept() == 10
+    spark.range(5).write.mode("append").parquet(source)
+    assert kept() == 15
+    spark.range(7).write.mode("overwrite").parquet(source)
+    assert kept() == 7 and len(list((tmp_path / "cache").iterdir())) == 3
+
+
+def test_two_builders_at_once(spark, tmp_path):
+    """Whoever renames first is kept; no part of another's table is seen or left."""
+    path = str(tmp_path / "t")
+
+    def slow():
+        assert stored.materialise(spark, path, lambda: spark.range(3)).count() == 3
+        return spark.range(5)
+
+    assert stored.materialise(spark, path, slow).count() == 3
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
 def test_report(spark, tmp_path):
     metrics = spark.createDataFrame([(0.5, 0.25)], "accuracy double, macro_f1 double")
     r = stored.save_report(metrics, {"model_name": "m", "max_length": 512}, str(tmp_path / "r")).first()

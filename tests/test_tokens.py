@@ -38,6 +38,16 @@ def test_encode_with_a_vocabulary_beyond_the_broadcast(spark, monkeypatch):
     assert all(len(i) == 32 and sum(m) == sum(x != 0 for x in i) for i, m in want.values())
 
 
+def test_stored_vocabulary_keeps_its_ids(spark, tmp_path):
+    vocab = tokens.vocabulary(docs(spark, "b a a c", "c a"), "t")
+    tokens.save_vocabulary(vocab.drop("id"), str(tmp_path / "v"))
+    back = tokens.load_vocabulary(spark, str(tmp_path / "v"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, vocab.collect())) == [("a", 4, 3), ("b", 6, 1), ("c", 5, 2)]
+    vocab.filter("id <> 5").write.parquet(str(tmp_path / "w"))
+    with pytest.raises(ValueError):
+        tokens.load_vocabulary(spark, str(tmp_path / "w"))
+
+
 def test_subword_equals_the_published_scheme(spark):
     pieces = ["[PAD]", "[UNK]", "[CLS]", "[SEP]"]
     pieces += list("abcdefghijklmnopqrstuvwxyz0123456789.,!?$'-") + ["##" + c for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
