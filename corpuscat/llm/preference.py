@@ -29,6 +29,35 @@ def pair_neighbours(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     )
 
 
+def answers_exchanged(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+                      role: str = TRAINED_ROLE) -> tuple[DataFrame, DataFrame]:
+    """Preferences from plain conversations: ``turns, pairs`` for ``preference_pairs``.
+
+    Conversation c is preferred over the same conversation with the last answer, the last
+    turn of ``role``, of its neighbour (c + 1 for an even c, c - 1 for an odd one) in place
+    of its own; so both share all turns before that answer. The two stand under the ids 2c and
+    2c + 1, the pair under c. Without a neighbour, or if that has no answer, the text is
+    empty; a conversation without answers is its own opposite. Null roles and texts are
+    empty, and conversations without id are left out. Each conversation joins one row of its own and one
+    of its neighbour, so no key is hot beyond the turns of one conversation.
+    """
+    c = F.col(f"`{conv_col}`").cast("bigint")
+    said = turns.select(
+        c.alias("c"), F.col(f"`{turn_col}`").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    ).filter("c is not null")
+    last = said.filter(F.col("role") == role).groupBy("c").agg(F.max(F.struct("turn", "text")).alias("own"))
+    beside = last.select((F.col("c") + 1 - 2 * F.pmod("c", F.lit(2))).alias("c"), F.col("own.text").alias("other"))
+    both = said.join(last.join(beside, "c", "left"), "c", "left")
+    answer = (F.col("role") == role) & F.struct("turn", "text").eqNullSafe(F.col("own"))
+    text = F.when(F.coalesce(answer, F.lit(False)), F.coalesce("other", F.lit(""))).otherwise(F.col("text"))
+    made = both.select(F.explode(F.array(
+        F.struct((F.col("c") * 2).alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), F.col("text").alias(text_col)),
+        F.struct((F.col("c") * 2 + 1).alias(conv_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), text.alias(text_col)),
+    )).alias("t")).select("t.*")
+    pairs = said.select("c").distinct().select(F.col("c").alias("pair_id"), (F.col("c") * 2).alias("chosen_id"), (F.col("c") * 2 + 1).alias("rejected_id"))
+    return made, pairs
+
+
 def preference_pairs(turns: DataFrame, pairs: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                      role_col: str = "role", text_col: str = "text", trained_role: str = TRAINED_ROLE) -> DataFrame:
     """One row per pair: the shared prompt once, both completions, and their loss spans.

@@ -67,15 +67,17 @@ def op9_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_preference(spark: SparkSession, folder: str) -> DataFrame:
-    turns = table(spark, folder, "conversations")
-    return preference.preference_pairs(turns, preference.pair_neighbours(turns))
+    return preference.preference_pairs(*preference.answers_exchanged(table(spark, folder, "conversations")))
 
 
 OP10_SQL = r"""
-WITH t AS (
-  SELECT conv_id AS c, conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, coalesce(role, '') AS role, coalesce(text, '') AS text,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS pos
-  FROM conversations WHERE conv_id IS NOT NULL),
+WITH said AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT c, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn DESC NULLS LAST, text DESC) AS r FROM said WHERE role = 'assistant') WHERE r = 1),
+made AS (SELECT c AS pair_id, 2 * c AS c, true AS chosen, turn, role, text FROM said
+  UNION ALL SELECT s.c, 2 * s.c + 1, false, s.turn, s.role,
+    CASE WHEN s.role = 'assistant' AND s.turn IS NOT DISTINCT FROM l.turn AND s.text = l.text THEN coalesce(o.text, '') ELSE s.text END
+  FROM said s LEFT JOIN last l ON l.c = s.c LEFT JOIN last o ON o.c = s.c + 1 - 2 * (s.c % 2)),
+t AS (SELECT c, pair_id, chosen, role, text, row_number() OVER (PARTITION BY c ORDER BY turn, role, text) AS pos FROM made),
 ids AS (SELECT pair_id, min(c) FILTER (chosen) AS chosen_id, min(c) FILTER (NOT chosen) AS rejected_id FROM t GROUP BY pair_id),
 facing AS (
   SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.pos, b.pos) AS pos,

@@ -1,6 +1,6 @@
 """Preference pairs against plain Python."""
 
-from corpuscat.llm.preference import pair_neighbours, preference_pairs
+from corpuscat.llm.preference import answers_exchanged, pair_neighbours, preference_pairs
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string, prompt string"
 ROWS = [
@@ -50,3 +50,23 @@ def test_empty_and_native(spark, plan_of):
     turns = spark.createDataFrame([], SCHEMA)
     df = preference_pairs(turns, pair_neighbours(turns))
     assert df.count() == 0 and "Python" not in plan_of(df)
+
+
+def test_exchanged_answers_share_a_prompt(spark):
+    """Every conversation meets itself with its neighbour's last answer; what comes before is the prompt."""
+    rows = [(0, 1, "user", "q0", "x"), (0, 2, "assistant", "a0", "x"), (0, 3, "user", "r0", "x"), (0, 4, "assistant", "b0", "x"),
+            (1, 1, "user", "q1", "x"), (1, 2, "assistant", "a1", "x"), (1, 3, "user", "thanks", "x"),
+            (2, 1, "user", "q2", "x"), (2, 2, "assistant", "a2", "x"), (3, 1, "user", None, "x"), (3, 2, None, "z", "x"), (None, 1, "user", "lost", "x"), (-4, 1, "assistant", "only", "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, own string")
+    made, pairs = answers_exchanged(turns)
+    got = {r["pair_id"]: r for r in preference_pairs(made, pairs).collect()}
+    assert sorted(got) == [-4, 0, 1, 2, 3]
+    assert got[0]["n_prompt_turns"] == 3 and "b0" in got[0]["chosen"] and "a1" in got[0]["rejected"] and "r0" in got[0]["prompt"]
+    assert got[1]["n_prompt_turns"] == 1 and "a1" in got[1]["chosen"] and "b0" in got[1]["rejected"] and "thanks" in got[1]["rejected"]
+    assert got[2]["n_prompt_turns"] == 1 and "a2" in got[2]["chosen"] and "<|assistant|>\n<|end|>" in got[2]["rejected"]
+    assert got[3]["n_prompt_turns"] == 2 and got[3]["chosen"] == got[3]["rejected"] == ""
+    assert got[-4]["n_prompt_turns"] == 0
+    a, b = got[0]["chosen_spans"]
+    assert got[0]["chosen"][a:b].startswith("b0")
+    empty, none = answers_exchanged(turns.limit(0))
+    assert preference_pairs(empty, none).count() == 0
