@@ -252,11 +252,21 @@ def _series(name: str) -> str:
     "FROM (SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY 1)",
 )
 def chart_series(spark, folder):
-    corpus = documents_corpus(spark, folder)
+    known = F.col("genre").isNull() | (F.col("genre") != "unknown")
+    named = F.col("director").isNull() | (F.col("director") != "Unknown")
+    bars = {
+        "top_by_origin": (F.col("origin"), 15),
+        "top_titles": (F.col("title"), 15),
+        "top_genres_known": (F.when(known, F.col("genre")), 15),
+        "top_cast": (F.when(F.col("cast") != " ", F.col("cast")), 20),
+        "top_directors": (F.when(named, F.col("director")), 20),
+    }
     years = table(spark, folder, "orders").select(F.year("o_orderdate").alias("year"))
-    charts = {}
-    for name in _CHARTS:
-        rows, col, n = _chart_rows(corpus, name)
-        charts[name] = frequency.top_series(rows, col, name, n)
-    charts["year_series"] = frequency.key_series(years, "year", "year_series")
+    charts = {"bars": frequency.top_charts(documents_corpus(spark, folder), bars), "year_series": frequency.key_series(years, "year", "year_series")}
     return frequency.chart_series(charts)
+
+
+@query("top_texts", _top("documents WHERE true", "text", 20))
+def top_texts(spark, folder):
+    """The texts that occur most often; almost all occur once and are never shuffled."""
+    return frequency.top_of_rare(table(spark, folder, "documents"), "text", 20)
