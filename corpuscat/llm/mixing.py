@@ -16,7 +16,8 @@ SHARE = 1.5
 MOST = 2.0
 FAN_BITS = 6  # a node of the reduction tree joins 64 parts below it
 SIZE_STEPS = 8  # size classes per doubling
-_UNIT = "struct<size:bigint,h:bigint,id:{id},n:bigint,total:bigint,target:double,base:bigint,p:double,debt:double>"
+CHUNK_BITS = 16  # of the rows of one content that are numbered together
+_UNIT = "struct<size:bigint,h:bigint,id:{id},source:string,content:bigint,n:bigint,total:bigint,target:double,base:bigint,p:double,debt:double>"
 
 
 def word_count(text: Column) -> Column:
@@ -56,7 +57,7 @@ def _uniform(seed: int, a: Column, b: Column) -> Column:
 
 
 def _struct(u: Column, unit: str, base: Column, p: Column, debt: Column) -> Column:
-    kept = [u[k].alias(k) for k in ("size", "h", "id", "n", "total", "target")]
+    kept = [u[k].alias(k) for k in ("size", "h", "id", "source", "content", "n", "total", "target")]
     return F.struct(*kept, base.cast("bigint").alias("base"), p.alias("p"), debt.alias("debt")).cast(unit)
 
 
@@ -74,7 +75,7 @@ def _pair_up(units: Column, seed: int, unit: str) -> Column:
         s = a["p"] + e["p"]
         over = s >= 1.0
         # The chance that the open unit gets the larger part.
-        chance = F.when(over, (1.0 - e["p"]) / (2.0 - s)).otherwise(a["p"] / s)
+        chance = F.when(over, (1.0 - e["p"]) / (2.0 - s)).when(s > 0, a["p"] / s).otherwise(0.0)  # units that came out even have nothing to move
         first = F.coalesce(_uniform(seed, a["h"], e["h"]) < chance, F.lit(False))
         settled, left = F.when(first == over, a).otherwise(e), F.when(first == over, e).otherwise(a)
         got, p = F.when(over, 1).otherwise(0), F.when(over, s - 1.0).otherwise(s)
@@ -105,6 +106,20 @@ def _settle(units: Column, seed: int, unit: str) -> Column:
     return F.aggregate(units, start.cast(f"struct<carry:double,done:array<{unit}>>"), step)["done"]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``no``, the place of a row among those of its content, which are alike in all columns.
+
+    Rows are counted by content, within tasks first, and written out again from the counts,
+    in chunks of ``2 ** CHUNK_BITS`` over many tasks. So nothing ranks them, a content that
+    most rows share included, and the numbers do not depend on how rows are dealt.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("_n") - 1, CHUNK_BITS))))
+    start = F.shiftleft("_chunk", CHUNK_BITS)
+    end = F.least(F.col("_n"), start + (1 << CHUNK_BITS)) - 1
+    return chunks.repartition("content", "_chunk").select(*rows.columns, F.explode(F.sequence(start, end)).alias("no"))
+
+
 def choose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                   weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
     """One row per document: ``id_col, size, source_size, target, copies, taken``.
@@ -115,28 +130,36 @@ def choose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     block passes one open unit up. The last of each size class meet per source, where they
     also balance the words that unequal pairs have moved, so that the words taken differ
     from a target by less than a small text if the source has any. Draws depend on ids and
-    sizes only, so reruns agree. No document has more than ``ceil(most)`` copies.
+    texts only, so reruns agree. No document has more than ``ceil(most)`` copies.
 
-    Blocks are cut by hash, so a source with most of the rows is many blocks. Null texts
-    have size 0, null sources are one source, null or repeated ids are units like others;
-    empty tables give empty results. Other columns play no part.
+    Blocks are cut by a hash of id, text and the row's number among those alike, so a source
+    with most of the rows is many blocks, and so are rows that share a null id, a text or
+    both. Null texts have size 0, null sources are one source, null or repeated ids are
+    units like others; empty tables give empty results. Other columns play no part.
     """
+    chosen = _chosen(docs, id_col, text_col, source_col, weights, share, most, seed)
+    return chosen.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _chosen(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+            weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
+    """``choose_copies`` with ``source`` and ``content``, a hash of the text, beside each ``id``."""
     kind = docs.schema[id_col].dataType.simpleString()
     unit = _UNIT.format(id=kind)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    rows = cut_lineage(rows)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), F.xxhash64(F.col(f"`{text_col}`")).alias("content"))
+    rows = cut_lineage(_numbered(rows))
     totals = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
     # A join has no null key: the mark sets null apart from every text.
     mark = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     targets = cut_lineage(source_targets(totals, weights, share, most).withColumn("_key", mark).drop("source"))
-    placed = salted_join(rows.withColumn("_key", mark), targets, "_key", "rows", F.col("id"))
+    placed = salted_join(rows.withColumn("_key", mark), targets, "_key", "rows", F.xxhash64("id", "content", "no"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    h = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
+    h = F.xxhash64(F.lit(seed), "id", "size", "content", "no")
     group = F.when(F.col("size") > 0, F.floor(F.log2("size") * SIZE_STEPS)).otherwise(-1).cast("int")
     base = F.floor(rate).cast("bigint")
     whole = rate - base
     units = placed.select("_key", group.alias("_class"), F.struct(
-        "size", h.alias("h"), "id", F.lit(1).cast("bigint").alias("n"), F.col("source_size").alias("total"), "target", base.alias("base"), whole.alias("p"), F.lit(0.0).alias("debt"),
+        "size", h.alias("h"), "id", "source", "content", F.lit(1).cast("bigint").alias("n"), F.col("source_size").alias("total"), "target", base.alias("base"), whole.alias("p"), F.lit(0.0).alias("debt"),
     ).cast(unit).alias("u"))
     open_ = (F.col("u.p") > 0) & (F.col("u.size") > 0)
     units = cut_lineage(units)
@@ -154,23 +177,31 @@ def choose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # One open unit for each source and size class: at most a few hundred a source.
     last = level.groupBy("_key").agg(F.sort_array(F.collect_list("u"), asc=False).alias("units"))
     settled.append(last.select(F.explode(_settle(F.col("units"), seed, unit)).alias("u")))
-    out = ["u.id", "u.size", F.col("u.total").alias("source_size"), "u.target", F.col("u.base").alias("copies")]
+    out = ["u.id", "u.source", "u.content", "u.size", F.col("u.total").alias("source_size"), "u.target", F.col("u.base").alias("copies")]
     result = settled[0].select(*out)
     for part in settled[1:]:
         result = result.unionByName(part.select(*out))
-    return result.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return result
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as ``choose_copies`` says.
 
-    Rows that repeat an id share the copies of that id evenly.
+    Rows alike in id, text and source share their copies evenly; where some get one more
+    than others, the order is that of a hash of their other columns, maps aside. Texts
+    without words have the whole part of their source's copies, null ids and sources are
+    values like others. An empty table gives an empty result. Columns may have any names.
     """
-    chosen = choose_copies(docs, id_col, text_col, source_col, **options).groupBy(F.col(f"`{id_col}`").alias("_mix_id"))
-    chosen = chosen.agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
-    joined = docs.join(chosen, docs[f"`{id_col}`"].eqNullSafe(chosen["_mix_id"]))
-    order = Window.partitionBy("_mix_id").orderBy(F.xxhash64(F.col(f"`{text_col}`"), F.col(f"`{source_col}`")))
-    rank = F.when(F.col("_mix_rows") == 1, 1).otherwise(F.row_number().over(order))
-    each = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (rank <= F.col("_mix_copies") % F.col("_mix_rows")).cast("int")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("_mix_each", each.cast("int")).filter("_mix_each > 0").withColumn("_mix_no", F.explode(F.sequence(F.lit(1), F.col("_mix_each")))).select(*own)
+    chosen = _chosen(docs, id_col, text_col, source_col, **options).groupBy("id", "source", "content")
+    chosen = chosen.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("alike"))
+    plain = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*plain).alias("hash"),
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"), F.xxhash64(F.col(f"`{text_col}`")).alias("content"),
+    )
+    joined = rows.join(chosen, [rows[c].eqNullSafe(chosen[c]) for c in ("id", "source", "content")]).select("row", "hash", chosen["id"], chosen["source"], chosen["content"], "copies", "alike")
+    # Only rows alike in id, source and text meet in a window.
+    rank = F.row_number().over(Window.partitionBy("id", "source", "content").orderBy("hash"))
+    more = F.when(F.col("alike") == 1, 1).otherwise(rank) <= F.col("copies") % F.col("alike")
+    each = joined.withColumn("each", (F.floor(F.col("copies") / F.col("alike")) + more.cast("int")).cast("int")).filter("each > 0")
+    return each.select("row", F.explode(F.sequence(F.lit(1), F.col("each")))).select("row.*")

@@ -96,3 +96,42 @@ def test_empty_table_and_plan(spark, plan_of):
     assert choose_copies(df).count() == 0 and mix_documents(df).count() == 0
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert "Python" not in plan_of(choose_copies(docs)) and "Arrow" not in plan_of(mix_documents(docs))
+
+
+def test_rows_alike_in_everything(spark):
+    """Null ids, one text and one source in most rows: they are blocks like others, and the words fit."""
+    alike = [(None, words(20, "w"), "a", str(k % 3)) for k in range(700)]
+    other = [(k, words(20 + k % 5, "v"), "b", "") for k in range(300)]
+    df = spark.createDataFrame([*alike, *other], SCHEMA)
+    one = sorted(map(tuple, choose_copies(df).fillna(-1).collect()))
+    assert one == sorted(map(tuple, choose_copies(df.repartition(7)).fillna(-1).collect()))
+    want = targets({"a": 700 * 20, "b": sum(20 + k % 5 for k in range(300))})
+    taken = Counter()
+    for r in one:
+        taken["a" if r[0] == -1 else "b"] += r[5]
+    assert all(abs(taken[s] - want[s]) <= 24 for s in want), (taken, want)
+    assert len({r[4] for r in one if r[0] == -1}) > 1  # not all or none of them
+    mix = Counter(r["source"] for r in mix_documents(df).collect())
+    assert mix["a"] == taken["a"] / 20
+
+
+def test_numbers_of_rows_alike(spark, monkeypatch):
+    from corpuscat.llm import mixing
+
+    monkeypatch.setattr(mixing, "CHUNK_BITS", 3)
+    df = spark.createDataFrame([(None, "x", 5)] * 21 + [(1, "x", 5)] * 8 + [(2, "y", 6)], "id bigint, source string, content bigint")
+    got = Counter((r["id"], r["no"]) for r in mixing._numbered(df).collect())
+    assert got == Counter([(None, k) for k in range(21)] + [(1, k) for k in range(8)] + [(2, 0)])
+
+
+def test_mix_passes_on_columns_of_any_name(spark):
+    names = "doc_id bigint, text string, source string, row int, copies int, hash int, each int, content string, id int"
+    df = spark.createDataFrame([(i, words(9 + i, "w"), "a", 1, 2, 3, 4, "c", 5) for i in range(40)], names)
+    mix = mix_documents(df)
+    assert mix.columns == df.columns and {tuple(r)[3:] for r in mix.collect()} == {(1, 2, 3, 4, "c", 5)}
+
+
+def test_very_long_text(spark):
+    rows = [(0, "word " * 200_000, "a", "")] + [(k, words(50, "w"), "a", "") for k in range(1, 400)]
+    got = choose_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["size"] for r in got} == {200_000, 50} and all(r["copies"] <= 2 for r in got)
