@@ -117,7 +117,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
     chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.shiftright(F.col("_n") - 1, CHUNK_BITS))))
     start = F.shiftleft("_chunk", CHUNK_BITS)
     end = F.least(F.col("_n"), start + (1 << CHUNK_BITS)) - 1
-    return chunks.repartition("content", "_chunk").select(*rows.columns, F.explode(F.sequence(start, end)).alias("no"))
+    return chunks.repartition("id", "content", "_chunk").select(*rows.columns, F.explode(F.sequence(start, end)).alias("no"))
 
 
 def choose_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
