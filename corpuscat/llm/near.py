@@ -137,19 +137,34 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def level(count: np.ndarray) -> np.ndarray:
+    """Weight of a shingle that occurs ``count`` times: 1, and 1 more for each doubling."""
+    return np.frexp(count.astype(np.float64))[1]
+
+
+def _low(registers: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in (_mix(registers) & np.uint64(255)).astype(np.uint8)], pa.binary())
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, end in slices(batch.column(1), SLICE_BYTES):
             texts = batch.column(1).slice(start, end - start).to_pylist()
-            d, h, _, digests = shingles(texts)
-            # Equal weights, as links are of distinct shingles: how often one repeats must not part a pair.
-            registers = signatures(len(texts), d, h, np.ones(len(h)))
+            d, h, count, digests = shingles(texts)
+            plain = signatures(len(texts), d, h, np.ones(len(h)))
+            # Where no shingle repeats, all weights are 1 and both signatures are one.
+            repeats = np.bincount(d[count > 1], minlength=len(texts)) > 0
+            again, place = np.flatnonzero(repeats), np.cumsum(repeats) - 1
+            weighted, own = plain.copy(), repeats[d]
+            weighted[again] = signatures(len(again), place[d[own]], h[own], level(count[own]))
             n = np.bincount(d, minlength=len(texts))
-            keys = pa.ListArray.from_arrays(np.arange(0, BANDS * len(texts) + 1, BANDS, dtype=np.int32), band_keys(registers).ravel())
-            low = (_mix(registers) & np.uint64(255)).astype(np.uint8)
+            keys, others = band_keys(plain), band_keys(weighted)
+            each = [np.union1d(k, o) if r else k for k, o, r in zip(keys, others, repeats.tolist())]
+            ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(ends, np.concatenate(each) if each else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, end - start), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), keys, pa.array([x.tobytes() for x in low], pa.binary())],
-                names=["id", "digest", "n", "bands", "low"],
+                [batch.column(0).slice(start, end - start), pa.array(digests, pa.binary()), pa.array(n, pa.int64()), bands, _low(plain), _low(weighted)],
+                names=["id", "digest", "n", "bands", "low", "low_weighted"],
             )
 
 
@@ -157,7 +172,7 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links that span, in each bucket, all pairs whose signatures agree enough."""
     for table in runs(batches, 0, 20_000):
         bucket, rep = table["bucket"].to_numpy(), table["rep"].to_pylist()
-        low = np.frombuffer(b"".join(table["low"].to_pylist()), np.uint8).reshape(len(rep), REGISTERS)
+        lows = [np.frombuffer(b"".join(table[c].to_pylist()), np.uint8).reshape(len(rep), REGISTERS) for c in ("low", "low_weighted")]
         groups, a, b = Groups(), [], []
         apart = 1
         while apart < len(rep):
@@ -166,7 +181,8 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 break
             for s in range(0, len(i), 4_096):
                 part = i[s : s + 4_096]
-                good = part[(low[part] == low[part + apart]).sum(axis=1) >= LIKELY * REGISTERS]
+                agree = np.maximum(*[(low[part] == low[part + apart]).sum(axis=1) for low in lows])
+                good = part[agree >= LIKELY * REGISTERS]
                 for k in good.tolist():
                     if groups.join(rep[k], rep[k + apart]):
                         a.append(rep[k])
@@ -175,13 +191,11 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, table.schema.field("rep").type), pa.array(b, table.schema.field("rep").type)], names=["a", "b"])
 
 
-def compare(texts: list[str], left: np.ndarray, right: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs (left, right) of texts, by place, with Jaccard similarity of shingles >= ``similar``."""
-    d, h, _, _ = shingles(texts)
-    n = np.bincount(d, minlength=len(texts)).astype(np.float64)
-    _, column, times = np.unique(h, return_inverse=True, return_counts=True)
+def _shared(n_texts: int, text: np.ndarray, element: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of distinct elements that each of ``left`` shares with each of ``right``."""
+    _, column, times = np.unique(element, return_inverse=True, return_counts=True)
     shared = times[column] > 1  # what only one text has joins no pair
-    d, column = d[shared], np.unique(column[shared], return_inverse=True)[1]
+    d, column = text[shared], np.unique(column[shared], return_inverse=True)[1]
     both = np.zeros((len(left), len(right)))
     step = 8_192
     order = np.argsort(column, kind="stable")
@@ -189,11 +203,33 @@ def compare(texts: list[str], left: np.ndarray, right: np.ndarray, similar: floa
     width = int(column[-1]) + 1 if len(column) else 0
     for s in range(0, width, step):
         lo, hi = np.searchsorted(column, [s, s + step])
-        m = np.zeros((len(texts), min(step, width - s)), np.float32)
+        m = np.zeros((n_texts, min(step, width - s)), np.float32)
         m[d[lo:hi], column[lo:hi] - s] = 1
         both += m[left] @ m[right].T
-    union = n[left][:, None] + n[right][None, :] - both
-    i, j = np.nonzero((both >= similar * union - 1e-9) & (union > 0))
+    return both
+
+
+def compare(texts: list[str], left: np.ndarray, right: np.ndarray, similar: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (left, right) of texts, by place, whose shingles have a Jaccard similarity >= ``similar``.
+
+    That of the distinct shingles, or that of the shingles weighted by ``level``: the sum of
+    the smaller weights over the sum of the larger ones.
+    """
+    d, h, count, _ = shingles(texts)
+    n = np.bincount(d, minlength=len(texts)).astype(np.float64)
+    both = _shared(len(texts), d, h, left, right)
+    # A shingle of weight w is w elements, so that the smaller weight is what two texts share.
+    more = level(count) - 1
+    times = np.repeat(np.arange(len(h)), more)
+    nth = (np.arange(len(times)) - np.repeat(np.cumsum(more) - more, more) + 1).astype(np.uint64)
+    extra = _shared(len(texts), d[times], _mix(h[times] + nth * _P), left, right)
+    heavy = np.bincount(d[times], minlength=len(texts))
+
+    def alike(shared: np.ndarray, size: np.ndarray) -> np.ndarray:
+        union = size[left][:, None] + size[right][None, :] - shared
+        return (shared >= similar * union - 1e-9) & (union > 0)
+
+    i, j = np.nonzero(alike(both, n) | alike(both + extra, n + heavy))
     return left[i], right[j]
 
 
@@ -246,8 +282,8 @@ def _families(reps: DataFrame, kind: str) -> DataFrame:
     buckets = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
     buckets = cut_lineage(buckets.withColumn("size", F.col("n")))
     placed = cut_lineage(salted_join(keyed, buckets, "bucket", "n", F.col("rep")))
-    small = placed.filter(F.col("size") <= BUCKET).select("bucket", "rep").join(reps.select("rep", "low"), "rep")
-    likely = small.select("bucket", "rep", "low").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_likely, f"a {kind}, b {kind}")
+    small = placed.filter(F.col("size") <= BUCKET).select("bucket", "rep").join(reps.select("rep", "low", "low_weighted"), "rep")
+    likely = small.select("bucket", "rep", "low", "low_weighted").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_likely, f"a {kind}, b {kind}")
     wide = placed.filter(F.col("size") > BUCKET).select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
     return cut_lineage(connected(likely.unionByName(wide)))
 
@@ -255,10 +291,14 @@ def _families(reps: DataFrame, kind: str) -> DataFrame:
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col, class_id, kept``; the class is its smallest id.
 
-    Texts are linked when the Jaccard similarity of their distinct five-word shingles is at
-    least ``SIMILAR``; a class is all that links reach. Texts with the same words are one
-    representative. Its signature estimates the same similarity: each distinct shingle has
-    weight 1, however often it repeats. Bands of it gather candidates into families, and
+    Texts are linked when the Jaccard similarity of their five-word shingles is at least
+    ``SIMILAR``, either that of distinct shingles or that of shingles weighted by how often
+    they occur (``level``); a class is all that links reach. Texts with the same words are
+    one representative. It has a signature for each: with all weights 1, where registers
+    agree by the set similarity, and with its weights, where they agree by the probability
+    Jaccard; without repeated shingles both are one. So near copies meet that differ in how
+    often a line repeats, and those that differ in what is said once beside lines that
+    repeat. Bands of both gather candidates into families, and
     within a family the whole texts are compared: in one task if the family is small, else
     first with its smallest id, then what that leaves in blocks against all. Tasks return
     spanning links, so no group is written out in pairs, and no link within a family is lost.
@@ -269,10 +309,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("text"))
-    base = cut_lineage(rows.mapInArrow(_sketch, f"id {kind}, digest binary, n bigint, bands array<bigint>, low binary"))
+    base = cut_lineage(rows.mapInArrow(_sketch, f"id {kind}, digest binary, n bigint, bands array<bigint>, low binary, low_weighted binary"))
     worded = base.filter("n > 0 and id is not null")
     reps = cut_lineage(worded.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"),
-                                                    *[F.first(c).alias(c) for c in ("n", "bands", "low")]))
+                                                    *[F.first(c).alias(c) for c in ("n", "bands", "low", "low_weighted")]))
     family = _families(reps, kind)
     # Sizes decide how many blocks a family is cut into.
     sized = family.join(reps.select(F.col("rep").alias("id"), "n"), "id")

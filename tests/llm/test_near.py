@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -22,8 +23,22 @@ def shingle_set(t):
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def weights(t):
+    """A shingle weighs 1, and 1 more for each doubling of its count."""
+    w = words(t)
+    counts = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    return {s: n.bit_length() for s, n in counts.items()}
+
+
+def similar(a, b, plain=False):
+    if plain:
+        a, b = dict.fromkeys(a, 1), dict.fromkeys(b, 1)
+    low = sum(min(n, b[s]) for s, n in a.items() if s in b)
+    return low >= 0.8 * (sum(a.values()) + sum(b.values()) - low)
+
+
 def brute(rows):
-    sets = [(i, shingle_set(t)) for i, t, *_ in rows if i is not None]
+    sets = [(i, weights(t)) for i, t, *_ in rows if i is not None]
     up = {}
 
     def root(x):
@@ -33,7 +48,7 @@ def brute(rows):
 
     for a, (i, s) in enumerate(sets):
         for j, r in sets[:a]:
-            if s and r and len(s & r) >= 0.8 * len(s | r):
+            if s and r and (similar(s, r, plain=True) or similar(s, r)):
                 x, y = root(i), root(j)
                 if x != y:
                     up[max(x, y)] = min(x, y)
@@ -91,6 +106,32 @@ def test_copies_that_repeat_a_line_more_often(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()} == want
 
 
+def test_copies_that_differ_beside_lines_that_repeat(spark):
+    """Alike by weight alone: most of each text is lines said several times, the rest is its own."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(20):
+        lines = " ".join(" ".join([f"l{k}x{i}", "of", f"m{i}", "words", f"end{k}"] * 8) for i in range(30))
+        for _ in range(4):
+            rows.append((len(rows), f"{lines} {' '.join(f'u{rng.randint(0, 10**9)}' for _ in range(55))}", "c", "k"))
+    a, b = weights(rows[0][1]), weights(rows[1][1])
+    assert similar(a, b) and not similar(a, b, plain=True)
+    want = brute(rows)
+    assert len(set(want.values())) == 20
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()} == want
+
+
+def test_compare_equals_plain_weights(rows):
+    rng = random.Random(8)
+    texts = [t for _, t, *_ in rows[:60]]
+    texts += [" ".join(rng.choice(texts[k].split()) for _ in range(3)) + " " + " ".join([texts[k]] * rng.randint(1, 5)) for k in range(40)]
+    every = np.arange(len(texts))
+    i, j = compare(texts, every, every)
+    sets = [weights(t) for t in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(len(texts)) if a != b and sets[a] and sets[b] and (similar(sets[a], sets[b], plain=True) or similar(sets[a], sets[b]))}
+    assert {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a != b} == want and want
+
+
 EDGE = [(1, None, "c", "k"), (2, "", "c", "k"), (3, "!!! ...", "c", "k"), (4, "a b", "c", "k"), (5, "A, b!", "c", "k"), (6, "b a", "c", "k"), (7, "x " * 60_000 + "end", "c", "k"),
         (8, "x " * 60_000 + "end.", "c", "k"), (9, "one two three four five", "c", "k"), (9, "one two three four five", "c", "k"), (10, "one two three four five", "c", "k"),
         (None, "one two three four five", "c", "k")]
