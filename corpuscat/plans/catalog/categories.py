@@ -126,6 +126,34 @@ def split_sizes(spark, folder):
     return split.split_sizes(split.split_64_16_20(rows, "label", "row_id"), "label")
 
 
+_EARLY = "o_orderdate < DATE '1997-01-01'"
+
+
+@query(
+    "split_later",
+    f"""WITH base AS (SELECT o_orderkey AS row_id, o_orderpriority AS label FROM orders WHERE {_EARLY}),
+late AS (SELECT o_orderkey AS row_id, o_orderpriority AS label FROM orders WHERE NOT ({_EARLY})),
+{registry.split('base', split.SPLIT_64_16_20)},
+had AS (SELECT label, count(*) AS n, count(*) FILTER (split = 'test') AS t, count(*) FILTER (split = 'val') AS v FROM parts GROUP BY label),
+due AS (SELECT l.label, count(*) AS m, coalesce(any_value(n), 0) + count(*) AS total, coalesce(any_value(t), 0) AS t, coalesce(any_value(v), 0) AS v
+  FROM late l LEFT JOIN had h ON l.label = h.label GROUP BY l.label),
+wanted AS (SELECT label, m, least(m, greatest(0, (total * 2000 + 5000) // 10000 - t)) AS test, (total * 1600 + 5000) // 10000 - v AS val FROM due),
+ranked AS (SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || row_id), row_id) AS rk FROM late)
+SELECT row_id, label, split, 1 AS batch FROM parts
+UNION ALL SELECT row_id, r.label, CASE WHEN rk <= test THEN 'test' WHEN rk <= test + least(m - test, greatest(0, val)) THEN 'val' ELSE 'train' END, 2
+FROM ranked r JOIN wanted w ON r.label = w.label""",
+)
+def split_later(spark, folder):
+    """The orders of the first years, and then those that came later, without touching the first."""
+    orders = table(spark, folder, "orders")
+    rows = orders.select(F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("label"), F.expr(_EARLY).alias("early"))
+    first = cut_lineage(split.split_64_16_20(rows.filter("early").drop("early"), "label", "row_id"))
+    later, _ = split.split_later(
+        rows.filter("not early").drop("early"), split.part_counts(first, "label"), "label", "row_id", split.SPLIT_64_16_20
+    )
+    return first.withColumn("batch", F.lit(1)).unionByName(later.withColumn("batch", F.lit(2)))
+
+
 def labelled_corpus(spark, folder, floor=FLOOR, element_floor=ELEMENT_FLOOR):
     """The multi-label preparation with its single label and 64/16/20 parts."""
     prepared = prepare.prepare_canonical(documents_corpus(spark, folder), floor=floor, element_floor=element_floor)

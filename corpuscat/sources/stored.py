@@ -74,6 +74,16 @@ def save_table(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, mode: str = "errorifexists") -> DataFrame:
+    """Write ``df`` as table ``name`` at ``path`` in ``buckets`` by ``key``, sorted within, and return the table.
+
+    The rows are dealt by the key first, so that each bucket is written by one task.
+    """
+    dealt = df.repartition(buckets, F.col(key))
+    dealt.write.mode(mode).format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def save_report(metrics: DataFrame, config: Mapping[str, object], path: str) -> DataFrame:
     """One JSON record: the run's settings, and its test metrics as a nested object."""
     settings = [F.lit(v).alias(k) for k, v in config.items()]

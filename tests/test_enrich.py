@@ -95,3 +95,87 @@ def test_failed_rows_are_asked_again_in_slices(spark, tmp_path):
     again = enrich_missing(rows, "i", path, run(True), retry_failed=True)
     assert again.count() == 20 and again.filter("enrich_status = 'failed'").count() == 0
     assert again.filter("second").count() == 5
+
+
+def test_a_slow_call_holds_one_place():
+    import time
+
+    from corpuscat.operators.enrich import _call_all
+
+    def client(p):
+        time.sleep(3 if p == "slow" else 0.02)
+        return p
+
+    prompts = ["slow", *[f"p{i}" for i in range(100)]]
+    start = time.monotonic()
+    got = _call_all(client, prompts, seconds=1.0, in_flight=4)
+    assert time.monotonic() - start < 2.5  # waves would take as long, but each slow call would stop three others
+    assert got[0] == (None, "failed") and got[1:] == [(p, "ok") for p in prompts[1:]]
+    start = time.monotonic()
+    got = _call_all(client, ["slow"] * 2 + prompts[1:61], seconds=5.0, in_flight=4)
+    assert time.monotonic() - start < 4 and all(s == "ok" for _, s in got)
+
+
+def test_calls_are_asked_again_after_a_pause():
+    import time
+
+    from corpuscat.operators.enrich import _call_all
+
+    seen = {}
+
+    def client(p):
+        seen.setdefault(p, []).append(time.monotonic())
+        if p == "never" or (p == "third" and len(seen[p]) < 3):
+            raise RuntimeError
+        return p
+
+    got = _call_all(client, ["third", "never", None, "first"], seconds=1, in_flight=1, tries=3, pause=0.1)
+    assert got == [("third", "retried"), (None, "failed"), (None, "blank"), ("first", "ok")]
+    assert [len(seen[p]) for p in ("third", "never", "first")] == [3, 3, 1]
+    gaps = [b - a for a, b in zip(seen["third"], seen["third"][1:])]
+    assert gaps[0] >= 0.1 and gaps[1] >= 0.2
+    assert seen["first"][0] < seen["third"][1]  # a pause holds no place
+
+
+def test_a_client_that_hangs_is_down(monkeypatch):
+    import threading
+
+    from corpuscat.operators import enrich as module
+
+    monkeypatch.setattr(module, "HUNG_LIMIT", 3)
+    free, asked = threading.Event(), []
+
+    def client(p):
+        asked.append(p)
+        free.wait(20)
+        return p
+
+    got = module._call_all(client, [f"p{i}" for i in range(20)], seconds=0.1, in_flight=1)
+    free.set()
+    assert got == [(None, "failed")] * 20 and len(asked) == 3
+
+
+def test_only_ids_meet_the_store(spark, plan_of, tmp_path):
+    from corpuscat.operators.enrich import missing_rows
+    from corpuscat.sources.stored import save_bucketed
+
+    rows = spark.createDataFrame([*[(i, f"t{i}") for i in range(50)], (None, "n"), (7, "t7")], "i int, t string")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    settled = spark.createDataFrame([(i,) for i in range(40)] + [(None,)], "i int")
+    settled.write.parquet(str(tmp_path / "settled"))
+    settled = spark.read.parquet(str(tmp_path / "settled"))
+    want = sorted([str((i, f"t{i}")) for i in range(40, 50)] + [str((None, "n"))])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for limit in (1 << 20, 0):
+            assert sorted(str(tuple(r)) for r in missing_rows(rows, settled, "i", limit).collect()) == want
+        a = save_bucketed(rows, "rows_by_id", str(tmp_path / "a"), "i", 4)
+        b = save_bucketed(settled, "settled_by_id", str(tmp_path / "b"), "i", 4)
+        found = missing_rows(a, b, "i")
+        assert sorted(str(tuple(r)) for r in found.collect()) == want
+        assert "Exchange" not in plan_of(found)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("rows_by_id", "settled_by_id"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")

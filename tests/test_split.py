@@ -65,3 +65,33 @@ def test_small_class_is_an_error(spark):
             split.stratified_split(labelled(spark, {"a": 30, "b": 1}), "label", "id", split.SPLIT_64_16_20, class_limit=limit)
     with pytest.raises(ValueError, match="no label"):
         split.split_64_16_20(spark.createDataFrame([("x", None), ("y", "a"), ("z", "a")], "id string, label string"), "label", "id")
+
+
+@pytest.mark.parametrize("plan", [split.SPLIT_64_16_20, split.SPLIT_80_10_10])
+@pytest.mark.parametrize("class_limit", [2000, 0])
+def test_later_rows_keep_the_shares(spark, plan, class_limit):
+    shares = {split.SPLIT_64_16_20: (0.2, 0.16), split.SPLIT_80_10_10: (0.1, 0.1)}[plan]
+    first = split.stratified_split(labelled(spark, {"a": 400, "b": 151, "c": 33}), "label", "id", plan)
+    counts = split.part_counts(first, "label")
+    done = {("a", 400), ("b", 151), ("c", 33)}
+    for step, more in enumerate([{"a": 57, "b": 3, "d": 1}, {"a": 1, "c": 90, "d": 40}, {"d": 1, "b": 210}]):
+        rows = labelled(spark, more).withColumn("id", F.concat(F.lit(f"{step}/"), "id"))
+        parts, counts = split.split_later(rows, counts, "label", "id", plan, class_limit=class_limit)
+        assert parts.count() == sum(more.values())
+        done |= {(f"{c}{step}", n) for c, n in more.items()}
+        for r in counts.collect():
+            assert r["n"] == sum(n for c, n in done if c[0] == r["label"])
+            assert abs(r["test"] - shares[0] * r["n"]) <= 1 and abs(r["val"] - shares[1] * r["n"]) <= 2
+
+
+def test_later_rows_of_one_batch_follow_the_hash(spark):
+    counts = split.part_counts(split.split_64_16_20(labelled(spark, {"a": 50}), "label", "id"), "label")
+    rows = labelled(spark, {"a": 300}).withColumn("id", F.concat(F.lit("x"), "id"))
+    parts, total = split.split_later(rows, counts, "label", "id", split.SPLIT_64_16_20)
+    names = [r["split"] for r in parts.orderBy(F.md5(F.concat(F.lit("42:"), "id"))).collect()]
+    assert names == sorted(names, key=["test", "val", "train"].index)
+    assert tuple(total.first()) == ("a", 350, 70, 56)
+    nothing, same = split.split_later(rows.limit(0), total, "label", "id", split.SPLIT_64_16_20)
+    assert nothing.count() == 0 and [tuple(r) for r in same.collect()] == [("a", 350, 70, 56)]
+    with pytest.raises(ValueError, match="no label"):
+        split.split_later(rows.withColumn("label", F.lit(None).cast("string")), total, "label", "id", split.SPLIT_64_16_20)
