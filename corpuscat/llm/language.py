@@ -19,8 +19,8 @@ GRAMS = (2, 3, 4)  # bytes of a subword, a word's border counting as one
 FIT_PER_LANGUAGE = 800  # labelled rows of each language that a fit reads, at most about
 FIT_CHARS = 1_500  # characters of such a row that it reads, from a place set by its id
 SHORT = (40, 300)  # lengths of the excerpts that a fit adds, so that short texts are known too
-REJECT_SHARE = 0.001  # share of right held-back texts that may score below the threshold
-MOST_REJECT = 0.35  # the threshold at most: texts of two languages are clean and stay
+REJECT_SHARE = 0.001  # share of good held-back texts that may fall below each threshold
+SEEN_IN = 3  # rows of the fit that a subword's bucket must occur in to be a known one
 UNKNOWN = "und"
 SLICE_BYTES = 1 << 20
 
@@ -35,22 +35,34 @@ for _b in range(256):
 
 @dataclass
 class Model:
-    """Class scores per bucket (embeddings times output layer), with temperature and threshold."""
+    """Class scores per bucket (embeddings times output layer), with temperature and thresholds.
+
+    ``seen`` marks the buckets that the fit has met. ``caught`` is the share of made negatives
+    that the thresholds rejected when they were set.
+    """
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray
     temperature: float = 1.0
     threshold: float = 0.0
+    least_known: float = 0.0
+    caught: float = 0.0
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
         """One row per text; a text without subwords has the prior only."""
+        return self.judge(texts)[0]
+
+    def judge(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``probabilities``, and the share of each text's subwords that are known."""
         grams, owner = subwords(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(np.float64)
         total = np.empty((len(texts), len(self.languages)))
         for c in range(len(self.languages)):
             total[:, c] = np.bincount(owner, weights=self.scores[c][grams], minlength=len(texts))
-        return softmax((total / np.maximum(n, 1.0)[:, None] + self.bias) / self.temperature)
+        known = np.bincount(owner, weights=self.seen[grams], minlength=len(texts)) / np.maximum(n, 1.0)
+        return softmax((total / np.maximum(n, 1.0)[:, None] + self.bias) / self.temperature), known
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -92,7 +104,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 6, rat
     """Fit embeddings and output layer by stochastic gradient descent, then calibrate.
 
     A fifth of the texts is held back. On it a temperature is chosen by log loss, and the
-    threshold below which a text is rejected.
+    thresholds below which a text is rejected (``_calibrate``).
     """
     languages = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -131,9 +143,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 11, epochs: int = 6, rat
             grad = np.repeat(back, sizes, axis=0) * share[:, None]
             for w in range(WIDTH):  # sums per bucket, one column at a time
                 emb[:, w] -= step * 20 * np.bincount(ids, weights=grad[:, w], minlength=BUCKETS)
-    model = Model(languages, np.ascontiguousarray((emb @ out).T.astype(np.float32)), bias)
+    # Excerpts are cut from whole rows, so only every row's first entry counts.
+    met = np.bincount(np.concatenate([ids for ids, _ in counts[:: 1 + len(SHORT)]]), minlength=BUCKETS)
+    seen = (met >= min(SEEN_IN, len(rows) // (1 + len(SHORT)))).astype(np.float64)
+    model = Model(languages, np.ascontiguousarray((emb @ out).T.astype(np.float32)), bias, seen)
     if held:
-        _calibrate(model, cut_texts[True])
+        _calibrate(model, cut_texts[True], rng)
     return model
 
 
@@ -145,15 +160,50 @@ def _histograms(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _calibrate(model: Model, rows: list[tuple[str, int]]) -> None:
+def _calibrate(model: Model, rows: list[tuple[str, int]], rng: np.random.Generator) -> None:
+    """Set temperature and thresholds on held-back texts.
+
+    A score is low, and few subwords are known, in a text of no language of the fit. How low
+    a good text can be is read off the held-back ones: excerpts that are recognised, and for
+    the score also texts half in one language and half in another, which are clean and stay.
+    All but ``REJECT_SHARE`` of them pass each threshold. Texts whose letters are shuffled, or
+    swapped for others throughout, are of no language; where most of them lie below the good
+    ones, the threshold is half way between, so that names, numbers and rare words do no harm.
+    """
     y = np.array([k for _, k in rows])
-    p = np.log(np.maximum(model.probabilities([t for t, _ in rows]), 1e-300))
-    best = min((-np.log(np.maximum(softmax(p / t)[np.arange(len(y)), y], 1e-12)).mean(), t) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0))
-    model.temperature = best[1]
-    q = softmax(p / best[1])
+    texts = [t for t, _ in rows]
+    p, known = model.judge(texts)
+    p = np.log(np.maximum(p, 1e-300))
+    model.temperature = min((-np.log(np.maximum(softmax(p / t)[np.arange(len(y)), y], 1e-12)).mean(), t) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0))[1]
+    q = softmax(p / model.temperature)
     right = q.argmax(axis=1) == y
-    score = q.max(axis=1)[right]
-    model.threshold = float(min(MOST_REJECT, np.quantile(score, REJECT_SHARE))) if len(score) else 0.0
+    if not right.any():
+        return
+    other = rng.permutation(len(texts))
+    mixed = []
+    for i, j in enumerate(other.tolist()):
+        if y[i] != y[j]:
+            half = min(len(texts[i]), len(texts[j])) // 2
+            mixed.append(f"{texts[i][:half]} {texts[j][:half]}")
+    good = np.concatenate([q.max(axis=1)[right], model.probabilities(mixed).max(axis=1)]) if mixed else q.max(axis=1)[right]
+    strange, less = model.judge([negative(t, rng) for t in texts])
+    model.threshold = _between(strange.max(axis=1), good)
+    model.least_known = _between(less, known[right])
+    model.caught = float(((strange.max(axis=1) < model.threshold) | (less < model.least_known)).mean())
+
+
+def _between(bad: np.ndarray, good: np.ndarray) -> float:
+    least = float(np.quantile(good, REJECT_SHARE))
+    return min(least, (least + float(np.median(bad))) / 2)
+
+
+def negative(text: str, rng: np.random.Generator) -> str:
+    """A text of no language: its letters shuffled, or each of them swapped for another one."""
+    if rng.integers(2):
+        return "".join(text[k] for k in rng.permutation(len(text)))
+    letters = sorted({c for c in text.lower() if c.isalpha()})
+    swap = dict(zip(letters, rng.permutation(letters).tolist() if letters else []))
+    return "".join(swap.get(c, c) for c in text.lower())
 
 
 def held_out(id_col: Column) -> Column:
@@ -189,8 +239,8 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     A whole text's subword scores are averaged; ``score`` is the calibrated probability of
     the best language. A null text or one without a letter is ``und`` with score 0 and
-    rejected, as is every text where there was nothing to fit on; a text below the model's
-    threshold keeps its best language and is rejected. Columns of those names are replaced,
+    rejected, as is every text where there was nothing to fit on; a text below one of the
+    model's thresholds keeps its best language and is rejected. Columns of those names are replaced,
     other columns pass through; repeated rows are rows like others.
     """
     added = ["lang_pred", "score", "rejected"]
@@ -206,13 +256,15 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 lettered = [model is not None and any(map(str.isalpha, t)) for t in texts]
                 if model is None:
-                    best, score = np.zeros(len(texts), int), np.zeros(len(texts))
+                    best, score, known = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts))
                 else:
-                    p = model.probabilities(texts)
+                    p, known = model.judge(texts)
                     best, score = p.argmax(axis=1), p.max(axis=1)
                 names = [model.languages[k] if on else UNKNOWN for k, on in zip(best.tolist(), lettered)]
                 scores = np.where(lettered, score, 0.0)
-                rejected = ~np.array(lettered, bool) | (scores < (model.threshold if model else 1.0))
+                rejected = ~np.array(lettered, bool)
+                if model is not None:
+                    rejected |= (scores < model.threshold) | (known < model.least_known)
                 more = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected.tolist(), pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*own, *added])
 
@@ -220,7 +272,12 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
 
 def drop_rejected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a language that a model fitted on them knows."""
+    """The rows of ``docs`` in a language that a model fitted on them knows.
+
+    Null texts and texts without a letter go, and all rows where there is nothing to fit on
+    (an empty table gives an empty result). Rows that repeat stay as often as they are there.
+    Columns named like those of ``predict`` keep their own values.
+    """
     model = fit_on(docs, id_col, text_col, lang_col)
     away = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}
     found = predict(docs.withColumnsRenamed(away), model, text_col).filter("not rejected").drop("lang_pred", "score", "rejected")
