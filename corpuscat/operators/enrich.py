@@ -10,7 +10,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -124,9 +124,10 @@ def enrich_text(
     return asked.select(*df.columns, result.alias(out), F.col("_r.status").alias(status))
 
 
-def stored_rows(df: DataFrame, path: str) -> DataFrame | None:
+def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None if nothing has been stored there."""
     try:
-        return df.sparkSession.read.parquet(path)
+        return spark.read.parquet(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
@@ -164,7 +165,7 @@ def enrich_missing(
     keeps what earlier slices have paid for. With ``retry_failed``, rows whose call failed
     are asked again; the store then returns the better of their results.
     """
-    done = stored_rows(df, path)
+    done = stored_rows(df.sparkSession, path)
     settled = done if done is None or not retry_failed else done.filter(F.col(status) != "failed")
     todo = df if settled is None else missing_rows(df, settled, row_id)
     for k in range(slices):

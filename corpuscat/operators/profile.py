@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,10 +65,14 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, margin:
             for c, name in zip(nums.columns, columns)
         ]
     )
-    taken = moments.first().asDict()  # one row for each column
+    return with_quartiles(nums, moments.first().asDict())  # one row for each column
+
+
+def with_quartiles(nums: DataFrame, taken: Mapping[str, Row]) -> DataFrame:
+    """The summary of each column of ``nums``, from its moments and the bounds of its quartiles."""
     rows = {c: r for c, r in taken.items() if r["n"]}
     spans = {(c, i): (rows[c]["bounds"][2 * i], rows[c]["bounds"][2 * i + 1]) for c in rows for i in range(len(QUARTILES))}
-    value, lost = _ranks_between(nums, spans, {c: r["n"] for c, r in rows.items()})
+    value, lost = _ranks_between(nums, spans, {c: r["n"] for c, r in rows.items()}) if spans else ({}, [])
     if lost:
         wide = {(c, i): (rows[c]["min"], rows[c]["max"]) for c, i in lost}
         value |= _ranks_between(nums, wide, {c: r["n"] for c, r in rows.items()})[0]
@@ -78,7 +82,7 @@ def numeric_summary(df: DataFrame, columns: Sequence[str] | None = None, margin:
         for c, r in taken.items()
     ]
     schema = f"column string, n bigint, mean double, std double, min double, {', '.join(f'{p} double' for p in places)}, max double"
-    return df.sparkSession.createDataFrame(found, schema)
+    return nums.sparkSession.createDataFrame(found, schema)
 
 
 def _ranks_between(nums: DataFrame, spans: dict, totals: dict) -> tuple[dict, list]:

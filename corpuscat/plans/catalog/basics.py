@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuscat.functions.text import clean_text, slug, split_list
-from corpuscat.operators import filters, frequency, profile
+from corpuscat.operators import filters, frequency, profile, profile_store
 from corpuscat.operators.scale import spread
 from corpuscat.plans.catalog.registry import CORPUS, clean, items, query
 from corpuscat.plans.prepare import canonical_stages
+from corpuscat.session import scratch_path
 from corpuscat.sources.tables import documents_corpus, table
 
 # Floors of the registered preparation; the defaults suit a corpus of millions.
@@ -68,6 +69,33 @@ def profile_numeric(spark, folder):
     return out.select("column", "n", *[F.round(c, 7).alias(c) if c not in ("min", "max") else c for c in out.columns[2:]])
 
 
+_ORDERED = ("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query(
+    "profile_stored",
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, "
+        f"min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, "
+        f"round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75, max({c})::DOUBLE AS max FROM orders"
+        for c in _ORDERED
+    ),
+)
+def profile_stored(spark, folder):
+    """The profile of the first years' orders is kept; that of all orders reads only the files that came later for its bounds."""
+    orders, source, store = table(spark, folder, "orders"), scratch_path(spark, "orders"), scratch_path(spark, "profile")
+    early = F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp")
+
+    def read(files):
+        return spark.read.schema(orders.schema).parquet(*files)
+
+    orders.filter(early).write.parquet(source)
+    profile_store.update_profile(spark, spark.read.parquet(source).inputFiles(), read, store)
+    orders.filter(~early).write.mode("append").parquet(source)
+    out = profile_store.stored_numeric_summary(spark, spark.read.parquet(source).inputFiles(), read, store)
+    return out.select("column", "n", *[F.round(c, 6).alias(c) if c not in ("min", "max") else c for c in out.columns[2:]])
+
+
 CANONICAL_CTES = f"""{CORPUS},
 top AS (SELECT genre AS g, row_number() OVER (ORDER BY count(*) DESC, genre) AS rk FROM corpus
   WHERE genre IS NOT NULL GROUP BY genre ORDER BY rk LIMIT 25),
