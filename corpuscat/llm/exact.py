@@ -71,7 +71,12 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``mark_copies`` keeps, with their own columns."""
+    """The rows of ``docs`` that ``mark_copies`` keeps, with their own columns.
+
+    Of equal texts the row with the smallest id stays, of rows that repeat id and text one;
+    null texts are empty ones, null ids sort last. An empty table gives an empty result.
+    Columns named like those of ``mark_copies`` keep their own values.
+    """
     slim = docs.drop(*ADDED)
     if slim.columns == docs.columns:
         return mark_copies(docs, id_col, text_col).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -369,6 +369,14 @@ def _many(texts: DataFrame, totals: DataFrame, kind: str) -> DataFrame:
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its class, or null."""
-    dropped = near_classes(docs, id_col, text_col).filter("not kept").select(F.col(id_col).alias("_near_id")).distinct()
-    return docs.join(dropped, F.col(f"`{id_col}`") == F.col("_near_id"), "left_anti")
+    """The rows of ``docs`` whose id is the smallest of its class, or null.
+
+    Rows without an id cannot be named and stay, as do null texts and texts without a word,
+    which are alone. Rows that repeat a kept id stay as often as they are there. An empty table
+    gives an empty result, and columns may have any names.
+    """
+    name = "_near_id"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    dropped = near_classes(docs, id_col, text_col).filter("not kept").select(F.col(f"`{id_col}`").alias(name)).distinct()
+    return docs.join(dropped, F.col(f"`{id_col}`") == F.col(name), "left_anti")

@@ -200,3 +200,12 @@ def test_components(spark):
     got = {r["id"]: r["component"] for r in connected(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in ids}
     assert connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_drop_near_with_columns_of_its_own_names(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a", 5), (2, words + " more", "b", 1), (2, words + " more", "b", 1), (3, "other words altogether here now", "c", 1), (3, "other words altogether here now", "c", 1), (None, words, "d", 2), (4, None, "e", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _near_id string, _NEAR_ID_ int")
+    kept = drop_near(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["_near_id"] for r in kept.collect()) == ["a", "c", "c", "d", "e"]
