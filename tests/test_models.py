@@ -7,6 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from corpuscat.operators import bayes, evaluate, labels, linear, split
+from corpuscat.plans.catalog import QUERIES, models
 from corpuscat.plans.training import train_bayes
 from corpuscat.sources.tables import table
 from conftest import SF
@@ -147,3 +148,30 @@ def test_training_run(spark, tmp_path):
     assert report["max_length"] == 512 and report["num_labels"] == index.count() and report["test_metrics"]["accuracy"] > 0.8
     assert spark.read.parquet(str(tmp_path / "history")).count() == 3
     assert spark.read.parquet(str(tmp_path / "labels")).count() == report["num_labels"]
+
+
+def test_words_are_looked_up_where_they_are(spark, monkeypatch):
+    """The words of texts go to the model's terms without a shuffle before."""
+    seen, plain = [], bayes.lookup
+
+    def kept(rows, table, key, *a, **k):
+        seen.extend([rows._jdf.queryExecution().executedPlan().toString()] if key == "token" else [])
+        return plain(rows, table, key, *a, **k)
+
+    monkeypatch.setattr(bayes, "lookup", kept)
+    model = bayes.fit_bayes(frame(spark, TEXTS), "t", "y")
+    bayes.bayes_predict(frame(spark, ASKED), "i", "t", "y", model)
+    assert len(seen) == 1 and "hashpartitioning" not in seen[0] and "regexp_extract" not in seen[0]
+
+
+@pytest.mark.parametrize("name,stores", [("lr_text", 1), ("train_run", 1)])
+def test_words_of_a_run_are_stored_once(spark, monkeypatch, name, stores):
+    seen, plain = [], models.cut_lineage
+
+    def kept(df):
+        seen.extend([1] if "words" in df.columns else [])
+        return plain(df)
+
+    monkeypatch.setattr(models, "cut_lineage", kept)
+    QUERIES[name](spark, SF).count()
+    assert len(seen) == stores
