@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuscat.session import cut_lineage
 
@@ -64,12 +65,43 @@ def row_bytes(df: DataFrame) -> Column:
         if kind in ("string", "binary"):
             total = total + F.coalesce(F.octet_length(c), F.lit(0))
         elif kind == "array":
-            total = total + F.coalesce(F.greatest(F.size(c), F.lit(0)) * 32, F.lit(0))
+            each = 32 + sum(_inner_bytes(c, g) for g in _listed(f.dataType))
+            total = total + F.coalesce(F.greatest(F.size(c), F.lit(0)) * each, F.lit(0))
         else:
             total = total + 16
     return total
 
 
+def _listed(kind: T.ArrayType) -> list[str]:
+    """The fields of an array's elements that are arrays themselves."""
+    return [f.name for f in kind.elementType.fields if isinstance(f.dataType, T.ArrayType)] if isinstance(kind.elementType, T.StructType) else []
+
+
+def _inner_bytes(c: Column, field: str) -> Column:
+    """Of an array within an array the longest counts for all: 8 bytes for each element."""
+    longest = F.array_max(F.transform(c, lambda e: F.size(e[field])))
+    return F.coalesce(F.greatest(longest, F.lit(0)) * 8, F.lit(0))
+
+
+def heaviest(table: DataFrame, weight: str, size: Column, max_bytes: int) -> tuple[bool, int | None]:
+    """Whether ``table`` measures at most ``max_bytes``; if not, from which ``weight`` on its rows do.
+
+    Weights are taken by eighths of a power of two, at most a few hundred numbers. There is no
+    such weight where its rows have less than half of all weight.
+    """
+    step = F.floor(F.log2(F.col(weight)) * 8).alias("step")
+    found = table.groupBy(step).agg(F.sum(size).alias("bytes"), F.min(weight).alias("least"), F.sum(weight).alias("weight")).collect()
+    if sum(r["bytes"] for r in found) <= max_bytes:
+        return True, None
+    total, held, least = 0, 0, None
+    for r in sorted((r for r in found if r["step"] is not None), key=lambda r: -r["step"]):
+        total += r["bytes"]
+        if total > max_bytes:
+            break
+        held, least = held + r["weight"], r["least"]
+    return False, least if 2 * held >= sum(r["weight"] or 0 for r in found) else None
+
+
 def lookup(
     rows: DataFrame,
     table: DataFrame,
@@ -83,10 +115,13 @@ def lookup(
     """Join many ``rows`` to a stored ``table`` with one row per ``key``, safe under hot keys.
 
     ``weight`` is the table's column saying how often a key occurs in ``rows``. A table
-    that measures at most ``max_bytes`` is broadcast; a larger one goes through
-    ``salted_join``, which reads ``rows`` once. ``how`` is inner, left or left_semi; the
-    result has the columns of ``rows`` plus, unless semi, the table's other columns without
-    ``weight``. ``bounded`` says that the caller has checked the size.
+    that measures at most ``max_bytes`` is broadcast. Of a larger one the heaviest keys are,
+    as many as measure ``max_bytes``, if they stand for half of the rows at least: words and
+    the like have most of their rows in few keys, and these rows stay where they are. The
+    other rows go through ``salted_join``. So ``rows`` are read twice, and should be stored
+    if they are costly. ``how`` is inner, left or left_semi; the result has the columns of
+    ``rows`` plus, unless semi, the table's other columns without ``weight``. ``bounded``
+    says that the caller has checked the size.
 
     A left join also has to pass rows whose key the table lacks, and such a key may be
     heavy too, so keys are counted in ``rows``; ``complete`` says that the table has every
@@ -94,10 +129,19 @@ def lookup(
     """
     payload = [] if how == "left_semi" else [c for c in table.columns if c not in (key, weight)]
     slim = table.select(key, *payload)
-    size = row_bytes(slim)
-    if bounded or (slim.agg(F.sum(size)).first()[0] or 0) <= max_bytes:
+    small, least = (True, None) if bounded else heaviest(table, weight, row_bytes(slim), max_bytes)
+    if small:
         return rows.join(F.broadcast(slim), key, how).select(*rows.columns, *payload)
+    if least is not None:
+        head = F.broadcast(table.filter(F.col(weight) >= least).select(key, *payload))
+        kept = rows.join(head, key, "left_semi" if how == "left_semi" else "inner").select(*rows.columns, *payload)
+        rows = rows.join(head, key, "left_anti").select(*rows.columns)
+        table = table.filter(F.coalesce(F.col(weight) < least, F.lit(True)))
+        return kept.unionByName(_by_salts(rows, table, key, weight, how, complete))
+    return _by_salts(rows, table, key, weight, how, complete)
+
 
+def _by_salts(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str, complete: bool) -> DataFrame:
     weighed = table
     if how == "left" and not complete:
         # Keys that the table lacks may be heavy too: count them where they occur.

@@ -17,10 +17,12 @@ def extractive_summary(df: DataFrame, row_id: str, text: str, weights: DataFrame
     ``weights`` is ``(token, n)``, by default the corpus frequencies. The earlier sentence
     wins a tie; a text without words has the summary '' and no score.
     """
-    complete = weights is None
-    weights = cut_lineage(token_counts(df, text)) if weights is None else weights
     parts = spread(df.select(row_id, text)).select(row_id, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    each = parts.select(row_id, "pos", F.explode(words(F.col("sentence"))).alias("token"))
+    # Words are taken from the texts once and stored: they are counted, then looked up.
+    parts = cut_lineage(parts.select(row_id, "pos", words(F.col("sentence")).alias("words")))
+    each = parts.select(row_id, "pos", F.explode("words").alias("token"))
+    complete = weights is None
+    weights = cut_lineage(token_counts(parts, "words")) if weights is None else weights
     weighed = lookup(each, weights.select("token", "n", F.col("n").alias("w")), "token", "n", "left", complete=complete)
     mean = (F.sum(F.coalesce("w", F.lit(0))) / F.count(F.lit(1))).alias("score")
     scored = weighed.groupBy(row_id, "pos").agg(mean)

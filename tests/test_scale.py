@@ -107,3 +107,32 @@ def test_support_bounds(spark):
 def test_tie_at_the_last_rank(spark):
     df = spark.createDataFrame([("b",), ("a",)], "g string")
     assert frequency.top_values(df, "g", 1) == ["a"]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+@pytest.mark.parametrize("complete", [True, False])
+def test_heaviest_keys_of_a_large_table_stay_where_they_are(spark, plan_of, how, complete):
+    """Of a table beyond the bound the keys with most rows are broadcast; only the other rows are dealt."""
+    key = F.concat(F.lit("k"), F.floor(F.exp(F.col("id") % 1000 / 1000 * 7)).cast("string"))
+    rows = cut_lineage(spark.range(8000).select("id", F.when(F.col("id") % 97 > 0, key).alias("key")))
+    counts = frequencies(rows, "key").withColumnRenamed("value", "key")
+    table = cut_lineage((counts if complete else counts.filter("n <> 16")).withColumn("w", F.length("key")))
+    bytes_ = table.agg(F.sum(scale.row_bytes(table.select("key", "w")))).first()[0]
+    small, least = scale.heaviest(table, "n", scale.row_bytes(table.select("key", "w")), bytes_ // 3)
+    head = table.filter(F.col("n") >= least)
+    assert not small and head.agg(F.sum(scale.row_bytes(head.select("key", "w")))).first()[0] <= bytes_ // 3
+    got = lookup(rows, table, "key", "n", how, max_bytes=bytes_ // 3, complete=complete)
+    want = rows.join(table.drop("n"), "key", how).select(*got.columns)
+    assert got.count() == want.count() and got.exceptAll(want).count() == 0
+    assert "left_anti" in got._jdf.queryExecution().optimizedPlan().toString().lower().replace("leftanti", "left_anti")
+
+
+def test_row_bytes_of_lists_of_lists(spark):
+    df = spark.range(2).select(F.array(F.struct(F.lit(1).alias("b"), F.sequence(F.lit(1), F.lit(1000)).alias("g"))).alias("a"))
+    assert df.agg(F.min(scale.row_bytes(df))).first()[0] >= 8000
+
+
+def test_heaviest_without_heavy_keys(spark):
+    table = spark.range(500).select(F.col("id").alias("key"), F.lit(1).alias("n"), F.lit("x").alias("w"))
+    assert scale.heaviest(table, "n", scale.row_bytes(table), 1000) == (False, None)
+    assert scale.heaviest(table.limit(0), "n", scale.row_bytes(table), 0) == (True, None)
