@@ -166,9 +166,9 @@ def bayes_predict(
 
     Words outside the model's vocabulary do not count. A word adds ``ln((n + a) / a)`` to
     the classes that have it and each seen word ``ln(a / (tokens + a V))`` to every class.
-    Words are counted per text and joined to the blocks of ``BLOCK`` labels that have them,
-    whose numbers are summed side by side before the shuffle. A text only meets blocks it has
-    words of; all other classes score by its number of words alone (``_without_hits``). Any
+    Words are joined where they are to the blocks of ``BLOCK`` labels that have them, whose
+    numbers are summed side by side before the shuffle; only rare words are moved. A text only
+    meets blocks it has words of; all other classes score by its number of words alone (``_without_hits``). Any
     number of classes will do.
 
     Logarithms are summed as whole multiples of 1 / ``LOG_UNIT``, so sums do not depend on
@@ -181,20 +181,23 @@ def bayes_predict(
     total, vocab = stats[0] or 0, stats[1] or 0
     y = F.col(label).cast("bigint").alias("label")
     rows = spread(df.select(row_id, label, text)).select(row_id, y, word_array(df, text).alias("_words"))
-    counted = rows.select(row_id, "label", F.explode("_words").alias("token")).groupBy(row_id, "label", "token").agg(F.count(F.lit(1)).alias("tf"))
+    if df.schema[text].dataType.typeName() != "array":
+        rows = cut_lineage(rows)
+    each = rows.select(row_id, "label", F.explode("_words").alias("token"))
 
     def gains_of(counts: Column, a: float) -> Column:
-        return F.transform(counts, lambda n: F.round(F.log((n + F.lit(float(a))) / F.lit(float(a))) * LOG_UNIT).cast("bigint"))
+        gain = lambda n: F.round(F.log((n + F.lit(float(a))) / F.lit(float(a))) * LOG_UNIT).cast("bigint")
+        return F.transform(counts, lambda n: F.when(n == 0, F.lit(0).cast("bigint")).otherwise(gain(n)))  # most counts are 0
 
     gains = F.transform("blocks", lambda b: F.struct(b["block"].alias("block"), F.concat(*[gains_of(b["counts"], a) for a in alphas]).alias("g")))
     terms = cut_lineage(model.terms.select("token", "n", gains.alias("gains")))
-    hits = lookup(counted, terms, "token", "n").select(row_id, "label", "tf", F.posexplode("gains").alias("p", "b"))
+    hits = lookup(each, terms, "token", "n").select(row_id, "label", F.posexplode("gains").alias("p", "b"))
     # A word counts as seen with its first block.
-    hits = hits.select(row_id, "label", F.col("b.block").alias("block"), "tf", F.when(F.col("p") == 0, F.col("tf")).otherwise(0).alias("words"), F.col("b.g").alias("g"))
+    hits = hits.select(row_id, "label", F.col("b.block").alias("block"), F.when(F.col("p") == 0, 1).otherwise(0).cast("bigint").alias("words"), F.col("b.g").alias("g"))
     # The block of the text's own label is there for every text, if only with zeros.
     none = F.array_repeat(F.lit(0).cast("bigint"), many * BLOCK)
-    own = rows.select(row_id, "label", _block("label").alias("block"), F.lit(0).cast("bigint").alias("tf"), F.lit(0).cast("bigint").alias("words"), none.alias("g"))
-    sums = [F.sum(F.col("tf") * F.get("g", F.lit(j))) for j in range(many * BLOCK)]
+    own = rows.select(row_id, "label", _block("label").alias("block"), F.lit(0).cast("bigint").alias("words"), none.alias("g"))
+    sums = [F.sum(F.get("g", F.lit(j))) for j in range(many * BLOCK)]
     per_block = hits.unionByName(own).groupBy(row_id, "label", "block").agg(F.sum("words").alias("words"), F.array(*sums).alias("s"))
     lines = F.struct("label", *[c.alias(f"{k}{i}") for i, a in enumerate(alphas) for k, c in zip("ab", _line(a, total, vocab))])
     blocks = model.classes.groupBy(_block("label").alias("block")).agg(F.sum("docs").alias("docs"), F.collect_list(lines).alias("lines"))
