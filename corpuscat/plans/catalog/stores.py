@@ -25,10 +25,13 @@ def src_csv_roundtrip(spark, folder):
     "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_id, doc_id, nullif(text, '') AS text, lang, source, n_chars FROM documents",
 )
 def src_csv_one_file(spark, folder):
-    """One file in the corpus' layout, its first column without a name, read in blocks and numbered in file order."""
+    """One file in the corpus' layout, its first column without a name, read in blocks and numbered in file order.
+
+    Beyond ``delimited.FILE_BYTES`` of text it goes on in a next file, as one task writes a file.
+    """
     docs = table(spark, folder, "documents")
     path = scratch_path(spark, "csv")
-    delimited.write_delimited(docs.orderBy("doc_id").coalesce(1).toDF("", *docs.columns[1:]), path)
+    delimited.write_in_order(docs, path, "doc_id", ["", *docs.columns[1:]])
     return delimited.read_delimited(spark, path, docs.schema, columns={"_c0": "doc_id"})
 
 

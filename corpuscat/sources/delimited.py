@@ -27,6 +27,7 @@ CORPUS_SCHEMA = T.StructType(
         T.StructField("Plot", T.StringType()),
     ]
 )
+FILE_BYTES = 256 << 20  # of text in one file that a task writes: two blocks of the usual size
 _FORM = {"quote": '"', "escape": '"'}
 _EXACT = {"multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
@@ -220,3 +221,17 @@ def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> No
     df.write.mode(mode).options(
         **_FORM, header=True, quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
+
+
+def write_in_order(df: DataFrame, path: str, order: str, header: Sequence[str] | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """``write_delimited`` with rows sorted by ``order`` in files of about ``file_bytes``, in the order of their names.
+
+    A file is written by one task, so what one task takes stays the same however many rows there
+    are: up to ``file_bytes`` there is one file, beyond that as many as it takes. Rows of equal
+    ``order`` may lie in two files. ``header`` renames the columns in the files.
+    """
+    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    files = -(-size // file_bytes)
+    placed = df.repartitionByRange(max(files, 1), F.col(f"`{order}`"), whole).sortWithinPartitions(f"`{order}`", whole)
+    write_delimited(placed.toDF(*(header or df.columns)), path)

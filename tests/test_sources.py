@@ -2,6 +2,7 @@ import random
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscat.plans.prepare import CorpusColumns, canonical_stages, prepare_collapsed
@@ -200,3 +201,14 @@ def test_collapsed_preparation(spark):
     out = prepare_collapsed(corpus(spark), top_n=2, floor=2)
     assert {r["genre"] for r in out.collect()} == {"drama", "comedy, drama", "other"}
     assert out.filter("plot is null or release_year is null").count() == 0
+
+
+def test_a_long_file_goes_on_in_the_next(spark, tmp_path):
+    df = spark.range(3000).select((F.col("id") * 7 % 3000).alias("k"), F.concat(F.lit('a "b"\n'), F.col("id").cast("string")).alias("t")).repartition(5)
+    for n, size in enumerate((60_000, 1 << 30)):
+        path = str(tmp_path / str(n))
+        delimited.write_in_order(df, path, "k", file_bytes=size)
+        assert (len(list((tmp_path / str(n)).glob("part-*.csv"))) > 3) == (n == 0)
+        rows = delimited.read_delimited(spark, path, df.schema).orderBy("row_id").collect()
+        assert [(r["row_id"], r["k"]) for r in rows] == [(i, i) for i in range(3000)]
+        assert {r["t"] for r in rows} == {f'a "b"\n{i}' for i in range(3000)}
