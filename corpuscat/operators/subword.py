@@ -21,12 +21,14 @@ UNKNOWN, CONTINUED, LONGEST_WORD = "[UNK]", "##", 100
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 MARKS = r"\p{P}$+<=>^`|~"  # each punctuation mark, and each CJK sign, is a word of its own
 WORD = rf"[{MARKS}{CJK}]|[^\s\p{{Z}}\p{{C}}{MARKS}{CJK}]+"
+# Of these, words that are more than accents.
+BASED = rf"[{MARKS}{CJK}]|\p{{Mn}}*+[^\s\p{{Z}}\p{{C}}\p{{Mn}}{MARKS}{CJK}][^\s\p{{Z}}\p{{C}}{MARKS}{CJK}]*+"
 
 
-def basic_words(text: Column) -> Column:
+def basic_words(text: Column, word: str = WORD) -> Column:
     """Lower-case words, punctuation marks and CJK signs of a raw text."""
     dropped = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x{FFFD}[\p{C}&&[^\t\n\r]]]", "")
-    return F.regexp_extract_all(F.lower(dropped), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(dropped), F.lit(word), F.lit(0))
 
 
 def without_accents(word: str) -> str:
@@ -115,8 +117,9 @@ def subword_encode(df: DataFrame, row_id: str, text: str, pieces: DataFrame, len
         raise ValueError(f"the vocabulary lacks {UNKNOWN}")
     # A word gives one piece at least, unless it is all accents, so the words after the
     # first length - 2 others cannot reach the fixed length.
-    kept = F.filter(basic_words(F.col(text)), lambda w: w.rlike(r"[^\p{Mn}]"))
-    each = cut_lineage(spread(df.select(row_id, text)).select(row_id, F.posexplode_outer(F.slice(kept, 1, length - 2)).alias("pos", "token")))
+    kept = F.slice(basic_words(F.col(text), BASED), 1, length - 2).alias("words")
+    stored = cut_lineage(spread(df.select(row_id, text)).select(row_id, kept))
+    each = stored.select(row_id, F.posexplode_outer("words").alias("pos", "token"))
     counts = each.filter("token is not null").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     words = cut_lineage(split_words(cut_lineage(with_bare(counts)), pieces, unknown["id"], max_bytes))
     joined = lookup(each, words, "token", "n", "left", max_bytes=max_bytes, complete=True)

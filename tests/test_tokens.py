@@ -113,3 +113,35 @@ def test_extractive_summary(spark):
     weights = spark.createDataFrame([("rare", 90), ("words", 1)], "token string, n bigint")
     got = {r["i"]: r["summary"] for r in summary.extractive_summary(df, "i", "t", weights).collect()}
     assert got[0] == "Rare words here."
+
+
+def test_repeated_ids_and_large_ids(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "c"), (None, "b"), (2, None)], "i int, t string")
+    vocab = spark.createDataFrame([("a", 2_000_000_000, 3), ("b", 7, 2)], "token string, id bigint, n bigint")
+    got = encoded(tokens.encode(df, "i", "t", vocab, 6))
+    assert got == {1: ([2, 1, 2_000_000_000, 7, 3, 0], [1, 1, 1, 1, 1, 0]), None: ([2, 7, 3, 0, 0, 0], [1] * 3 + [0] * 3), 2: ([2, 3, 0, 0, 0, 0], [1, 1, 0, 0, 0, 0])}
+
+
+def test_words_of_texts_are_taken_once(spark, monkeypatch):
+    """Words are looked up, and counted, from a stored table and not from the texts."""
+    seen = []
+
+    def kept(rows, *a, **k):
+        seen.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return lookup(rows, *a, **k)
+
+    df = docs(spark, "Rare words here. the the cat", "", "the cat! the cat?", None)
+    vocab = tokens.vocabulary(df, "t")
+    for module in (tokens, summary, subword):
+        monkeypatch.setattr(module, "lookup", kept)
+    tokens.encode(df, "i", "t", vocab, 8)
+    summary.extractive_summary(df, "i", "t")
+    subword.subword_encode(df, "i", "t", spark.createDataFrame([("[UNK]", 1), ("a", 2)], "piece string, id int"), 8)
+    assert len(seen) == 4 and not any("regexp_extract" in p for p in seen)
+
+
+def test_words_with_more_than_accents_in_one_pass(spark):
+    texts = ["a\u0301b \u0301 \u0301c \u0301\u0301", "x.\u0301!\u4e2d\u0301y", "", None, "\u0301a\u0301 \u0301\u0301\u0301.b"]
+    kept = F.filter(subword.basic_words(F.col("t")), lambda w: w.rlike(r"[^\p{Mn}]"))
+    for r in docs(spark, *texts).select(kept.alias("two"), subword.basic_words(F.col("t"), subword.BASED).alias("one")).collect():
+        assert r["one"] == r["two"]
