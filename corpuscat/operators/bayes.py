@@ -23,7 +23,7 @@ CHUNK = 1_024  # kinds of classes summed in one row
 @dataclass(frozen=True)
 class BayesModel:
     """``terms``: (token, n, blocks array of (block, counts)), where ``counts`` are those of the labels
-    from ``block * BLOCK`` on. ``classes``: (label, docs, tokens, vocab)."""
+    from ``block * BLOCK`` on, up to the highest one in a model of fewer labels. ``classes``: (label, docs, tokens, vocab)."""
 
     terms: DataFrame
     classes: DataFrame
@@ -44,19 +44,34 @@ def _block(label: str | Column) -> Column:
 def fit_bayes(df: DataFrame, text: str, label: str) -> BayesModel:
     """Count words per class. Labels are non-negative integers."""
     y = F.col(label).cast("bigint").alias("label")
+    docs = cut_lineage(df.groupBy(y).agg(F.count(F.lit(1)).alias("docs")))
+    width, one = _width(docs)
     each = spread(df.select(label, text)).select(y, F.explode(word_array(df, text)).alias("token"))
-    counts = [F.count_if(F.col("label") % BLOCK == i) for i in range(BLOCK)]
-    blocks = each.groupBy("token", _block("label").alias("block")).agg(F.array(*counts).alias("counts"), F.count(F.lit(1)).alias("n"))
-    terms = cut_lineage(blocks.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "counts")).alias("blocks")))
-    per_block = terms.select(F.inline("blocks")).groupBy("block").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"t{i}") for i in range(BLOCK)])
-    tokens = per_block.select("block", F.posexplode(F.array(*[f"t{i}" for i in range(BLOCK)])).alias("i", "tokens"))
+    counts = [F.count_if(F.col("label") % BLOCK == i) for i in range(width)]
+    sums = [F.array(*counts).alias("counts"), F.count(F.lit(1)).alias("n")]
+    if one:
+        words = each.groupBy("token").agg(*sums)
+        terms = words.select("token", "n", F.array(F.struct(F.lit(0).cast("bigint").alias("block"), "counts")).alias("blocks"))
+    else:
+        words = each.groupBy("token", _block("label").alias("block")).agg(*sums)
+        terms = words.groupBy("token").agg(F.sum("n").alias("n"), F.collect_list(F.struct("block", "counts")).alias("blocks"))
+    terms = cut_lineage(terms)
+    per_block = terms.select(F.inline("blocks")).groupBy("block").agg(*[F.sum(F.get("counts", F.lit(i))).alias(f"t{i}") for i in range(width)])
+    tokens = per_block.select("block", F.posexplode(F.array(*[f"t{i}" for i in range(width)])).alias("i", "tokens"))
     tokens = tokens.select((F.col("block") * BLOCK + F.col("i")).alias("label"), "tokens")
-    docs = df.groupBy(y).agg(F.count(F.lit(1)).alias("docs"))
     vocab = terms.count()
     classes = docs.join(tokens, "label", "left").fillna(0, ["tokens"]).withColumn("vocab", F.lit(vocab).cast("bigint"))
     return BayesModel(terms, cut_lineage(classes))
 
 
+def _width(classes: DataFrame) -> tuple[int, bool]:
+    """How many numbers of a block the labels of ``classes`` take, and whether all labels are in the first block."""
+    low, high, without = classes.agg(F.min("label"), F.max("label"), F.count_if(F.col("label").isNull())).first()
+    if high is None:
+        return BLOCK, False
+    return max(1, min(BLOCK, high + 1)), not without and low >= 0 and high < BLOCK
+
+
 def _line(a: float, total: int, vocab: int) -> tuple[Column, Column]:
     """What a class of ``docs`` and ``tokens`` scores without hits: a start and a step per seen word."""
     start = F.log(F.col("docs").cast("double") / F.lit(float(total)))
@@ -179,6 +194,7 @@ def bayes_predict(
     many = len(alphas)
     stats = model.classes.agg(F.sum("docs"), F.max("vocab")).first()
     total, vocab = stats[0] or 0, stats[1] or 0
+    width, _ = _width(model.classes)
     y = F.col(label).cast("bigint").alias("label")
     rows = spread(df.select(row_id, label, text)).select(row_id, y, word_array(df, text).alias("_words"))
     if df.schema[text].dataType.typeName() != "array":
@@ -189,15 +205,18 @@ def bayes_predict(
         gain = lambda n: F.round(F.log((n + F.lit(float(a))) / F.lit(float(a))) * LOG_UNIT).cast("bigint")
         return F.transform(counts, lambda n: F.when(n == 0, F.lit(0).cast("bigint")).otherwise(gain(n)))  # most counts are 0
 
-    gains = F.transform("blocks", lambda b: F.struct(b["block"].alias("block"), F.concat(*[gains_of(b["counts"], a) for a in alphas]).alias("g")))
+    # A model of few labels has only their numbers in its block.
+    gains = F.transform(
+        "blocks", lambda b: F.struct(b["block"].alias("block"), F.concat(*[gains_of(F.slice(b["counts"], 1, width), a) for a in alphas]).alias("g"))
+    )
     terms = cut_lineage(model.terms.select("token", "n", gains.alias("gains")))
     hits = lookup(each, terms, "token", "n").select(row_id, "label", F.posexplode("gains").alias("p", "b"))
     # A word counts as seen with its first block.
     hits = hits.select(row_id, "label", F.col("b.block").alias("block"), F.when(F.col("p") == 0, 1).otherwise(0).cast("bigint").alias("words"), F.col("b.g").alias("g"))
     # The block of the text's own label is there for every text, if only with zeros.
-    none = F.array_repeat(F.lit(0).cast("bigint"), many * BLOCK)
+    none = F.array_repeat(F.lit(0).cast("bigint"), many * width)
     own = rows.select(row_id, "label", _block("label").alias("block"), F.lit(0).cast("bigint").alias("words"), none.alias("g"))
-    sums = [F.sum(F.get("g", F.lit(j))) for j in range(many * BLOCK)]
+    sums = [F.sum(F.get("g", F.lit(j))) for j in range(many * width)]
     per_block = hits.unionByName(own).groupBy(row_id, "label", "block").agg(F.sum("words").alias("words"), F.array(*sums).alias("s"))
     lines = F.struct("label", *[c.alias(f"{k}{i}") for i, a in enumerate(alphas) for k, c in zip("ab", _line(a, total, vocab))])
     blocks = model.classes.groupBy(_block("label").alias("block")).agg(F.sum("docs").alias("docs"), F.collect_list(lines).alias("lines"))
@@ -207,19 +226,19 @@ def bayes_predict(
     base = cut_lineage(_without_hits(_kinds(model.classes, alphas, total, vocab), lengths, many, loss))
     settled = lookup(docs, base, "seen", "texts", complete=True)
     # Each step is a column of its own: what a later step uses for each class is computed once for the text.
-    scored = settled.select(row_id, "label", "base", *[_scores(i).alias(f"c{i}") for i in range(many)])
+    scored = settled.select(row_id, "label", "base", *[_scores(i, width).alias(f"c{i}") for i in range(many)])
     topped = scored.select("*", *[_top(i).alias(f"t{i}") for i in range(many)])
     return topped.select(row_id, "label", F.inline(F.array(*[_settle(i, a, loss) for i, a in enumerate(alphas)])))
 
 
-def _scores(i: int) -> Column:
+def _scores(i: int, width: int) -> Column:
     """Score, label and score without hits of all classes in the blocks that a text meets."""
     seen = F.col("seen")
 
     def of_block(h: Column) -> Column:
         def one(c: Column) -> Column:
             floor = c[f"a{i}"] + seen * c[f"b{i}"]
-            gained = F.get(h["s"], F.lit(i * BLOCK) + (c["label"] % BLOCK).cast("int"))
+            gained = F.get(h["s"], F.lit(i * width) + (c["label"] % BLOCK).cast("int"))
             return F.struct((floor + gained / F.lit(LOG_UNIT)).alias("score"), (-c["label"]).alias("neg"), floor.alias("floor"))
 
         return F.transform(h["lines"], one)

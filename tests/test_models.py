@@ -175,3 +175,34 @@ def test_words_of_a_run_are_stored_once(spark, monkeypatch, name, stores):
     monkeypatch.setattr(models, "cut_lineage", kept)
     QUERIES[name](spark, SF).count()
     assert len(seen) == stores
+
+
+@pytest.mark.parametrize("top", [2, 15, 16, 40])
+def test_a_block_has_no_more_numbers_than_labels(spark, monkeypatch, top):
+    """Few labels: one grouping of the words, and sums of as many numbers as labels; the counts are those of the texts."""
+    rows = [(t, top if y == 2 else y) for t, y in TEXTS] + [("good odd", top)]
+    plans, plain = [], bayes.cut_lineage
+
+    def kept(df):
+        plans.extend([df._jdf.queryExecution().executedPlan().toString()] if "blocks" in df.columns else [])
+        return plain(df)
+
+    monkeypatch.setattr(bayes, "cut_lineage", kept)
+    model = bayes.fit_bayes(frame(spark, rows), "t", "y")
+    got = {(r["token"], r["block"] * bayes.BLOCK + i): n for r in model.terms.select("token", F.inline("blocks")).collect() for i, n in enumerate(r["counts"]) if n}
+    assert got == Counter((w, y) for t, y in rows for w in t.split())
+    assert {len(r["counts"]) for r in model.terms.select(F.inline("blocks")).collect()} == {min(bayes.BLOCK, top + 1)}
+    assert ("collect_list" not in plans[0]) == (top < bayes.BLOCK)
+    asked = bayes.bayes_predict(frame(spark, [("odd", top), ("dull", 1), ("fun", top + 1)]), "i", "t", "y", model, [1.0, 0.5])
+    found = {(r["i"], r["candidate"]): (r["prediction"], r["loss"] is None) for r in asked.collect()}
+    assert found == {(i, c): (p, i == 2) for i, p in enumerate((top, 1, 0)) for c in (0, 1)}
+
+
+def test_labels_that_are_null_or_absent(spark):
+    """Rows without a label count as before: their words are in the vocabulary, and go into no label's counts."""
+    rows = spark.createDataFrame([(0, "a b", 0), (1, "a c", 1), (2, "a d", None)], "i int, t string, y int")
+    model = bayes.fit_bayes(rows, "t", "y")
+    counts = {r["token"]: (r["n"], sorted(tuple(c for c in b["counts"] if c) for b in r["blocks"])) for r in model.terms.collect()}
+    assert counts == {"a": (3, [(), (1, 1)]), "b": (1, [(1,)]), "c": (1, [(1,)]), "d": (1, [()])}
+    none = bayes.fit_bayes(rows.limit(0), "t", "y")
+    assert none.terms.count() == none.classes.count() == 0
